@@ -42,7 +42,12 @@ def digits_int(x: Column) -> Column:
     plain = F.when(x.rlike(r"^\p{ASCII}*$"), x).otherwise(
         F.translate(x, _WIDE_DIGITS, _ASCII_DIGITS)
     )
-    return F.regexp_replace(plain, "[^0-9]", "").try_cast("int")
+    # Most fields are nothing but a short number; they skip the rewriting.
+    return (
+        F.when(x == "", F.lit(None).cast("int"))
+        .when(x.rlike("^[0-9]{1,9}$"), x.cast("int"))
+        .otherwise(F.regexp_replace(plain, "[^0-9]", "").try_cast("int"))
+    )
 
 
 def loose_double(x: Column) -> Column:

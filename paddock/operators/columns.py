@@ -95,7 +95,9 @@ def feature_infos(df: DataFrame, numeric: list[str], categorical: DataFrame | No
 
     `categorical` is a bin table (feature, bin, category), at most the bin limit per feature.
     """
-    shown = F.concat(F.lit("["), F.col("min").cast("string"), F.lit(":"), F.col("max").cast("string"), F.lit("]"))
+    # Adding zero turns a negative zero into a plain one.
+    ends = [(F.col(c) + 0.0).cast("string") for c in ("min", "max")]
+    shown = F.concat(F.lit("["), ends[0], F.lit(":"), ends[1], F.lit("]"))
     info = F.when(F.col("min") < F.col("max"), shown).otherwise(F.lit("none"))
     out = feature_ranges(df, numeric).select("feature", info.alias("info"))
     if categorical is None:

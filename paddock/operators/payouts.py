@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.text import digits_int
-from paddock.operators.race import KEY, field, race_key
+from paddock.operators.race import KEY, race_key, raw_fields
 
 # Bet type, amount column, number columns; rows come out in this order.
 BETS = (
@@ -50,9 +50,10 @@ def paid_bets(slots: Column) -> Column:
 
 def map_paybacks(table: DataFrame) -> DataFrame:
     """Parsed payback rows to (key, slots, archive, line_no)."""
-    return table.select(
-        *race_key(), bet_slots(lambda name: digits_int(field(name))).alias("slots"), "archive", "line_no"
-    )
+    names = [n for _, amount, numbers in BETS for n in (amount, *numbers)]
+    raw = raw_fields(table, {n: n for n in names})
+    value = lambda name: digits_int(F.col(f"`{name}`"))
+    return raw.select(*race_key(), bet_slots(value).alias("slots"), "archive", "line_no")
 
 
 def unpivot_payouts(paybacks: DataFrame, keep: list[str] = KEY) -> DataFrame:

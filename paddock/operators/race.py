@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.functions.csv import csv_value
 from paddock.functions.text import digits_int, loose_double, text_or_null
 from paddock.operators.joins import HOT_ROWS, skewed_join
 from paddock.operators.prefix import first_rows
+from paddock.sources.archives import named_columns
 
 KEY = ["track", "race_date", "race_no"]
 
@@ -32,17 +32,18 @@ HORSE_COLUMNS = {
 }
 
 
-def field(name: str) -> Column:
-    return csv_value(F.col("fields"), F.col("header"), name)
+def raw_fields(table: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Key and named fields of a `csv_table` as strings, each looked up once."""
+    wanted = {**dict(zip(KEY, KEY_COLUMNS)), **names}
+    return named_columns(table, wanted, ["archive", "line_no"])
 
 
 def race_key() -> list[Column]:
     """Key of a raw row: the track untrimmed, date and number through `digits_int`."""
-    track, date, number = KEY_COLUMNS
     return [
-        field(track).alias("track"),
-        digits_int(field(date)).alias("race_date"),
-        digits_int(field(number)).alias("race_no"),
+        F.col("track"),
+        digits_int(F.col("race_date")).alias("race_date"),
+        digits_int(F.col("race_no")).alias("race_no"),
     ]
 
 
@@ -59,10 +60,9 @@ def map_race(table: DataFrame) -> DataFrame:
     """Race columns of a parsed race list, with the line order kept for `first_per_key`."""
     text = {"weather", "track_condition", "race_name"}
     columns = [
-        (text_or_null(field(src)) if out in text else digits_int(field(src))).alias(out)
-        for out, src in RACE_COLUMNS.items()
+        (text_or_null(F.col(c)) if c in text else digits_int(F.col(c))).alias(c) for c in RACE_COLUMNS
     ]
-    return table.select(*race_key(), *columns, "archive", "line_no")
+    return raw_fields(table, RACE_COLUMNS).select(*race_key(), *columns, "archive", "line_no")
 
 
 def map_horses(table: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def map_horses(table: DataFrame) -> DataFrame:
         "jockey": text_or_null,
         "assigned_weight_kg": loose_double,
     }
-    columns = [parse.get(out, digits_int)(field(src)).alias(out) for out, src in HORSE_COLUMNS.items()]
-    return table.select(*race_key(), *columns, "archive", "line_no")
+    columns = [parse.get(c, digits_int)(F.col(c)).alias(c) for c in HORSE_COLUMNS]
+    return raw_fields(table, HORSE_COLUMNS).select(*race_key(), *columns, "archive", "line_no")
 
 
 def map_entries(horses: DataFrame) -> DataFrame:

@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from paddock.operators.payouts import BETS
 from paddock.operators.race import HORSE_COLUMNS, KEY_COLUMNS, RACE_COLUMNS
 from paddock.plans.catalog import table
-from paddock.plans.race_month import RaceMonth, from_lines
+from paddock.plans.race_month import RaceMonth
+from paddock.session import parallelism
 
 
 def _with_header(data: DataFrame, header: list[str]) -> DataFrame:
-    """One header line, after a blank line, per file of `data` (archive, line_no, line)."""
+    """Lines of a rendered file as `read_archives` gives them: a blank line and a header
+    line come first, and every line carries its file's header."""
     files = data.select("archive").distinct()
-    head = F.array(F.lit("　 "), F.lit("﻿" + ",".join(header)))
-    lines = files.select("archive", F.posexplode(head).alias("pos", "line"))
-    return lines.select("archive", (F.col("pos") - 2).cast("long").alias("line_no"), "line").unionByName(data)
+    text = "﻿" + ",".join(header)
+    lines = files.select("archive", F.posexplode(F.array(F.lit("　 "), F.lit(text))).alias("pos", "line"))
+    headed = lines.select("archive", (F.col("pos") - 2).cast("long").alias("line_no"), "line").unionByName(data)
+    # Rendered text comes from few input splits; real text would arrive in many.
+    positions = F.create_map(*[F.lit(x) for i, name in enumerate(header) for x in (name, i)])
+    return headed.repartition(parallelism(data.sparkSession)).select(
+        "*", F.lit(-1).cast("long").alias("header_line"), positions.alias("header")
+    )
 
 
 def _line(*fields: Column) -> Column:
@@ -92,6 +99,6 @@ def payback_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derived_month(spark: SparkSession, sf_dir: str) -> RaceMonth:
-    return from_lines(
+    return RaceMonth(
         race_csv(spark, sf_dir), horse_csv(spark, sf_dir), payback_csv(spark, sf_dir), ["archive"]
     )

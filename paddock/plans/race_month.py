@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +13,24 @@ from paddock.sources.archives import csv_table, read_archives
 FILE = ["archive", "yyyymm", "kind"]
 
 
-@dataclass
 class RaceMonth:
-    """Typed tables of one or many months."""
+    """Typed tables of one or many months; each is planned when first used."""
 
-    races: DataFrame
-    horses: DataFrame
-    paybacks: DataFrame
+    def __init__(self, racelist: DataFrame, horselist: DataFrame, payback: DataFrame, file_columns: list[str]):
+        self._lines = (racelist, horselist, payback)
+        self._file = file_columns
+
+    @cached_property
+    def races(self) -> DataFrame:
+        return race.map_race(csv_table(self._lines[0], self._file))
+
+    @cached_property
+    def horses(self) -> DataFrame:
+        return race.map_horses(csv_table(self._lines[1], self._file))
+
+    @cached_property
+    def paybacks(self) -> DataFrame:
+        return payouts.map_paybacks(csv_table(self._lines[2], self._file))
 
     @property
     def entries(self) -> DataFrame:
@@ -43,20 +54,11 @@ class RaceMonth:
         return bundle.race_card(first, known, self.payouts)
 
 
-def from_lines(racelist: DataFrame, horselist: DataFrame, payback: DataFrame, file_columns: list[str]) -> RaceMonth:
-    """Lines (file columns incl. `archive`, line_no, line) of the three kinds to typed tables."""
-    return RaceMonth(
-        race.map_race(csv_table(racelist, file_columns)),
-        race.map_horses(csv_table(horselist, file_columns)),
-        payouts.map_paybacks(csv_table(payback, file_columns)),
-    )
-
-
 def from_archives(files: DataFrame) -> RaceMonth:
     """`archive_files` rows to typed tables. Write the lines to Parquet first when the
     tables are used more than once: unzipping cannot skip anything."""
     lines = read_archives(files)
-    return from_lines(*[lines.where(F.col("kind") == k) for k in ("racelist", "horselist", "payback")], FILE)
+    return RaceMonth(*[lines.where(F.col("kind") == k) for k in ("racelist", "horselist", "payback")], FILE)
 
 
 def write_typed(month: RaceMonth, path: str) -> None:

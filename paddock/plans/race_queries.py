@@ -52,10 +52,11 @@ def _csv_fields(spark, sf):
                CAST(9 AS INTEGER) AS n_columns, strftime(o_orderdate, '%Y/%m/%d') AS day FROM orders""",
 )
 def _csv_table(spark, sf):
-    t = arc.csv_table(race_csv(spark, sf), ["archive"])
+    bare = race_csv(spark, sf).drop("header", "header_line")
+    t = arc.csv_table(bare, ["archive"])
     return t.select(
         "archive", "line_no", F.size("fields").alias("n_fields"), F.size("header").alias("n_columns"),
-        race.field("競走年月日").alias("day"),
+        csv_value(F.col("fields"), F.col("header"), "競走年月日").alias("day"),
     )
 
 
@@ -181,7 +182,7 @@ _HORSE_SQL = f"""SELECT {_KEY}, CAST(l_linenumber AS INTEGER) AS horse_no, 'hors
 
 @query("race_key", f"SELECT {_KEY} FROM orders")
 def _race_key(spark, sf):
-    return arc.csv_table(race_csv(spark, sf), ["archive"]).select(*race.race_key())
+    return race.raw_fields(arc.csv_table(race_csv(spark, sf), ["archive"]), {}).select(*race.race_key())
 
 
 @query("map_race", _RACE_SQL)
@@ -423,7 +424,7 @@ def _document_archives(spark, sf):
         FROM l, range(1, 100000) r(i) WHERE i <= len(lines) AND NOT (i = len(lines) AND lines[i] = '' AND i > 1)""",
 )
 def _read_archives(spark, sf):
-    lines = arc.read_archives(_document_archives(spark, sf))
+    lines = arc.read_archives(_document_archives(spark, sf)).drop("header", "header_line")
     # A text that ends with a line break has an empty last line, which the blank-line rule drops.
     last = lines.groupBy("archive", "kind").agg(F.max("line_no").alias("last"))
     return lines.join(last, ["archive", "kind"]).where(

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from paddock.functions.csv import csv_fields, csv_value, header_positions
 from paddock.functions.text import base_name, is_blank
-from paddock.session import parallelism
+from paddock.session import cut_lineage, parallelism
 
 # Member kinds and the name pattern `{yyyymm}_{kind}.csv`.
 KINDS = ("racelist", "horselist", "payback")
 MEMBER_NAME = r"^(\d{6})_(racelist|horselist|payback)\.csv$"
 
+LINE_END = r"\r\n|\n|\r"
+
 # Member text leaves the unzip task in pieces of about this size, cut at line ends.
 PIECE_BYTES = 4 << 20
 
@@ -56,27 +58,39 @@ def _text_pieces(stream: io.BufferedIOBase) -> Iterator[str]:
     yield rest.decode("utf-8", errors="replace")
 
 
+def _first_filled(text: str, first_line: int) -> tuple[int | None, str | None]:
+    """Line number and text of the first non-blank line, the header of a member."""
+    for i, line in enumerate(re.split(LINE_END, text)):
+        if line.strip():
+            return first_line + i, line
+    return None, None
+
+
 def _unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive", "yyyymm", "kind", "first_line", "text", "error"]
+    columns = ["archive", "yyyymm", "kind", "first_line", "text", "header_line", "header_text", "error"]
     for frame in frames:
         for archive, content in zip(frame["path"], frame["content"]):
             seen: set[str] = set()
             try:
                 for month, kind, bundle, info in _wanted_members(content):
                     seen.add(kind)
-                    first_line = 0
+                    first_line, header = 0, (None, None)
                     with bundle.open(info) as stream:
                         for text in _text_pieces(stream):
                             if first_line == 0:
                                 text = text.removeprefix("﻿")
-                            yield pd.DataFrame([(archive, month, kind, first_line, text, None)], columns=columns)
-                            first_line += len(re.findall(r"\r\n|\n|\r", text))
+                            if header[1] is None:
+                                header = _first_filled(text, first_line)
+                            row = (archive, month, kind, first_line, text, *header, None)
+                            yield pd.DataFrame([row], columns=columns)
+                            first_line += len(re.findall(LINE_END, text))
             except zipfile.BadZipFile as problem:
-                yield pd.DataFrame([(archive, None, None, 0, None, str(problem))], columns=columns)
+                yield pd.DataFrame([(archive, None, None, 0, None, None, None, str(problem))], columns=columns)
                 continue
             for kind in KINDS:
                 if kind not in seen:
-                    yield pd.DataFrame([(archive, None, kind, 0, None, f"{kind} not found")], columns=columns)
+                    row = (archive, None, kind, 0, None, None, None, f"{kind} not found")
+                    yield pd.DataFrame([row], columns=columns)
 
 
 def unzip_members(archives: DataFrame) -> DataFrame:
@@ -85,24 +99,30 @@ def unzip_members(archives: DataFrame) -> DataFrame:
     ZIP is not splittable, so an archive is unzipped by one task, but it leaves that task
     in pieces of a few MB and no member is ever held as one string.
     """
-    schema = "archive string, yyyymm string, kind string, first_line long, text string, error string"
+    schema = (
+        "archive string, yyyymm string, kind string, first_line long, text string, "
+        "header_line long, header_text string, error string"
+    )
     return archives.select("path", "content").mapInPandas(_unzip, schema)
 
 
 def read_archives(archives: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Archives to lines: (archive, yyyymm, kind, line_no, line).
+    """Archives to lines: (archive, yyyymm, kind, line_no, line, header_line, header).
 
     The pieces are dealt out evenly before they are split, so one large archive does not
-    keep its lines on one executor.
+    keep its lines on one executor. Every piece carries its member's header, worked out
+    once per piece, so parsing the lines needs no join with their header row.
     """
     n = partitions or parallelism(archives.sparkSession)
     pieces = unzip_members(archives).where(F.col("error").isNull()).repartition(n)
     # A piece ends with its last line break, which must not open a further line.
     body = F.regexp_replace("text", r"(\r\n|\n|\r)\z", "")
-    lines = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.split(body, r"\r\n|\n|\r", -1))
-    return pieces.select("archive", "yyyymm", "kind", "first_line", F.posexplode(lines).alias("pos", "line")).select(
-        "archive", "yyyymm", "kind", (F.col("first_line") + F.col("pos")).alias("line_no"), "line"
-    )
+    lines = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.split(body, LINE_END, -1))
+    file = ["archive", "yyyymm", "kind"]
+    header = header_positions(csv_fields(F.col("header_text"))).alias("header")
+    return pieces.select(
+        *file, "first_line", "header_line", header, F.posexplode(lines).alias("pos", "line")
+    ).select(*file, (F.col("first_line") + F.col("pos")).alias("line_no"), "line", "header_line", "header")
 
 
 def archive_errors(archives: DataFrame) -> DataFrame:
@@ -110,25 +130,36 @@ def archive_errors(archives: DataFrame) -> DataFrame:
     return unzip_members(archives).where(F.col("error").isNotNull()).select("archive", "kind", "error")
 
 
-def csv_table(lines: DataFrame, file_columns: list[str]) -> DataFrame:
-    """Lines to (file columns, line_no, header, fields): blank lines go, the first other
-    line of a file is its header. A file with no such line gives no rows; see
-    `empty_tables` for those.
+# Most files whose headers are broadcast; a header is a few KB at most.
+MAX_BROADCAST_FILES = 10_000
+
+
+def with_headers(lines: DataFrame, file_columns: list[str]) -> DataFrame:
+    """Add (header_line, header) to bare lines: the first non-blank line of each file.
 
     The header is found by an aggregate, which combines before its shuffle, not by a
-    window over the file: a file may hold a large share of all lines.
+    window over the file: a file may hold a large share of all lines. The headers are
+    broadcast when counted to be few, else joined by Spark's own choice.
     """
-    kept = lines.where(~is_blank(F.col("line")))
-    headers = kept.groupBy(*file_columns).agg(
+    filled = lines.where(~is_blank(F.col("line")))
+    headers = filled.groupBy(*file_columns).agg(
         F.min("line_no").alias("header_line"), F.min_by("line", "line_no").alias("header_text")
     )
-    named = headers.select(
+    named = cut_lineage(headers).select(
         *file_columns, "header_line", header_positions(csv_fields(F.col("header_text"))).alias("header")
     )
-    return (
-        kept.join(named, file_columns)
-        .where(F.col("line_no") > F.col("header_line"))
-        .select(*file_columns, "line_no", "header", csv_fields(F.col("line")).alias("fields"))
+    few = named.limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES
+    return lines.join(F.broadcast(named) if few else named, file_columns)
+
+
+def csv_table(lines: DataFrame, file_columns: list[str]) -> DataFrame:
+    """Lines to (file columns, line_no, header, fields): blank lines go, the first other
+    line of a file is its header. A file with no such line gives no rows; see
+    `empty_tables` for those. Lines that carry their header are parsed in place.
+    """
+    headed = lines if "header" in lines.columns else with_headers(lines, file_columns)
+    return headed.where(~is_blank(F.col("line")) & (F.col("line_no") > F.col("header_line"))).select(
+        *file_columns, "line_no", "header", csv_fields(F.col("line")).alias("fields")
     )
 
 
