@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paddock.functions.numeric import ZERO_LIMIT
 from paddock.operators.columns import unpivot
@@ -76,9 +75,10 @@ def find_numeric_bins(
     # Two bins are kept back for the cuts around zero, one for missing values.
     budget = F.greatest(F.least(limit - 3, F.floor(F.col("rows") / max(min_data_in_bin, 1))), F.lit(1))
     share = F.floor((F.col("upto") - F.col("n")) * budget / F.col("rows"))
-    slot = F.when(F.col("distinct") <= limit - 1, F.col("place")).otherwise(share)
+    room = limit - (F.col("missing_type") == "nan").cast("int")
+    slot = F.when(F.col("distinct") <= room, F.col("place")).otherwise(share)
     side = F.signum("value").cast("int")
-    staged = upto.join(sizes, "feature").withColumn("slot", slot.cast("long")).withColumn("side", side)
+    staged = upto.join(sizes.join(missing, "feature"), "feature").withColumn("slot", slot.cast("long")).withColumn("side", side)
     if forced is not None:
         own = forced.groupBy("feature").agg(F.sort_array(F.collect_set("upper_bound")).alias("forced"))
         below = lambda: F.size(F.filter("forced", lambda b: b < F.col("value")))
@@ -259,9 +259,7 @@ def collect_spec(spec: DataFrame) -> list[FeatureBins]:
     return list(out.values())
 
 
-SPEC_SCHEMA = T.StructType.fromDDL(
-    "feature string, kind string, bin int, upper_bound double, category int, missing_type string, rows long"
-)
+SPEC_SCHEMA = "feature string, kind string, bin int, upper_bound double, category int, missing_type string, rows long"
 
 
 def make_bins(
