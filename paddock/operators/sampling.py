@@ -15,9 +15,19 @@ DATA_SEED, BAGGING_SEED, FEATURE_SEED = 1, 3, 2
 
 
 def top_by_hash(df: DataFrame, k: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """k rows, uniform without replacement: the k smallest hashes, a take-ordered limit that
-    keeps k rows per task before anything moves."""
-    return df.withColumn("__u", F.xxhash64(F.col(row_id), F.lit(seed))).orderBy("__u", row_id).limit(k).drop("__u")
+    """k rows, uniform without replacement: those with the k smallest hashes.
+
+    A count sets a hash limit that about k rows pass, so the ordering sees little more than
+    k rows in all, however many there are; a table of at most k rows is kept whole.
+    """
+    n = df.count()
+    if n <= k:
+        return df
+    share = min(1.0, (k + 6.0 * k**0.5 + 20.0) / n)
+    near = df.withColumn("__u", hash_unit(F.col(row_id), seed)).where(F.col("__u") < share)
+    if near.count() < k:  # rows that share ids share hashes
+        near = df.withColumn("__u", hash_unit(F.col(row_id), seed))
+    return near.orderBy("__u", row_id).limit(k).drop("__u")
 
 
 def sample_for_bins(df: DataFrame, k: int = BIN_SAMPLE, seed: int = DATA_SEED, row_id: str = "row_id") -> DataFrame:
