@@ -41,7 +41,7 @@ def csv_value(fields: Column, header: Column, name: str) -> Column:
 def header_positions(fields: Column) -> Column:
     """Column name to zero-based position; a repeated name keeps its last position."""
     names = F.transform(fields, lambda x: F.regexp_replace(x, "^﻿", ""))
-    indexed = F.transform(names, lambda x, i: F.struct(x.alias("key"), i.alias("value")))
+    indexed = F.transform(names, lambda x, i: F.named_struct(F.lit("key"), x, F.lit("value"), i))
     last = F.filter(
         indexed,
         lambda e: F.size(F.filter(indexed, lambda o: (o["key"] == e["key"]) & (o["value"] > e["value"]))) == 0,

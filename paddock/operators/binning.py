@@ -66,60 +66,76 @@ def find_numeric_bins(
     limit = F.lit(max_bin)
     for name, own in (max_bin_by_feature or {}).items():
         limit = F.when(F.col("feature") == name, F.lit(own)).otherwise(limit)
-    missing = missing_types(values, use_missing, zero_as_missing)
-    clean = values.where(~F.isnan("value")) if use_missing else values.withColumn("value", F.nanvl("value", F.lit(0.0)))
-    zeroed = F.when(F.abs("value") <= ZERO_LIMIT, F.lit(0.0)).otherwise(F.col("value"))
-    counts = clean.groupBy("feature", zeroed.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("feature").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"))
+    given = F.col("value") if use_missing else F.nanvl("value", F.lit(0.0))
+    zeroed = F.when(F.abs(given) <= ZERO_LIMIT, F.lit(0.0)).otherwise(given)
+    # The one pass over the rows. NaN is one more value here, and sorts last.
+    counts = values.groupBy("feature", zeroed.alias("value")).agg(F.count(F.lit(1)).alias("n"))
     upto = running_totals(counts, ["feature"], [F.col("value")], {"upto": F.col("n"), "place": F.lit(1).cast("bigint")})
+    lost = F.isnan("value")
+    sizes = upto.groupBy("feature").agg(
+        F.coalesce(F.sum(F.when(~lost, F.col("n"))), F.lit(0)).alias("rows"),
+        F.count_if(~lost).alias("distinct"),
+        F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("holes"),
+    )
     # Two bins are kept back for the cuts around zero, one for missing values.
     budget = F.greatest(F.least(limit - 3, F.floor(F.col("rows") / max(min_data_in_bin, 1))), F.lit(1))
     share = F.floor((F.col("upto") - F.col("n")) * budget / F.col("rows"))
-    room = limit - (F.col("missing_type") == "nan").cast("int")
-    slot = F.when(F.col("distinct") <= room, F.col("place")).otherwise(share)
-    side = F.signum("value").cast("int")
-    staged = upto.join(sizes.join(missing, "feature"), "feature").withColumn("slot", slot.cast("long")).withColumn("side", side)
-    if forced is not None:
-        own = forced.groupBy("feature").agg(F.sort_array(F.collect_set("upper_bound")).alias("forced"))
-        below = lambda: F.size(F.filter("forced", lambda b: b < F.col("value")))
-        staged = staged.join(own, "feature", "left").withColumn(
-            "zone", F.when(F.col("forced").isNull(), 0).otherwise(below())
-        )
+    room = limit - (F.col("holes") > 0).cast("int")
+    slot = F.when(F.col("distinct") <= room, F.col("place")).otherwise(share).cast("long")
+    staged = upto.join(sizes, "feature")
+    if forced is None:
+        zone, bounds = F.lit(0), F.array().cast("array<double>")
     else:
-        staged = staged.withColumn("zone", F.lit(0)).withColumn("forced", F.array().cast("array<double>"))
+        own = forced.groupBy("feature").agg(F.sort_array(F.collect_set("upper_bound")).alias("forced"))
+        staged = staged.join(own, "feature", "left")
+        below = F.size(F.filter("forced", lambda b: b < F.col("value")))
+        zone, bounds = F.when(F.col("forced").isNull(), 0).otherwise(below), F.col("forced")
+    staged = staged.where(~lost | (F.col("distinct") == 0)).select(
+        "feature", "value", "n", "holes", slot.alias("slot"), F.signum("value").cast("int").alias("side"),
+        zone.alias("zone"), bounds.alias("forced"),
+    )
     # From here on there are at most max_bin rows per feature.
     rough = staged.groupBy("feature", "zone", "side", "slot").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n"), F.any_value("forced").alias("forced")
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n"), F.any_value("forced").alias("forced"),
+        F.any_value("holes").alias("holes"),
     )
     merged = rough.groupBy("feature").agg(
         F.sort_array(F.collect_list(F.struct("lo", "hi", "n", "zone", "side"))).alias("parts"),
-        F.any_value("forced").alias("forced"),
-    ).select("feature", "forced", _merge_small(F.col("parts"), min_data_in_bin).alias("parts"))
-    rows = merged.select("feature", "forced", F.posexplode("parts").alias("bin", "p"), F.size("parts").alias("n_bins"))
-    following = W.partitionBy("feature").orderBy("bin")
-    middle = (F.col("p.hi") + F.lead("p.lo").over(following)) / 2.0
-    crossed = F.lead("p.zone").over(following) > F.col("p.zone")
-    at_forced = F.get("forced", F.lead("p.zone").over(following) - 1)
-    zero_low = (F.col("p.hi") < 0) & (F.lead("p.lo").over(following) >= 0)
-    zero_high = (F.col("p.hi") == 0) & (F.lead("p.lo").over(following) > 0)
-    bound = (
-        F.when(F.col("bin") == F.col("n_bins") - 1, F.lit(float("inf")))
-        .when(crossed, at_forced)
-        .when(zero_low, F.lit(-ZERO_LIMIT))
-        .when(zero_high, F.lit(ZERO_LIMIT))
-        .otherwise(next_up(middle))
-    )
-    numeric = rows.select("feature", "bin", bound.alias("upper_bound"), F.col("p.n").alias("rows"))
-    holes = values.where(F.isnan("value")).groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
-    last = numeric.groupBy("feature").agg((F.max("bin") + 1).alias("bin"))
-    nan_bins = holes.join(last, "feature").select("feature", "bin", F.lit(float("nan")).alias("upper_bound"), "rows")
-    every = numeric.unionByName(nan_bins) if use_missing and not zero_as_missing else numeric
-    return every.join(missing, "feature").select(
-        "feature", F.lit("numeric").alias("kind"), "bin", "upper_bound", F.lit(None).cast("int").alias("category"),
-        "missing_type", "rows",
+        F.any_value("forced").alias("forced"), F.any_value("holes").alias("holes"),
+    ).select("feature", "forced", "holes", _merge_small(F.col("parts"), min_data_in_bin).alias("parts"))
+    bounded = merged.select("feature", "holes", _with_bounds(F.col("parts"), F.col("forced")).alias("cells"))
+    nan_bin = use_missing and not zero_as_missing
+    last = F.struct(F.lit(float("nan")).alias("upper_bound"), F.col("holes").alias("rows"))
+    cells = F.when((F.col("holes") > 0) & F.lit(nan_bin), F.concat("cells", F.array(last))).otherwise(F.col("cells"))
+    if not use_missing:
+        kind = F.lit("none")
+    elif zero_as_missing:
+        kind = F.lit("zero")
+    else:
+        kind = F.when(F.col("holes") > 0, "nan").otherwise("none")
+    return bounded.select("feature", kind.alias("missing_type"), F.posexplode(cells).alias("bin", "c")).select(
+        "feature", F.lit("numeric").alias("kind"), "bin", "c.upper_bound", F.lit(None).cast("int").alias("category"),
+        "missing_type", "c.rows",
     )
 
 
+def _with_bounds(parts: Column, forced: Column) -> Column:
+    """Ordered parts to (upper_bound, rows); the bound lies between a part and the next one."""
+
+    def bound(p: Column, i: Column) -> Column:
+        n = F.get(parts, i + 1)
+        upper = (
+            F.when(i == F.size(parts) - 1, F.lit(float("inf")))
+            .when(n["zone"] > p["zone"], F.get(forced, n["zone"] - 1))
+            .when((p["hi"] < 0) & (n["lo"] >= 0), F.lit(-ZERO_LIMIT))
+            .when((p["hi"] == 0) & (n["lo"] > 0), F.lit(ZERO_LIMIT))
+            .otherwise(next_up((p["hi"] + n["lo"]) / 2.0))
+        )
+        return F.struct(upper.alias("upper_bound"), p["n"].alias("rows"))
+
+    return F.transform(parts, bound)
+
+
 def _merge_small(parts: Column, least: int) -> Column:
     """Fold ordered parts: a part joins the one before it while that one is too small.
 

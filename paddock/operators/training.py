@@ -136,6 +136,10 @@ class _Run:
             first = F.array(*[F.lit(float(s)) for s in self.starts])
         keep = df.withColumn("scores", first)
         binned = bin_table(keep, self.specs, [*names, *raw, "scores"], packed=True)
+        # Every round reads these rows again, so they are spread over all cores once.
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if binned.rdd.getNumPartitions() < cores:
+            binned = binned.repartition(cores)
         return cut_lineage(binned.withColumn("outs", F.array().cast("array<double>")) if self._keeps_outs else binned)
 
     @property

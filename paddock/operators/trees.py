@@ -118,37 +118,66 @@ def smoothed(w: Column, n: Column, parent: Column, smooth: float) -> Column:
     return w * share / (share + 1.0) + parent / (share + 1.0)
 
 
-def _gain(g: Column, h: Column, w: Column, p: TreeParams, l2: float) -> Column:
-    """Loss reduction of a leaf with output w; with the best w it is soft(G)^2 / (H + l2)."""
-    return -(2.0 * soft_threshold(g, p.lambda_l1) * w + (h + l2) * w * w)
-
-
 def _by_feature(values: list, default) -> Column:
     return F.get(F.array(*[F.lit(default if v is None else v) for v in values]), F.col("feature"))
 
 
+_SUMS = ("lg", "lh", "ln", "tg", "th", "tn")
+
+
 def _sides(cuts: DataFrame, p: TreeParams, scale: tuple[float, float], l2: float, plain: bool) -> DataFrame:
-    """Left and right sums to outputs and gain. `lo`, `hi`, `parent_value` columns exist unless `plain`."""
-    gl, gr = F.col("lg") / scale[0], (F.col("tg") - F.col("lg")) / scale[0]
-    hl, hr = F.col("lh") / scale[1], (F.col("th") - F.col("lh")) / scale[1]
-    out = cuts.withColumn("rn", F.col("tn") - F.col("ln")).where(
-        (F.col("ln") >= max(p.min_data_in_leaf, 1))
-        & (F.col("rn") >= max(p.min_data_in_leaf, 1))
-        & (F.col("lh") / scale[1] >= p.min_sum_hessian_in_leaf)
-        & ((F.col("th") - F.col("lh")) / scale[1] >= p.min_sum_hessian_in_leaf)
+    """Allowed cuts with both outputs (lw, rw) and the gain.
+
+    The gain of a leaf with output w is -(2 soft(G) w + (H + l2) w^2), which is
+    soft(G)^2 / (H + l2) for the best w. `lo`, `hi`, `parent_value` exist unless `plain`.
+    Plain SQL text, so that a level of growth costs few calls to build.
+    """
+
+    def soft(g: str) -> str:
+        return g if p.lambda_l1 == 0 else f"(signum({g}) * greatest(abs({g}) - {p.lambda_l1!r}D, 0D))"
+
+    def out(g: str, h: str, ridge: float) -> str:
+        w = f"(-{soft(g)} / nullif({h} + {ridge!r}D, 0D))"
+        if p.max_delta_step > 0:
+            w = f"greatest(least({w}, {p.max_delta_step!r}D), {-p.max_delta_step!r}D)"
+        return f"coalesce({w}, 0D)"
+
+    def kept(w: str, n: str) -> str:
+        if plain:
+            return w
+        if p.path_smooth > 0:
+            share = f"({n} / {p.path_smooth!r}D)"
+            w = f"({w} * {share} / ({share} + 1D) + parent_value / ({share} + 1D))"
+        return f"greatest(least({w}, hi), lo)"
+
+    def gain(g: str, h: str, w: str, ridge: float) -> str:
+        return f"(-(2D * {soft(g)} * {w} + ({h} + {ridge!r}D) * {w} * {w}))"
+
+    few = max(p.min_data_in_leaf, 1)
+    allowed = (
+        f"ln >= {few} AND tn - ln >= {few} AND lh / {scale[1]!r}D >= {p.min_sum_hessian_in_leaf!r}D "
+        f"AND (th - lh) / {scale[1]!r}D >= {p.min_sum_hessian_in_leaf!r}D"
+    )
+    real = cuts.where(allowed).selectExpr(
+        "*", f"lg / {scale[0]!r}D AS a", f"lh / {scale[1]!r}D AS b", f"(tg - lg) / {scale[0]!r}D AS c",
+        f"(th - lh) / {scale[1]!r}D AS d", f"tg / {scale[0]!r}D AS e", f"th / {scale[1]!r}D AS f",
     )
-    g, h = F.col("tg") / scale[0], F.col("th") / scale[1]
-    wl, wr, w = leaf_output(gl, hl, p, l2), leaf_output(gr, hr, p, l2), leaf_output(g, h, p)
-    if not plain:
-        bound = lambda x: F.greatest(F.least(x, F.col("hi")), F.col("lo"))
-        wl = bound(smoothed(wl, F.col("ln"), F.col("parent_value"), p.path_smooth))
-        wr = bound(smoothed(wr, F.col("rn"), F.col("parent_value"), p.path_smooth))
-        w = F.col("parent_value")
-    out = out.withColumns({"lw": wl, "rw": wr})
-    both = _gain(gl, hl, F.col("lw"), p, l2) + _gain(gr, hr, F.col("rw"), p, l2)
-    gain = both - _gain(g, h, w, p, p.lambda_l2)
+    if plain and p.max_delta_step <= 0:
+        best = lambda g, h, ridge: f"coalesce({soft(g)} * {soft(g)} / nullif({h} + {ridge!r}D, 0D), 0D)"
+        both = real.selectExpr(
+            "*", f"{out('a', 'b', l2)} AS lw", f"{out('c', 'd', l2)} AS rw",
+            f"{best('a', 'b', l2)} + {best('c', 'd', l2)} AS parts", f"{best('e', 'f', p.lambda_l2)} AS whole",
+        )
+    else:
+        valued = real.selectExpr(
+            "*", f"{kept(out('a', 'b', l2), 'ln')} AS lw", f"{kept(out('c', 'd', l2), '(tn - ln)')} AS rw",
+            f"{out('e', 'f', p.lambda_l2) if plain else 'parent_value'} AS w",
+        )
+        both = valued.selectExpr(
+            "*", f"{gain('a', 'b', 'lw', l2)} + {gain('c', 'd', 'rw', l2)} AS parts", f"{gain('e', 'f', 'w', p.lambda_l2)} AS whole"
+        )
     # A difference within rounding of its parts is no gain.
-    return out.withColumn("gain", F.when(F.abs(gain) <= 1e-12 * F.abs(both), F.lit(0.0)).otherwise(gain))
+    return both.selectExpr("*", "nanvl(CASE WHEN abs(parts - whole) <= 1e-12 * abs(parts) THEN 0D ELSE parts - whole END, 0D) AS gain")
 
 
 def split_gain(
@@ -167,40 +196,32 @@ def split_gain(
     h = hist.where(F.col("feature").isin(*numeric))
     if nodes is not None:
         h = h.join(F.broadcast(nodes), keys)
-    missing = _by_feature([s.missing_bin for s in specs], -1)
-    upto = W.partitionBy(*keys, "feature").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys, "feature").orderBy("bin").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    is_missing = F.col("bin") == missing
+    gone = [i for i in numeric if specs[i].missing_bin >= 0]
+    lost = " OR ".join(f"(feature = {i} AND bin = {specs[i].missing_bin})" for i in gone) or "FALSE"
     carried = [*keys, "feature", "bin", *([] if nodes is None else ["lo", "hi", "parent_value", "depth", "allowed"])]
-    nothing = F.lit(0).cast("bigint")
-    sums = h.select(
-        *carried, is_missing.alias("__lost"),
-        *[F.sum(F.when(is_missing, nothing).otherwise(F.col(c))).over(upto).alias(f"l{c}") for c in "ghn"],
-        *[F.sum(c).over(whole).alias(f"t{c}") for c in "ghn"],
-        *[F.sum(F.when(is_missing, F.col(c)).otherwise(nothing)).over(whole).alias(f"m{c}") for c in "ghn"],
-    ).where(~F.col("__lost"))
-    if any(s.missing_bin >= 0 for s in specs):
-        homes = F.when(F.col("mn") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-        sums = sums.withColumn("default_left", F.explode(homes))
-        moved = lambda c: F.col(f"l{c}") + F.when(F.col("default_left"), F.col(f"m{c}")).otherwise(nothing)
+    part = f"PARTITION BY {', '.join(keys)}, feature"
+    upto, whole = f"({part} ORDER BY bin ROWS UNBOUNDED PRECEDING)", f"({part} ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    sums = h.selectExpr(*carried, "g", "h", "n", f"({lost}) AS lost").selectExpr(
+        *carried, "lost",
+        *[f"sum(CASE WHEN lost THEN 0L ELSE {c} END) OVER {upto} AS l{c}" for c in "ghn"],
+        *[f"sum({c}) OVER {whole} AS t{c}" for c in "ghn"],
+        *([f"sum(CASE WHEN lost THEN {c} ELSE 0L END) OVER {whole} AS m{c}" for c in "ghn"] if gone else []),
+    ).where("NOT lost")
+    if gone:
+        homes = sums.selectExpr("*", "explode(CASE WHEN mn > 0 THEN array(FALSE, TRUE) ELSE array(FALSE) END) AS default_left")
+        moved = [f"l{c} + CASE WHEN default_left THEN m{c} ELSE 0L END AS l{c}" for c in "ghn"]
     else:
-        sums = sums.withColumn("default_left", F.lit(False))
-        moved = lambda c: F.col(f"l{c}")
-    cuts = sums.select(*carried, "default_left", *[moved(c).alias(f"l{c}") for c in "ghn"], "tg", "th", "tn")
-    scored = _sides(cuts, p, scale, p.lambda_l2, nodes is None)
-    return _candidates_schema(scored.withColumn("cats", F.array().cast("array<int>")), keys)
+        homes, moved = sums.selectExpr("*", "FALSE AS default_left"), ["lg", "lh", "ln"]
+    cuts = homes.selectExpr(*carried, "default_left", *moved, "tg", "th", "tn")
+    return _candidates_schema(_sides(cuts, p, scale, p.lambda_l2, nodes is None), keys)
 
 
 def _candidates_schema(df: DataFrame, keys: list[str]) -> DataFrame:
     """Columns every candidate split has."""
     have = set(df.columns)
-    fill = {"default_left": F.lit(False), "cats": F.array().cast("array<int>")}
-    number = lambda c: F.col(c) if c in have else F.lit(0.0)
-    return df.select(
-        *keys, "feature", "bin", *[(F.col(c) if c in have else fill[c]).alias(c) for c in ("default_left", "cats")],
-        *[number(c).alias(c) for c in ("gain", "lg", "lh", "ln", "tg", "th", "tn", "lw", "rw")],
-        *[F.col(c) for c in ("depth", "allowed") if c in have],
-    )
+    fill = {"default_left": "FALSE", "cats": "CAST(array() AS ARRAY<INT>)", "gain": "0D", "lw": "0D", "rw": "0D"}
+    filled = [c if c in have else f"{fill.get(c, '0L')} AS {c}" for c in ("default_left", "cats", "gain", *_SUMS, "lw", "rw")]
+    return df.selectExpr(*keys, "feature", "bin", *filled, *[c for c in ("depth", "allowed") if c in have])
 
 
 def categorical_split(
@@ -523,14 +544,35 @@ def grow_trees(
             cuts = cuts.where(F.array_contains("allowed", F.col("feature")))
         if p.extra_trees:
             cuts = random_cut(cuts, keys, p.extra_seed + seed)
-        best = best_split(adjust_gain(cuts, specs, p, frozenset(used | _taken(trees))), keys, p)
-        found = {(r["slot"], r["node"]): r for r in best.collect()}  # one row per open node
+        cuts = adjust_gain(cuts, specs, p, frozenset(used | _taken(trees)))
+        found = _winners(cuts, keys, p, len(specs))
         for t in trees:
             for n in asked[t.slot]:
                 t.learn(n, found.get((t.slot, n.id)), scale)
     return [t.finished() for t in trees]
 
 
+# Features up to which the per-feature winners, at most this many rows per open node, are
+# compared on the driver instead of by one more shuffle.
+DRIVER_FEATURES = 256
+
+
+def _winners(cuts: DataFrame, keys: list[str], p: TreeParams, features: int) -> dict:
+    """Best split by (slot, node). Winners per feature need no shuffle: the windows before
+    have already put a node's bins of one feature together."""
+    if features > DRIVER_FEATURES:
+        return {tuple(r[k] for k in keys): r for r in best_split(cuts, keys, p).collect()}  # one row per open node
+    top = cuts.selectExpr("*", f"max(gain) OVER (PARTITION BY {', '.join(keys)}, feature) AS top")
+    top = top.where(f"gain = top AND top > {p.min_gain_to_split!r}D")
+    found: dict = {}
+    for r in top.collect():
+        at = tuple(r[k] for k in keys)
+        rank = (-r["gain"], r["feature"], r["bin"], r["default_left"], len(r["cats"]))
+        if at not in found or rank < found[at][0]:
+            found[at] = (rank, r)
+    return {k: r for k, (_, r) in found.items()}
+
+
 def _taken(trees: list[_Growing]) -> set[str]:
     return {s.split.feature for t in trees if t.ordered for s in t.chosen()[0]}
 
