@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.numeric import sigmoid, sign, softmax, softplus
 from paddock.operators.joins import HOT_ROWS, skewed_join
-from paddock.operators.metrics import discount, label_gain
+from paddock.operators.metrics import discount, label_gain, max_dcg
 from paddock.operators.prefix import positions
 
 GradHess = tuple[Column, Column]
@@ -152,11 +152,9 @@ def lambdarank_gradients(
         label_gain(F.col(label), list(p.label_gain) if p.label_gain else None).alias("gain"),
     )
     ranked = positions(base, [group], [F.col("s").desc(), F.col(row_id)], "rank")
-    by_label = positions(base, [group], [F.col("gain").desc(), F.col(row_id)], "best")
-    ideal = by_label.where(F.col("best") <= t).groupBy(group).agg(
-        F.sum(F.col("gain") * discount(F.col("best"))).alias("max_dcg")
-    )
-    item = F.struct("rank", "y", "s", "gain")
+    ideal = max_dcg(df.select(group, label).withColumnRenamed(label, "label"), t, group, list(p.label_gain) if p.label_gain else None)
+    ranked = ranked.withColumn("disc", discount(F.col("rank")))
+    item = F.struct("rank", "y", "s", "gain", "disc")
     firsts = (
         ranked.where(F.col("rank") <= t)
         .groupBy(group)
@@ -173,7 +171,7 @@ def lambdarank_gradients(
         rho = 1.0 / (1.0 + F.exp(p.sigmoid * high_minus_low))
         delta = (
             F.abs(F.col("gain") - f["gain"])
-            * F.abs(discount(F.col("rank")) - discount(f["rank"]))
+            * F.abs(F.col("disc") - f["disc"])
             / F.col("max_dcg")
         )
         if p.lambdarank_norm:

@@ -19,11 +19,13 @@ def _with_header(data: DataFrame, header: list[str]) -> DataFrame:
     text = "﻿" + ",".join(header)
     lines = files.select("archive", F.posexplode(F.array(F.lit("　 "), F.lit(text))).alias("pos", "line"))
     headed = lines.select("archive", (F.col("pos") - 2).cast("long").alias("line_no"), "line").unionByName(data)
-    # Rendered text comes from few input splits; real text would arrive in many.
     positions = F.create_map(*[F.lit(x) for i, name in enumerate(header) for x in (name, i)])
-    return headed.repartition(parallelism(data.sparkSession)).select(
-        "*", F.lit(-1).cast("long").alias("header_line"), positions.alias("header")
-    )
+    return headed.select("*", F.lit(-1).cast("long").alias("header_line"), positions.alias("header"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """The given tables come in few input splits; real text would arrive in many."""
+    return df.repartition(parallelism(df.sparkSession))
 
 
 def _line(*fields: Column) -> Column:
@@ -35,7 +37,7 @@ def _day(c: str) -> Column:
 
 
 def race_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = _spread(table(spark, sf_dir, "orders"))
     line = _line(
         F.col("o_orderstatus"),
         _day("o_orderdate"),
@@ -54,7 +56,11 @@ def race_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def horse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = _spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"
+        )
+    )
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     rows = li.join(o, li.l_orderkey == o.o_orderkey)
     line = _line(
@@ -85,7 +91,7 @@ def bet_number(slot: int, j: int) -> Column:
 
 
 def payback_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 5 != 0)
+    o = _spread(table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 5 != 0))
     names, values = [], []
     for slot, (_, amount, numbers) in enumerate(BETS, start=1):
         names += [amount, *numbers]
