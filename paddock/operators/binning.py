@@ -82,12 +82,12 @@ def find_numeric_bins(
     share = F.floor((F.col("upto") - F.col("n")) * budget / F.col("rows"))
     room = limit - (F.col("holes") > 0).cast("int")
     slot = F.when(F.col("distinct") <= room, F.col("place")).otherwise(share).cast("long")
-    staged = upto.join(sizes, "feature")
+    staged = upto.join(F.broadcast(sizes), "feature")  # one row per feature column
     if forced is None:
         zone, bounds = F.lit(0), F.array().cast("array<double>")
     else:
         own = forced.groupBy("feature").agg(F.sort_array(F.collect_set("upper_bound")).alias("forced"))
-        staged = staged.join(own, "feature", "left")
+        staged = staged.join(F.broadcast(own), "feature", "left")
         below = F.size(F.filter("forced", lambda b: b < F.col("value")))
         zone, bounds = F.when(F.col("forced").isNull(), 0).otherwise(below), F.col("forced")
     staged = staged.where(~lost | (F.col("distinct") == 0)).select(

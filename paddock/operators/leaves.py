@@ -23,7 +23,7 @@ def renew_leaf_percentile(rows: DataFrame, alpha: float, leaf: str = "leaf", wei
         totals["reach"] = F.col("weight")
     placed = running_totals(rows, [leaf], order, totals)
     sums = rows.groupBy(leaf).agg(F.count(F.lit(1)).alias("n"), *([F.sum("weight").alias("w")] if weighted else []))
-    both = placed.join(sums, leaf)
+    both = placed.join(F.broadcast(sums), leaf)  # one row per leaf
     at = lambda i: F.max(F.when(F.col("place") == i, F.col("residual")))
     if not weighted:
         spot = (1.0 - alpha) * F.col("n")
@@ -36,7 +36,7 @@ def renew_leaf_percentile(rows: DataFrame, alpha: float, leaf: str = "leaf", wei
         return near.groupBy(leaf).agg(value.alias("renewed"))
     threshold = (1.0 - alpha) * F.col("w")
     passes = both.where(F.col("reach") > threshold).groupBy(leaf).agg(F.min("place").alias("pos"))
-    near = both.join(passes, leaf).where(F.col("place").between(F.col("pos") - 1, F.col("pos")))
+    near = both.join(F.broadcast(passes), leaf).where(F.col("place").between(F.col("pos") - 1, F.col("pos")))
     v1, v2 = at(F.col("pos") - 1), at(F.col("pos"))
     r1 = F.max(F.when(F.col("place") == F.col("pos") - 1, F.col("reach")))
     r2 = F.max(F.when(F.col("place") == F.col("pos"), F.col("reach")))

@@ -52,8 +52,8 @@ def filter_race(rows: DataFrame, track: str, race_date: int, race_no: int) -> Da
 
 
 def filter_races(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows whose key is in `keys`; key columns must share names."""
-    return rows.join(keys.select(*[c for c in keys.columns if c in rows.columns]), KEY, "left_semi")
+    """Rows whose key is in `keys`; a key with very many rows is spread over tasks."""
+    return skewed_join(rows, keys.select(*KEY).distinct(), KEY, "left_semi")
 
 
 def map_race(table: DataFrame) -> DataFrame:
@@ -118,11 +118,12 @@ def join_payback(races: DataFrame, payouts: DataFrame, payload: str = "payouts")
 
 
 def races_without_horses(races: DataFrame, horses: DataFrame) -> DataFrame:
-    return races.join(horses, KEY, "left_anti")
+    # Only distinct keys travel, combined before the shuffle.
+    return races.join(horses.select(*KEY).distinct(), KEY, "left_anti")
 
 
 def horses_without_race(horses: DataFrame, races: DataFrame) -> DataFrame:
-    return horses.join(races, KEY, "left_anti")
+    return skewed_join(horses, races.select(*KEY).distinct(), KEY, "left_anti")
 
 
 def entries_with_outcomes(

@@ -67,7 +67,21 @@ def _first_filled(text: str, first_line: int) -> tuple[int | None, str | None]:
 
 
 def _unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of `_member_rows`, handed on together until they reach the piece size."""
     columns = ["archive", "yyyymm", "kind", "first_line", "text", "header_line", "header_text", "error"]
+    ready: list[tuple] = []
+    held = 0
+    for row in _member_rows(frames):
+        ready.append(row)
+        held += 256 + len(row[4] or "")
+        if held >= PIECE_BYTES:
+            yield pd.DataFrame(ready, columns=columns).astype({"header_line": "Int64"})
+            ready, held = [], 0
+    if ready:
+        yield pd.DataFrame(ready, columns=columns).astype({"header_line": "Int64"})
+
+
+def _member_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for frame in frames:
         for archive, content in zip(frame["path"], frame["content"]):
             seen: set[str] = set()
@@ -81,16 +95,14 @@ def _unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 text = text.removeprefix("﻿")
                             if header[1] is None:
                                 header = _first_filled(text, first_line)
-                            row = (archive, month, kind, first_line, text, *header, None)
-                            yield pd.DataFrame([row], columns=columns)
+                            yield (archive, month, kind, first_line, text, *header, None)
                             first_line += len(re.findall(LINE_END, text))
             except zipfile.BadZipFile as problem:
-                yield pd.DataFrame([(archive, None, None, 0, None, None, None, str(problem))], columns=columns)
+                yield (archive, None, None, 0, None, None, None, str(problem))
                 continue
             for kind in KINDS:
                 if kind not in seen:
-                    row = (archive, None, kind, 0, None, None, None, f"{kind} not found")
-                    yield pd.DataFrame([row], columns=columns)
+                    yield (archive, None, kind, 0, None, None, None, f"{kind} not found")
 
 
 def unzip_members(archives: DataFrame) -> DataFrame:
