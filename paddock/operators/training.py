@@ -70,6 +70,7 @@ class TrainParams:
     stochastic_rounding: bool = True
     checkpoint_every: int = 10
     trees_together: int = 8
+    subtract_rows: int | None = None
     tree: TreeParams = TreeParams()
     objective_params: ObjectiveParams = ObjectiveParams()
 
@@ -209,11 +210,11 @@ class _Run:
             work = work.where(F.col("qg0").isNotNull())
         work = work.persist(StorageLevel.MEMORY_AND_DISK)
         needs_roots = p.tree.path_smooth > 0 or p.tree.monotone_constraints or p.tree.monotone_penalty > 0 or p.tree.forced_splits
-        roots = [self._root(work, *slot, scale) if needs_roots else (0.0, 0.0, 0) for slot in slots]
+        roots = [self._root(work, *slot, scale) if needs_roots else (0.0, 0.0, tops["n"]) for slot in slots]
         names = [[s.name for s in self.specs]] * n_slots
         if p.feature_fraction < 1.0:
             names = [feature_sample(names[0], p.feature_fraction, p.tree.feature_fraction_seed, iteration, i) for i in range(n_slots)]
-        trees = grow_trees(work, slots, roots, self.specs, p.tree, scale, names, self.used, iteration)
+        trees = grow_trees(work, slots, roots, self.specs, p.tree, scale, names, self.used, iteration, p.subtract_rows)
         for i, t in enumerate(trees):
             if not t.nodes and not needs_roots:  # no split was found, so the root's sums are still unknown
                 g, h, n = self._root(work, *slots[i], scale)

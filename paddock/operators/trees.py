@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -347,7 +348,7 @@ class _Growing:
     def __init__(self, slot: int, root: tuple[float, float, int], specs: list[FeatureBins], p: TreeParams, features: list[str], used: set[str]):
         g, h, n = root
         self.slot, self.specs, self.p, self.features, self.used = slot, specs, p, features, used
-        self.root = _Open(0, 0, g, h, n, plain_output(g, h, p) if n else 0.0, script=p.forced_splits)
+        self.root = _Open(0, 0, g, h, n, plain_output(g, h, p) if h else 0.0, script=p.forced_splits)
         self.all = [self.root]
         self.ordered = bool(p.cegb_penalty_feature_coupled or p.cegb_penalty_feature_lazy)
 
@@ -489,10 +490,78 @@ class _Growing:
         return tree
 
 
+# Rows under the nodes of a level from which the larger child of each split is derived from
+# its parent instead of being summed again.
+SUBTRACT_ROWS = 2_000_000
+
+
+class _Histograms:
+    """Histograms of the levels so far, kept for the parents they belong to.
+
+    They are small (nodes x features x bins). When both children of a node are asked for,
+    only the one with fewer rows is summed; the other is parent less sibling.
+    """
+
+    def __init__(self, keys: list[str], threshold: int):
+        self.keys, self.threshold = keys, threshold
+        self.levels: list[DataFrame] = []
+        self.home: dict[tuple[int, int], int] = {}
+
+    def plan(self, trees: list[_Growing], asked: dict[int, list[_Open]]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(slot, larger child) to (parent, smaller child, level of the parent's histogram)."""
+        pairs = {}
+        for t in trees:
+            wanted = {n.id for n in asked[t.slot]}
+            for parent in t.all:
+                level = self.home.get((t.slot, parent.id))
+                if level is None or parent.children is None or parent.n < self.threshold:
+                    continue
+                small, large = sorted(parent.children, key=lambda c: c.n)
+                if {small.id, large.id} <= wanted:
+                    pairs[t.slot, large.id] = (parent.id, small.id, level)
+        return pairs
+
+    def complete(self, summed: DataFrame, pairs: dict[tuple[int, int], tuple[int, int, int]]) -> DataFrame:
+        """Histograms of the summed nodes and of those derived from their parents."""
+        if not pairs:
+            return summed
+        summed = summed.persist(StorageLevel.MEMORY_AND_DISK)
+        self.levels.append(summed)
+        parts = []
+        for level in sorted({p[2] for p in pairs.values()}):
+            own = {k: p for k, p in pairs.items() if p[2] == level}
+            parent = self._renamed(self.levels[level], {(slot, p[0]): large for (slot, large), p in own.items()})
+            small = self._renamed(summed, {(slot, p[1]): large for (slot, large), p in own.items()})
+            parts.append(histogram_subtract(parent, small, self.keys))
+        for part in parts:
+            summed = summed.unionByName(part)
+        return summed
+
+    def _renamed(self, hist: DataFrame, new: dict[tuple[int, int], int]) -> DataFrame:
+        cases = " ".join(f"WHEN slot = {slot} AND node = {old} THEN {fresh}" for (slot, old), fresh in new.items())
+        named = hist.selectExpr("slot", f"CASE {cases} END AS node", "feature", "bin", "g", "h", "n")
+        return named.where("node IS NOT NULL")
+
+    def keep(self, hist: DataFrame, asked: dict[int, list[_Open]]) -> DataFrame:
+        """Remember a level for its children, when any of them could gain from it."""
+        if not any(n.n >= self.threshold for nodes in asked.values() for n in nodes):
+            return hist
+        hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
+        for slot, nodes in asked.items():
+            for n in nodes:
+                self.home[slot, n.id] = len(self.levels)
+        self.levels.append(hist)
+        return hist
+
+    def drop(self) -> None:
+        for level in self.levels:
+            level.unpersist()
+
+
 def grow_trees(
     rows: DataFrame, slots: list[tuple[str, str]], roots: list[tuple[float, float, int]], specs: list[FeatureBins],
     p: TreeParams, scale: tuple[float, float], features: list[list[str]] | None = None, used: set[str] | None = None,
-    seed: int = 0,
+    seed: int = 0, subtract_rows: int | None = None,
 ) -> list[Tree]:
     """Grow one tree per slot, all levels of all slots together.
 
@@ -508,6 +577,7 @@ def grow_trees(
         or (features and any(set(f) != set(names) for f in features)) or p.monotone_penalty > 0
     )
     spark = rows.sparkSession
+    levels = _Histograms(keys, SUBTRACT_ROWS if subtract_rows is None else subtract_rows)
     while True:
         asked = {t.slot: t.chosen()[2] for t in trees}
         if not any(asked.values()):
@@ -517,10 +587,11 @@ def grow_trees(
         if not any(asked.values()):
             continue
         cells = []
+        derived = {} if special else levels.plan(trees, asked)
         for t in trees:
             if asked[t.slot]:
                 g, h = slots[t.slot]
-                node = F.expr(t.route({n.id for n in asked[t.slot]}))
+                node = F.expr(t.route({n.id for n in asked[t.slot] if (t.slot, n.id) not in derived}))
                 cells.append(F.struct(F.lit(t.slot).alias("slot"), node.alias("node"), F.col(g).alias("g"), F.col(h).alias("h")))
         if len(cells) == 1:
             cut = rows.select(cells[0].alias("c"), "bins").select("c.*", "bins")
@@ -530,6 +601,8 @@ def grow_trees(
         common = sorted({i for t in trees for n in asked[t.slot] for i in t.allowed(n)}) if special else None
         hist = gradient_histogram(cut, keys, common if common is not None and len(common) < len(names) else None)
         nodes = None
+        if not special:
+            hist = levels.keep(levels.complete(hist, derived), asked)
         if special:
             table = [
                 (t.slot, n.id, n.lo, n.hi, n.value, n.depth, t.allowed(n)) for t in trees for n in asked[t.slot]
@@ -549,6 +622,7 @@ def grow_trees(
         for t in trees:
             for n in asked[t.slot]:
                 t.learn(n, found.get((t.slot, n.id)), scale)
+    levels.drop()
     return [t.finished() for t in trees]
 
 
