@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.operators.prefix import positions
+from paddock.operators.prefix import positions, running_totals
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType)
 
@@ -67,20 +67,21 @@ def feature_ranges(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def drop_constant_features(df: DataFrame, features: list[str], min_rows: int = 0) -> DataFrame:
-    """(feature, keep): a feature with one value, or whose values other than the most
-    extreme cannot leave `min_rows` rows on each side of any cut, is unsplittable."""
-    ranges = feature_ranges(df, features)
+    """(feature, keep): whether a feature has two values and, with `min_rows`, a cut that
+    leaves at least that many rows on each side.
+
+    Values combine per feature first; their running counts are range-partitioned.
+    """
     if min_rows <= 0:
+        ranges = feature_ranges(df, features)
         spread = (F.col("min") < F.col("max")) | ((F.col("missing") > 0) & (F.col("missing") < F.col("rows")))
         return ranges.select("feature", F.coalesce(spread, F.lit(False)).alias("keep"))
-    edges = ranges.select("feature", "min", "max", "rows")
-    long = unpivot(df, features).join(F.broadcast(edges), "feature")  # one row per feature
-    sides = long.groupBy("feature", "rows").agg(
-        F.count_if(F.col("value") > F.col("min")).alias("above"),
-        F.count_if(F.col("value") < F.col("max")).alias("below"),
-    )
-    keep = (F.col("above") >= min_rows) & (F.col("below") >= min_rows) & (F.col("rows") >= 2 * min_rows)
-    return sides.select("feature", keep.alias("keep"))
+    counts = unpivot(df, features).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = running_totals(counts, ["feature"], [F.col("value")], {"upto": F.col("n")})
+    sizes = upto.groupBy("feature").agg(F.sum("n").alias("rows"))
+    parted = (F.col("upto") >= min_rows) & (F.col("rows") - F.col("upto") >= min_rows)
+    both = upto.join(F.broadcast(sizes), "feature")  # one row per feature column
+    return both.groupBy("feature").agg(F.max(parted).alias("keep"))
 
 
 def unpivot(df: DataFrame, features: list[str], keep: list[str] = ()) -> DataFrame:

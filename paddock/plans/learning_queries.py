@@ -450,8 +450,11 @@ def _drop_constant(spark, sf):
 
 @query(
     "drop_unsplittable_features",
-    """SELECT 'l_quantity' AS feature, count(*) FILTER (l_quantity > 1) >= 5000 AND count(*) FILTER (l_quantity < 50) >= 5000 AS keep FROM lineitem
-       UNION ALL SELECT 'rare', count(*) FILTER (l_partkey % 97 = 0) >= 5000 FROM lineitem""",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, bool_or(upto >= 5000 AND total - upto >= 5000) AS keep FROM "
+        f"(SELECT sum(count(*)) OVER (ORDER BY {value}) AS upto, (SELECT count(*) FROM lineitem) AS total FROM lineitem GROUP BY {value})"
+        for name, value in (("l_quantity", "l_quantity"), ("rare", "(l_partkey % 97 = 0)"))
+    ),
 )
 def _drop_unsplittable(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("rare", (F.col("l_partkey") % 97 == 0).cast("double"))
