@@ -566,7 +566,7 @@ def _expected_value(spark, sf):
     return model.expected_value(leaf_rows(spark, sf)).withColumn("expected", to_places(F.col("expected")))
 
 
-@query("merge_models", f"SELECT tree_id, leaf_id, value FROM {_NODES_SQL} WHERE tree_id < 40 UNION ALL SELECT tree_id + 40, leaf_id, value FROM {_NODES_SQL} WHERE tree_id < 30")
+@query("merge_models", f"SELECT tree_id, leaf_id, value FROM {_NODES_SQL} WHERE tree_id < 40 UNION ALL SELECT CAST(tree_id + (SELECT max(tree_id) + 1 FROM {_NODES_SQL} WHERE tree_id < 40) AS INTEGER), leaf_id, value FROM {_NODES_SQL} WHERE tree_id < 30")
 def _merge_models(spark, sf):
     rows = leaf_rows(spark, sf)
     return model.merge_models(rows.where("tree_id < 40"), rows.where("tree_id < 30")).select("tree_id", "leaf_id", "value")
