@@ -258,8 +258,6 @@ def _pairs(lists: DataFrame, pivots: DataFrame, count: int, params: Params) -> D
 def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links (a, b) between nodes, enough to connect every class, and (node, root)."""
     lists = stored(candidate_lists(nodes, params), "lists")
-    wanted = stored(lists.select("node").distinct().join(nodes.select("node", "rep"), "node"), "candidates")
-    sets = stored(_whole_sets(docs, wanted, params), "sets")
     found = tested = roots = None
     count = params.pivots
     while True:
@@ -282,6 +280,9 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = stored(nodes.select("node", "rep").join(ends, "node"), "candidates")
+        sets = stored(_whole_sets(docs, wanted, params), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
         )
