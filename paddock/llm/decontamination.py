@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.hashing import mix64, shingle_hashes, stream, word_hashes
-from paddock.llm.tables import text_bytes
+from paddock.llm.tables import join_small, stored, text_bytes
 
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 _SECOND = stream(31, 1)[0]
@@ -178,5 +178,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
     """The rows of `docs` whose id holds no benchmark item, all columns as they were."""
-    held = contaminated(docs, benchmark, doc_id=doc_id, **names).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col(doc_id).cast("long") == F.col("__held"), "left_anti")
+    held = stored(contaminated(docs, benchmark, doc_id=doc_id, **names).select(F.col("doc_id").alias("__held")).distinct(), "leaks")
+    return join_small(docs, held, F.col(doc_id).cast("long") == F.col("__held"), "left_anti")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paddock.llm.tables import stored
+from paddock.llm.tables import join_small, stored
 from paddock.operators.prefix import running_totals
 
 _BUCKETS = 4096
@@ -151,5 +151,5 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
     stream, goals = _streamed(docs, text, source, doc_id, params)
     starts = stream.where("size > 0").withColumn("block_no", F.floor(F.col("from") / F.col("block")))
     plays = starts.join(_plays(goals, params), ["place", "block_no"]).groupBy(F.col("doc_id").alias("__id")).agg(F.max("plays").cast("int").alias("__plays"))
-    kept = docs.join(plays, F.col(doc_id).eqNullSafe(F.col("__id")))
+    kept = join_small(docs, stored(plays, "plays"), F.col(doc_id).eqNullSafe(F.col("__id")), "inner")
     return kept.where(word_count(F.col(text)) > 0).withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)

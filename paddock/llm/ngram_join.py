@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm.components import components
 from paddock.llm.hashing import mix64, set_hashes, shingle_hashes, stream, word_hashes
-from paddock.llm.tables import stored, text_bytes
+from paddock.llm.tables import join_small, stored, text_bytes
 from paddock.operators.prefix import first_rows
 from paddock.session import parallelism
 
@@ -201,9 +201,7 @@ def candidate_lists(nodes: DataFrame, params: Params) -> DataFrame:
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
     """(node, members) of the wanted nodes, from the text of one document of each."""
-    ids = wanted.select(F.col("rep").alias("doc_id"))
-    small = wanted.count() <= params.broadcast_ids
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    texts = join_small(docs, wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi", params.broadcast_ids)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,3 +316,22 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Pa
     out = signed.select("doc_id", "n_shingles", "node", "check").join(named, ["node", "check"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
+    """One document of each class, that of smallest id, all columns as they were.
+
+    Rows without an id stay. Rows that share an id stay if one of them is the first of its
+    class, and of those with equal texts one stays.
+    """
+    classes = stored(join(docs, text, doc_id, params), "classes").where("doc_id IS NOT NULL")
+    by_id = stored(
+        classes.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("first")), "ids"
+    )
+    same = F.col(doc_id).cast("long") == F.col("__id")
+    kept = join_small(docs, by_id.where("NOT first").select("__id"), same, "left_anti", params.broadcast_ids)
+    again = by_id.where("first AND rows > 1").select("__id")
+    if again.isEmpty():
+        return kept
+    alone = join_small(kept, again, same, "left_anti", params.broadcast_ids)
+    return alone.unionByName(join_small(kept, again, same, "left_semi", params.broadcast_ids).dropDuplicates([doc_id, text]))

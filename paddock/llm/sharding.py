@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.tables import stored
+from paddock.llm.tables import join_small, stored
 from paddock.operators.prefix import positions
 
 
@@ -113,20 +113,36 @@ def propagate(nodes: DataFrame, members: DataFrame, params: Params = Params()) -
     return state.where("linked").unionByName(filled)
 
 
-def shard_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
-    """Every row of `docs`: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def _sharded(rows: DataFrame, text: str, doc_id: str, params: Params) -> DataFrame:
+    """Shard and slot of each row, told by its column `row`."""
     value = F.col(text)
     nodes = stored(
-        docs.select(
-            F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(value), F.lit(0)) + 1).cast("long").alias("size"),
+        rows.select(
+            "row", F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(value), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(value).alias("text_crc32"), F.sha2(value, 256).alias("hub"),
-        ).withColumn("row", F.monotonically_increasing_id()),
+        ),
         "nodes",
     )
     shared = nodes.where("hub IS NOT NULL").groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(nodes.select("row", "hub").join(shared.select("hub"), "hub", "left_semi"), "members")
     sharded = stored(propagate(nodes.drop("hub"), members, params), "sharded")
-    slotted = positions(sharded, ["shard"], [F.col("place")], "slot")
-    return slotted.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    return positions(sharded, ["shard"], [F.col("place")], "slot").withColumn("slot", F.col("slot") - 1)
+
+
+def shard_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
+    """Every row of `docs`: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    rows = docs.select(F.col(doc_id), F.col(text)).withColumn("row", F.monotonically_increasing_id())
+    return _sharded(rows, text, doc_id, params).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+def with_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
+    """Every row of `docs`, all columns, with `shard` and `slot` (replacing columns so named).
+
+    Rows may be alike in all columns, so they are numbered and written before they are dealt.
+    """
+    numbered = stored(docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(doc_id), F.col(text), F.col("__row").alias("row"))
+    found = stored(_sharded(rows, text, doc_id, params).select(F.col("row").alias("__row"), "shard", "slot"), "slots")
+    return join_small(numbered, found, "__row", "inner").drop("__row")

@@ -36,3 +36,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
+
+
+def join_small(many: DataFrame, few: DataFrame, on: str | Column, how: str, limit: int = 2_000_000) -> DataFrame:
+    """Join a stored narrow table to a wide one: broadcast while it has at most `limit` rows
+    (some tens of bytes each), shuffled beyond, so that wide rows move only when they must."""
+    return many.join(F.broadcast(few) if few.count() <= limit else few, on, how)
