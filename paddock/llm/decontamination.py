@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.hashing import mix64, shingle_hashes, stream, word_hashes
+from paddock.llm.hashing import contains, mix64, shingle_hashes, stream, word_hashes
 from paddock.llm.tables import join_small, stored, text_bytes
 
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long"
@@ -128,7 +128,7 @@ class Index:
                 continue
             shingles = shingle_hashes(words, width)
             maybe = np.flatnonzero(self.seen[width][shingles >> np.uint64(44)])
-            maybe = maybe[np.isin(shingles[maybe], known)]
+            maybe = maybe[contains(known, shingles[maybe])]
             if not len(maybe):
                 continue
             starts: dict[int, list[np.ndarray]] = {}

@@ -90,6 +90,22 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(total)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; a plain sort beats the general routine here."""
+    if len(values) < 2:
+        return values
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
+def contains(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values are among the sorted keys."""
+    if not len(sorted_keys):
+        return np.zeros(len(values), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_keys, values), len(sorted_keys) - 1)
+    return sorted_keys[at] == values
+
+
 def set_hashes(members: np.ndarray) -> tuple[int, int]:
     """Two independent order-free 64-bit hashes of a set of distinct hashes, as signed numbers."""
     one = mix64(members + _LENGTH).sum(dtype=np.uint64)
