@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.components import components
-from paddock.llm.hashing import mix64, set_hashes, shingle_hashes, stream, word_hashes
+from paddock.llm.hashing import distinct, mix64, set_hashes, shingle_hashes, stream, word_hashes
 from paddock.llm.tables import join_small, stored, text_bytes
 from paddock.operators.prefix import first_rows
 from paddock.session import parallelism
@@ -100,7 +100,7 @@ def frequent_shingles(docs: DataFrame, params: Params) -> tuple[np.ndarray, np.n
 
         for batch in batches:
             for text in text_bytes(batch, "__text"):
-                found = np.unique(shingle_hashes(word_hashes(text), params.width))
+                found = distinct(shingle_hashes(word_hashes(text), params.width))
                 if len(found):
                     pending.append((found >> np.uint64(32)).astype(np.uint32))
                     size += len(found)
@@ -146,7 +146,7 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], params: Para
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("n_shingles", "node", "check", "listed", "subsets")}
             for text in text_bytes(batch, "__text"):
-                members = np.unique(shingle_hashes(word_hashes(text), params.width))
+                members = distinct(shingle_hashes(word_hashes(text), params.width))
                 r = len(members)
                 one, two = set_hashes(members)
                 listed = subsets = np.empty(0, dtype=np.uint64)
@@ -207,7 +207,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame
         for batch in batches:
             nodes, sets = [], []
             for text in text_bytes(batch, "__text"):
-                members = np.unique(shingle_hashes(word_hashes(text), params.width))
+                members = distinct(shingle_hashes(word_hashes(text), params.width))
                 nodes.append(set_hashes(members)[0])
                 sets.append(members.astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
