@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import decontamination, language_id, mixing, multi_index, ngram_join, sharding, warc
+from paddock.llm import decontamination, language_id, lm_scoring, mixing, multi_index, ngram_join, sharding, warc
 from paddock.llm.tables import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,8 @@ def op8_label_propagation_sharding(spark: SparkSession, sf_dir: str) -> DataFram
 @_query
 def op6_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op4_backoff_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
