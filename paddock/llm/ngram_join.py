@@ -16,10 +16,13 @@ Size-aware, heavy and light sets apart:
   plus list entries scanned above it.
 
 Sets that are equal are one node, so copies meet in one aggregate and never in pairs. In a
-list, `pivots` members are compared with all others; a list whose members still lie in several
-components gets further pivots (from the smaller components first, twice as many each round)
-until none is left to compare, so long lists of near copies cost their length times few
-pivots, and no link between components is missed. Surviving pairs are verified on whole sets.
+list of up to `short_list` members all are compared; in a longer one `pivots` members are
+compared with all others. A list whose members still lie in several components gets further
+pivots (from the smaller components, twice as many each round) until none is left to compare,
+so long lists of near copies cost their length times few pivots, and no link between
+components is missed. A pair leaves the scan only if 256 parity bits of the two sets allow the
+overlap it needs (bits that differ are shingles that differ). What remains is verified on
+whole sets.
 Shingle frequencies, which only choose the order, are counted over all documents; at most
 `ordered_hot` of the most frequent shingles are told apart, which bounds what is sent to
 tasks and changes speed, never results.
@@ -35,6 +38,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -50,6 +54,7 @@ from paddock.session import parallelism
 
 _SUBSET = stream(21, 64)
 _FLUSH = 1 << 21
+_SKETCH = ["k0", "k1", "k2", "k3"]
 
 
 @dataclass(frozen=True)
@@ -59,7 +64,8 @@ class Params:
     light_limit: int = 19  # largest size for which subsets are considered
     hot_count: int = 3  # shingles in so many places are ordered last, by their count
     ordered_hot: int = 1 << 19
-    pivots: int = 64
+    short_list: int = 64
+    pivots: int = 8
     broadcast_ids: int = 2_000_000  # candidate ids are broadcast up to here, shuffled beyond
 
 
@@ -138,13 +144,20 @@ def subset_keys(members: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """256 parity bits of a set as 4 signed numbers. Two sketches differ in no more bits than
+    the sets differ in members."""
+    odd = np.bincount((mix64(members ^ _SUBSET[63]) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], params: Params) -> DataFrame:
-    """Per row: id, size of the set, two hashes of the set, listed shingles, subset keys."""
+    """Per row: id, size of the set, two hashes and the sketch of it, listed shingles, subset keys."""
     hot_keys, hot_counts = hot
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("n_shingles", "node", "check", "listed", "subsets")}
+            out: dict[str, list] = {n: [] for n in ("n_shingles", "node", "check", *_SKETCH, "listed", "subsets")}
             for text in text_bytes(batch, "__text"):
                 members = distinct(shingle_hashes(word_hashes(text), params.width))
                 r = len(members)
@@ -160,14 +173,14 @@ def signatures(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], params: Para
                     listed = members[order[: r - _least_kept(r, params.percent) + 1]]
                     if r <= params.light_limit:
                         subsets = subset_keys(members, params.percent)
-                for name, value in zip(out, (r, one, two, listed.astype(np.int64), subsets.astype(np.int64))):
+                for name, value in zip(out, (r, one, two, *parity_sketch(members).tolist(), listed.astype(np.int64), subsets.astype(np.int64))):
                     out[name].append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            types = (*[pa.int64()] * 7, pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(v, t) for v, t in zip(out.values(), types)]], ["doc_id", *out]
             )
 
-    schema = "doc_id long, n_shingles long, node long, check long, listed array<long>, subsets array<long>"
+    schema = "doc_id long, n_shingles long, node long, check long, k0 long, k1 long, k2 long, k3 long, listed array<long>, subsets array<long>"
     return docs.select("doc_id", "__text").mapInArrow(sign, schema)
 
 
@@ -216,46 +229,45 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _pairs(lists: DataFrame, pivots: DataFrame, count: int, params: Params) -> DataFrame:
-    """Pairs (a, b) of a pivot and another member that their sizes and common lists allow.
+def _pairs(lists: DataFrame, pivots: DataFrame, params: Params) -> DataFrame:
+    """Pairs (a, b) of a pivot and another member that sizes, sketches and common lists allow.
 
-    Lists with more members than pivots count for every pair that may share them unseen.
+    `unseen` is the number of long lists of a node, in which a common place may go unseen.
     """
     percent = params.percent
-    long = lists.where(F.col("members") > count).groupBy("node").agg(F.count("*").alias("unseen"))
-    chosen = pivots.select("key", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("p").alias("p_other"), F.col("comp").alias("comp_other"))
+    carried = ["node", "n", "p", "comp", "unseen", *_SKETCH]
+    chosen = pivots.select("key", *[F.col(c).alias(f"{c}_b") for c in carried])
     marks = pivots.select("key", "node", F.lit(True).alias("pivot"))
+    needed = _overlap(F.col("n"), F.col("n_b"), percent)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(k).bitwiseXOR(F.col(f"{k}_b"))) for k in _SKETCH])
     met = (
         lists.join(marks, ["key", "node"], "left").join(chosen, "key")
         .where(
-            (F.col("comp") != F.col("comp_other")) & (F.col("pivot").isNull() | (F.col("node") < F.col("other")))
-            & (100 * F.least("n", "n_other") >= percent * F.greatest("n", "n_other"))
+            (F.col("comp") != F.col("comp_b")) & (F.col("pivot").isNull() | (F.col("node") < F.col("node_b")))
+            & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+            & (differ <= F.col("n") + F.col("n_b") - 2 * needed)
         )
     )
-    first = F.col("node") < F.col("other")
-    sides = met.select(
-        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"),
-        F.when(first, F.col("n")).otherwise(F.col("n_other")).alias("n_a"),
-        F.when(first, F.col("n_other")).otherwise(F.col("n")).alias("n_b"),
-        F.when(first, F.col("p")).otherwise(F.col("p_other")).alias("p_a"),
-        F.when(first, F.col("p_other")).otherwise(F.col("p")).alias("p_b"),
-    )
-    common = sides.groupBy("a", "b").agg(
-        F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"),
+    first = F.col("node") < F.col("node_b")
+    side = lambda c, a: (F.when(first, F.col(c)).otherwise(F.col(f"{c}_b")) if a else F.when(first, F.col(f"{c}_b")).otherwise(F.col(c)))
+    sides = met.select(*[side(c, True).alias(f"{c}_a") for c in ("node", "n", "p", "unseen")], *[side(c, False).alias(f"{c}_b") for c in ("node", "n", "p", "unseen")])
+    common = sides.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
+        *[F.max(c).alias(c) for c in ("n_a", "n_b", "p_a", "p_b", "unseen_a", "unseen_b")],
         F.sum((F.col("p_a") > 0).cast("long")).alias("seen"), F.max((F.col("p_a") == 0) | (F.col("p_b") == 0)).alias("subset"),
     )
-    known = common.join(long.select(F.col("node").alias("a"), F.col("unseen").alias("u_a")), "a", "left").join(
-        long.select(F.col("node").alias("b"), F.col("unseen").alias("u_b")), "b", "left"
-    )
-    at_most = F.col("seen") + F.least(F.coalesce("u_a", F.lit(0)), F.coalesce("u_b", F.lit(0)))
+    at_most = F.col("seen") + F.least("unseen_a", "unseen_b")
     needed = _overlap(F.col("n_a"), F.col("n_b"), percent)
     enough = at_most >= F.least(F.col("p_a") - F.col("n_a") + needed, F.col("p_b") - F.col("n_b") + needed)
-    return known.where(F.col("subset") | enough).select("a", "b", "n_a", "n_b")
+    return common.where(F.col("subset") | enough).select("a", "b", "n_a", "n_b")
 
 
 def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links (a, b) between nodes, enough to connect every class, and (node, root)."""
-    lists = stored(candidate_lists(nodes, params), "lists")
+    lists = candidate_lists(nodes, params)
+    long = F.col("members") > params.short_list
+    known = stored(lists, "lists")
+    unseen = known.groupBy("node").agg(F.sum(long.cast("long")).alias("unseen"))
+    lists = stored(known.join(nodes.select("node", *_SKETCH).join(unseen, "node"), "node"), "sketched-lists")
     found = tested = roots = None
     count = params.pivots
     while True:
@@ -266,15 +278,15 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame
         now = stored(now.drop("members").join(spread.select("key", "members"), "key"), "open-lists")
         if now.isEmpty():
             return found, roots
+        order = [F.xxhash64("node"), F.col("node")]
         if roots is None:
-            order = [F.xxhash64("node"), F.col("node")]
-            pivots = first_rows(now, ["key"], order, count)
+            pivots = first_rows(now.where(~long), ["key"], order, params.short_list).unionByName(first_rows(now.where(long), ["key"], order, count))
         else:
             sizes = now.groupBy("key", "comp").agg(F.count("*").alias("in_list"))
             main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("in_list", "comp")).alias("main"))
-            pivots = first_rows(now.join(main, "key").where("comp != main").drop("main"), ["key"], [F.xxhash64("node"), F.col("node")], count)
+            pivots = first_rows(now.join(main, "key").where("comp != main").drop("main"), ["key"], order, count)
         pivots = stored(pivots, "pivots")
-        pairs = _pairs(now, pivots, count, params)
+        pairs = _pairs(now, pivots, params)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -301,7 +313,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Pa
     signed = stored(signatures(narrow, frequent_shingles(narrow, params), params), "signatures")
     nodes = stored(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node", "check").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("listed").alias("listed"), F.first("subsets").alias("subsets")
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(k).alias(k) for k in _SKETCH], F.first("listed").alias("listed"), F.first("subsets").alias("subsets")
         ),
         "nodes",
     )
