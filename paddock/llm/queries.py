@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm import decontamination, language_id, lm_scoring, mixing, multi_index, ngram_join, sharding, warc
+from paddock.llm import decontamination, language_id, lm_scoring, mixing, multi_index, ngram_join, quality_pu, sharding, toxicity, warc
 from paddock.llm.tables import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,8 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, fold("doc_id", 3) != 1)
-    return language_id.identify(docs.withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False))), model, ["doc_id", "held_out"])
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
 
 
 @_query
@@ -59,3 +60,19 @@ def op6_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_backoff_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
+@_query
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, prior = quality_pu.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return quality_pu.score(docs.select("doc_id", "text", held_out.alias("held_out")), model, prior, ["doc_id", "held_out"])
+
+
+@_query
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return toxicity.score(docs.select("doc_id", "text", held_out.alias("held_out")), model, ["doc_id", "held_out"])
