@@ -85,7 +85,7 @@ def schedule(goals: DataFrame, params: Params = Params()) -> DataFrame:
     shares = goals.select("place", "blocks", slots.alias("slots"))
     shares = shares.withColumn("all", F.sum("slots").over(every))
     upto = F.sum("slots").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    lines = shares.withColumn("high", upto / F.col("all")).withColumn("low", F.coalesce(F.lag("high").over(W.orderBy("place")), F.lit(0.0))).where("high > low")
+    lines = shares.withColumn("high", F.try_divide(upto, "all")).withColumn("low", F.coalesce(F.lag("high").over(W.orderBy("place")), F.lit(0.0))).where("high > low")
     # The last source's line ends at 1 whatever the rounding of the sums.
     lines = lines.withColumn("high", F.when(F.col("place") == F.max("place").over(every), F.lit(1.0)).otherwise(F.col("high")))
     count = lines.agg(F.max("all")).first()[0]

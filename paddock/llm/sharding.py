@@ -10,12 +10,13 @@ every shard to its exact count. So the law is `rows`: counts differ by one at mo
 
 Only counts per pair of shards come to the driver. Neighbourhoods are never collected: hubs
 vote with one counter per shard. Ranks come from range-partitioned running counts, so a hub
-or shard of any size spreads over many tasks; a hub larger than a shard fills shards in turn.
-Everything is DataFrame functions.
+or shard of any size spreads over many tasks. A hub larger than a shard fills shards in turn:
+its members wish for shards with room only. Everything is DataFrame functions.
 
 Defined results: null texts are linked with nothing, equal empty texts with each other. Null
 ids and repeated rows are rows like others. An empty table gives an empty result. Other
-columns are never read. Ties between shards fall by the hash of the hub.
+columns are never read. Ties between shards fall by a hash of the hub that changes with each
+round, so that wishes which found no partner to exchange with get another chance.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from paddock.operators.prefix import positions
 @dataclass(frozen=True)
 class Params:
     shards: int = 8
-    rounds: int = 5
+    rounds: int = 8  # at most; it ends when no wish can be granted
     seed: int = 23
 
 
@@ -47,12 +48,15 @@ def _pick(pairs: dict[tuple[int, int], int], a: Column, b: Column) -> Column:
 
 def quotas(wishes: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
     """Moves granted from i to j: exchanges, plus a share of the room in j."""
-    out = {}
-    for (i, j), n in wishes.items():
-        swap = min(n, wishes.get((j, i), 0))
-        others = sum(m - min(m, wishes.get((k, h), 0)) for (h, k), m in wishes.items() if k == j)
-        left = n - swap
-        out[i, j] = swap + (min(left, room.get(j, 0) * left // others) if others else 0)
+    out = {(i, j): min(n, wishes.get((j, i), 0)) for (i, j), n in wishes.items()}
+    for j in {j for _, j in wishes}:
+        left = {i: n - out[i, j] for (i, k), n in wishes.items() if k == j}
+        given, total = min(room.get(j, 0), sum(left.values())), sum(left.values())
+        parts = {i: given * n // total if total else 0 for i, n in left.items()}
+        for i in sorted(left, key=lambda i: (parts[i] - left[i], i))[: given - sum(parts.values())]:
+            parts[i] += 1
+        for i, n in parts.items():
+            out[i, j] += n
     return out
 
 
@@ -62,6 +66,10 @@ def _start(nodes: DataFrame, params: Params) -> DataFrame:
     return positions(nodes, [], drawn, "place").withColumn("shard", F.pmod(F.col("place") - 1, F.lit(params.shards)).cast("int"))
 
 
+def _linked_counts(state: DataFrame) -> dict[int, int]:
+    return {r["shard"]: r["n"] for r in state.where("linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+
+
 def propagate(nodes: DataFrame, members: DataFrame, params: Params = Params()) -> DataFrame:
     """`nodes` (row, doc_id, ...) with `shard`; `members` (row, hub) are their links.
 
@@ -73,20 +81,27 @@ def propagate(nodes: DataFrame, members: DataFrame, params: Params = Params()) -
         _start(nodes, params).join(linked, "row", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "shards"
     )
     room_of = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    for _ in range(params.rounds):
+    for turn in range(params.rounds):
+        held = _linked_counts(state)
+        room = {s: n - held.get(s, 0) for s, n in room_of.items()}
         votes = members.join(state.select("row", "shard"), "row").groupBy("hub").agg(
             *[F.sum((F.col("shard") == s).cast("long")).alias(f"v{s}") for s in ids]
         )
         near = members.join(votes, "hub").groupBy("row").agg(F.min("hub").alias("hub"), *[F.sum(f"v{s}").alias(f"v{s}") for s in ids])
-        turn = F.xxhash64("hub", F.lit(params.seed))
+        least = min(room_of.values(), default=0)
+        every = reduce(lambda x, y: x + y, [F.col(f"v{s}") for s in ids])
+        drawn = F.xxhash64("hub", F.lit(params.seed + turn))
         best = F.greatest(*[
-            F.struct(F.col(f"v{s}").alias("votes"), F.pmod(turn + s, F.lit(params.shards)).alias("turn"), F.lit(s).alias("shard")) for s in ids
+            F.struct(
+                F.when((every <= least) | F.lit(room.get(s, 0) > 0) | (F.col("shard") == s), F.col(f"v{s}")).otherwise(F.lit(-1).cast("long")).alias("votes"),
+                F.pmod(drawn + F.lit(s), F.lit(params.shards)).alias("turn"), F.lit(s).alias("shard"),
+            )
+            for s in ids
         ])
-        wish = near.select("row", "hub", best["shard"].alias("wish"))
-        movers = stored(state.join(wish, "row").where("wish != shard").select("row", "hub", "shard", "wish"), "movers")
+        wish = state.join(near, "row").select("row", "hub", "shard", best["shard"].alias("wish"))
+        movers = stored(wish.where("wish != shard"), "movers")
         wishes = {(r["shard"], r["wish"]): r["n"] for r in movers.groupBy("shard", "wish").agg(F.count("*").alias("n")).collect()}
-        held = {r["shard"]: r["n"] for r in state.where("linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        granted = {k: n for k, n in quotas(wishes, {s: n - held.get(s, 0) for s, n in room_of.items()}).items() if n}
+        granted = {k: n for k, n in quotas(wishes, room).items() if n}
         if not granted:
             break
         ranked = positions(movers, ["shard", "wish"], [F.xxhash64("hub"), F.col("hub"), F.col("row")], "rank")
@@ -94,7 +109,7 @@ def propagate(nodes: DataFrame, members: DataFrame, params: Params = Params()) -
         state = stored(state.join(moved, "row", "left").withColumn("shard", F.coalesce("wish", "shard")).drop("wish"), "shards")
 
     # Unlinked rows fill the shards: each keeps its first ones, the rest go where rows lack.
-    held = {r["shard"]: r["n"] for r in state.where("linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    held = _linked_counts(state)
     free = {r["shard"]: r["n"] for r in state.where("NOT linked").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     wanted = {s: n - held.get(s, 0) for s, n in room_of.items()}
     ranked = positions(state.where("NOT linked"), ["shard"], [F.col("place")], "rank")
