@@ -44,8 +44,8 @@ _STEP = stream(42, 1)[0] | np.uint64(1)
 class Params:
     order: int = 2
     prior: float = 2.0  # k
-    block_bytes: int = 12 << 20  # of text
-    range_bits: int = 7
+    block_bytes: int = 8 << 20  # of text
+    range_bits: int = 8  # at least; there are twice as many ranges as blocks
 
 
 def _tokens(text: bytes | None) -> np.ndarray:
@@ -77,6 +77,27 @@ def _count(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(weights, first)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """The low 7 bytes of each key; the range that a key is in tells the eighth."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _unpack_keys(packed: bytes, top: int) -> np.ndarray:
+    out = np.full((len(packed) // 7, 8), top, dtype=np.uint8)
+    out[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
+    return out.reshape(-1).view("<u8")
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest, after a byte that says how many."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(counts) or counts.max() < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _unpack_counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 def _block_ngrams(texts: list[bytes | None], train: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of a block, of all orders, with their training counts."""
     keys, weights = [], []
@@ -175,7 +196,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     )
     train_tokens, kinds, size = totals(narrow, params)
     blocks = max(1, -(-size // params.block_bytes))
-    ranges = 1 << params.range_bits
+    ranges = 1 << max(8, params.range_bits)
     while ranges < 2 * blocks:
         ranges *= 2
     bits = ranges.bit_length() - 1
@@ -191,21 +212,22 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         number = group["block"][0].as_py()
         return pa.table({
             "range": pa.array([r for r, _, _ in full], pa.int32()), "block": pa.array([number] * len(full), pa.int32()),
-            "keys": pa.array([p.tobytes() for _, p, _ in full], pa.binary()), "counts": pa.array([c.astype("<u4").tobytes() for _, _, c in full], pa.binary()),
+            "keys": pa.array([_pack_keys(p) for _, p, _ in full], pa.binary()), "counts": pa.array([_pack_counts(c) for _, _, c in full], pa.binary()),
         })
 
     def summing(group: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
-        own = [np.frombuffer(c, "<u4").astype(np.int64) for c in group["counts"].to_pylist()]
+        top = group["range"][0].as_py() >> (bits - 8)
+        lists = [_unpack_keys(k, top) for k in group["keys"].to_pylist()]
+        own = [_unpack_counts(c) for c in group["counts"].to_pylist()]
         keys, counts = _count(np.concatenate(lists), np.concatenate(own))
-        back = [counts[np.searchsorted(keys, part)].tobytes() for part in lists]
+        back = [_pack_counts(counts[np.searchsorted(keys, part)]) for part in lists]
         return pa.table({"range": group["range"], "block": group["block"], "counts": pa.array(back, pa.binary())})
 
     def reading(texts: pa.Table, answers: pa.Table) -> pa.Table:
         values = _texts(texts)
         keys, _ = _block_ngrams(values, np.zeros(len(values), np.int64), params.order)
         parts = answers.sort_by("range")["counts"].to_pylist()
-        counts = np.frombuffer(b"".join(parts), np.int64)
+        counts = np.concatenate([_unpack_counts(p) for p in parts])
         n, known, base, total = traverse(values, keys, counts, train_tokens, kinds, params)
         return pa.table({
             "doc_id": texts["doc_id"], "held_out": texts["held_out"], "n_tokens": n, "n_known": known,
