@@ -26,7 +26,16 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         below = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = below.unionAll(least.select("u", F.col("m").alias("v")))
-    return moved.where("u != v").distinct()
+    return moved.where("u != v")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs under one root that hangs under nothing."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    )
+    sides = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return sides.where((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))).isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,12 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
     )
-    mark = None
-    while True:
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == mark or not seen["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root"))
-            ).distinct()
-        mark = seen
-        now = stored(_star(_star(now, True), False), "edges")
+    while not _is_forest_of_stars(now):
+        now = stored(_star(_star(now, True), False).distinct(), "edges")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
+        now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    )

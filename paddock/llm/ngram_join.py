@@ -18,7 +18,7 @@ Size-aware, heavy and light sets apart:
 Sets that are equal are one node, so copies meet in one aggregate and never in pairs. In a
 list of up to `short_list` members all are compared; in a longer one `pivots` members are
 compared with all others. A list whose members still lie in several components gets further
-pivots (from the smaller components, twice as many each round) until none is left to compare,
+pivots (from the smaller components, more each round) until none is left to compare,
 so long lists of near copies cost their length times few pivots, and no link between
 components is missed. A pair leaves the scan only if 256 parity bits of the two sets allow the
 overlap it needs (bits that differ are shingles that differ). What remains is verified on
@@ -65,7 +65,8 @@ class Params:
     hot_count: int = 3  # shingles in so many places are ordered last, by their count
     ordered_hot: int = 1 << 19
     short_list: int = 64
-    pivots: int = 8
+    pivots: int = 16
+    pivot_growth: int = 8  # times as many each round
     broadcast_ids: int = 2_000_000  # candidate ids are broadcast up to here, shuffled beyond
 
 
@@ -267,17 +268,11 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame
     long = F.col("members") > params.short_list
     known = stored(lists, "lists")
     unseen = known.groupBy("node").agg(F.sum(long.cast("long")).alias("unseen"))
-    lists = stored(known.join(nodes.select("node", *_SKETCH).join(unseen, "node"), "node"), "sketched-lists")
+    sketched = known.join(nodes.select("node", *_SKETCH).join(unseen, "node"), "node")
+    now = stored(sketched.withColumn("comp", F.col("node")), "open-lists")
     found = tested = roots = None
     count = params.pivots
-    while True:
-        now = lists.withColumn("comp", F.col("node")) if roots is None else (
-            lists.join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        )
-        spread = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low != high")
-        now = stored(now.drop("members").join(spread.select("key", "members"), "key"), "open-lists")
-        if now.isEmpty():
-            return found, roots
+    while not now.isEmpty():
         order = [F.xxhash64("node"), F.col("node")]
         if roots is None:
             pivots = first_rows(now.where(~long), ["key"], order, params.short_list).unionByName(first_rows(now.where(long), ["key"], order, count))
@@ -303,8 +298,12 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame
         tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
         found = linked if found is None else found.unionAll(linked)
         roots = stored(components(found), "roots")
-        lists = now.drop("comp").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
-        count *= 2
+        count *= params.pivot_growth
+        left = now.drop("comp").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
+        placed = left.join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+        now = stored(placed.join(spread.select("key"), "key"), "open-lists")
+    return found, roots
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
