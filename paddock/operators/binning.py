@@ -161,7 +161,7 @@ def find_category_bins(values: DataFrame, max_bin: int = MAX_BIN) -> DataFrame:
     Bin 0 is kept for negative, missing and unseen values; fractions are cut toward zero.
     Only the `max_bin` - 1 most frequent categories get bins, cut before the shuffle.
     """
-    category = F.when(~F.isnan("value"), F.col("value")).cast("int")
+    category = F.when(~F.isnan("value"), F.col("value")).try_cast("int")  # too large to be one: dropped
     counts = (
         values.withColumn("category", category)
         .where("category >= 0")
@@ -213,7 +213,7 @@ def value_to_bin(x: Column, spec: FeatureBins) -> Column:
     The bounds become a balanced chain of comparisons: about log2(bins) of them per row.
     """
     if spec.kind == "categorical":
-        whole = F.when(F.isnan(x) | x.isNull(), F.lit(-1)).otherwise(x.cast("int"))
+        whole = F.when(F.isnan(x) | x.isNull(), F.lit(-1)).otherwise(x.try_cast("int"))
         if not spec.categories:
             return F.lit(0)
         table = F.create_map(*[F.lit(v) for i, c in enumerate(spec.categories, 1) for v in (c, i)])
@@ -259,7 +259,7 @@ def bin_stats(binned: DataFrame, features: list[str], default_bins: dict[str, in
 
 def category_bitset(x: Column, categories: list[int]) -> Column:
     """Whether a value, cut toward zero, is in a category set; negative and missing are not."""
-    whole = F.when(F.isnan(x), F.lit(None)).otherwise(x).cast("int")
+    whole = F.when(F.isnan(x), F.lit(None)).otherwise(x).try_cast("int")
     return F.coalesce(whole.isin(*categories) & (whole >= 0), F.lit(False))
 
 

@@ -10,20 +10,25 @@ from paddock.operators.prefix import positions
 from paddock.operators.race import KEY, first_per_key
 
 # Horses per nested row. Real races have far fewer, so they are one row with part 0; a key
-# with more rows continues in further parts and no row grows without bound.
+# with more rows continues in further parts and no row grows without bound. Only part 0 holds
+# the race and its payouts, so sums over bundles count them once.
 PART_ROWS = 4096
 
 
 def race_bundle(
     races: DataFrame, horses: DataFrame, paybacks: DataFrame, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """(key, part, race, entries, outcomes, payouts), horses in number order.
+    """(key, part, race, entries, outcomes, payouts, rejected), horses in number order.
+
+    `rejected` counts the race's horses without a number or name, which are in no list.
 
     Horse positions come from a range-partitioned running count, so a hot key is numbered
     by many tasks and collected `part_rows` at a time.
     """
+    named = F.col("horse_no").isNotNull() & F.col("horse_name").isNotNull()
+    rejected = horses.where(~named).groupBy(*KEY).agg(F.count("*").alias("rejected"))
     numbered = positions(
-        horses.where(F.col("horse_no").isNotNull() & F.col("horse_name").isNotNull()),
+        horses.where(named),
         KEY,
         [F.col("horse_no"), F.col("archive"), F.col("line_no")],
     ).withColumn("part", F.floor((F.col("position") - 1) / part_rows).cast("long"))
@@ -39,8 +44,13 @@ def race_bundle(
     return (
         race.join(paid, KEY, "left")
         .withColumn("payouts", F.coalesce("payouts", F.array()))
+        .join(rejected, KEY, "left")
         .join(nested, KEY, "inner")
-        .select(*KEY, "part", "race", "entries", "outcomes", "payouts")
+        .select(
+            *KEY, "part", F.when(F.col("part") == 0, F.col("race")).alias("race"), "entries", "outcomes",
+            F.when(F.col("part") == 0, F.col("payouts")).otherwise(F.array()).alias("payouts"),
+            F.when(F.col("part") == 0, F.coalesce("rejected", F.lit(0))).otherwise(F.lit(0)).alias("rejected"),
+        )
     )
 
 

@@ -123,7 +123,8 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "predict
 
 
 def auc_mu(
-    df: DataFrame, classes: int, label: str = "label", scores: str = "scores", weights: list[list[float]] | None = None
+    df: DataFrame, classes: int, label: str = "label", scores: str = "scores", weights: list[list[float]] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Mean over class pairs of the AUC along the direction that separates the pair.
 
@@ -132,6 +133,7 @@ def auc_mu(
     cost = weights or [[0.0 if i == j else 1.0 for j in range(classes)] for i in range(classes)]
     pairs = [(i, j) for i in range(classes) for j in range(i + 1, classes)]
     y, s = F.col(label).cast("int"), F.col(scores)
+    row_weight = F.col(weight).cast("double") if weight else F.lit(1.0)
 
     def along(i: int, j: int) -> Column:
         terms = [(cost[j][k] - cost[i][k], k) for k in range(classes)]
@@ -143,12 +145,12 @@ def auc_mu(
     cells = [
         F.when(
             y.isin(i, j),
-            F.struct(F.lit(n).alias("pair"), (y == i).cast("double").alias("is_first"), along(i, j).alias("score")),
+            F.struct(F.lit(n).alias("pair"), (y == i).cast("double").alias("is_first"), along(i, j).alias("score"), row_weight.alias("w")),
         )
         for n, (i, j) in enumerate(pairs)
     ]
     long = df.select(F.inline(F.array_compact(F.array(*cells))))
-    totals = _class_totals(long, "is_first", "score", None, ["pair"])
+    totals = _class_totals(long, "is_first", "score", "w", ["pair"])
     below = running_totals(totals, ["pair"], [F.col("score")], {"neg_upto": F.col("neg")})
     areas = below.groupBy("pair").agg(
         (F.sum(F.col("pos") * (F.col("neg_upto") - 0.5 * F.col("neg"))) / (F.sum("pos") * F.sum("neg"))).alias("area")
@@ -216,12 +218,13 @@ def ndcg(
     return each.agg(value.alias("value")).select(F.lit(f"ndcg@{k}").alias("metric"), "value")
 
 
-def map_at(df: DataFrame, k: int, group: str = "group_id", tie: str = "row_id") -> DataFrame:
+def map_at(df: DataFrame, k: int, group: str = "group_id", tie: str = "row_id", weight: str | None = None) -> DataFrame:
     """Mean over groups of average precision in the first k; divided by min(relevant, k).
 
-    A group without relevant rows counts as 1.
+    A group without relevant rows counts as 1. `weight` is a group weight: the mean of its rows'.
     """
-    relevant = df.groupBy(group).agg(F.count_if(F.col("label") > 0).alias("relevant"))
+    of_group = F.avg(weight) if weight else F.lit(1.0)
+    relevant = df.groupBy(group).agg(F.count_if(F.col("label") > 0).alias("relevant"), of_group.alias("__w"))
     order = [F.col("score").desc(), F.col(tie)]
     rank = F.row_number().over(W.partitionBy(group).orderBy(*order))
     top = df.select(group, tie, "label", "score").withColumn("__r", rank).where(F.col("__r") <= k)
@@ -233,9 +236,10 @@ def map_at(df: DataFrame, k: int, group: str = "group_id", tie: str = "row_id")
     each = relevant.join(got, group, "left").select(
         F.when(F.col("relevant") > 0, F.coalesce("precision", F.lit(0.0)) / F.least("relevant", F.lit(k)))
         .otherwise(F.lit(1.0))
-        .alias("ap")
+        .alias("ap"),
+        "__w",
     )
-    return each.agg(F.avg("ap").alias("value")).select(F.lit(f"map@{k}").alias("metric"), "value")
+    return each.agg((F.sum(F.col("ap") * F.col("__w")) / F.sum("__w")).alias("value")).select(F.lit(f"map@{k}").alias("metric"), "value")
 
 
 def evaluate(df: DataFrame, metric: str, **params) -> DataFrame:
@@ -253,10 +257,13 @@ def evaluate(df: DataFrame, metric: str, **params) -> DataFrame:
     return sized[base](df, k=int(k or (1 if base == "multi_error" else 5)), **params)
 
 
-def eval_all(datasets: dict[str, DataFrame], metrics: list[str], params: dict[str, dict] | None = None) -> DataFrame:
+def eval_all(
+    datasets: dict[str, DataFrame], metrics: list[str], params: dict[str, dict] | None = None, weight: str | None = None
+) -> DataFrame:
     """(dataset, metric, value) for every metric on every dataset.
 
-    Pointwise metrics of one dataset share a single pass over it.
+    Pointwise metrics of one dataset share a single pass over it. `weight` names the row
+    weights of all datasets.
     """
     params = params or {}
     known = pointwise_losses()
@@ -268,12 +275,14 @@ def eval_all(datasets: dict[str, DataFrame], metrics: list[str], params: dict[st
             values = []
             for m in shared:
                 loss = pointwise_losses(**params.get(m, {}))[m](y, p)
-                value = F.sqrt(F.avg(loss)) if m == "rmse" else F.avg(loss)
+                w = F.col(weight) if weight else F.lit(1.0)
+                mean = F.sum(w * loss) / F.sum(w)
+                value = F.sqrt(mean) if m == "rmse" else mean
                 values.append(F.struct(F.lit(m).alias("metric"), value.alias("value")))
             frames.append(df.agg(F.array(*values).alias("m")).select(F.lit(name).alias("dataset"), F.inline("m")))
         for m in metrics:
             if m not in known:
-                frames.append(evaluate(df, m, **params.get(m, {})).select(F.lit(name).alias("dataset"), "metric", "value"))
+                frames.append(evaluate(df, m, weight=weight, **params.get(m, {})).select(F.lit(name).alias("dataset"), "metric", "value"))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

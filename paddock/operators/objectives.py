@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paddock.functions.numeric import sigmoid, sign, softmax, softplus
 from paddock.operators.joins import HOT_ROWS, skewed_join
 from paddock.operators.metrics import discount, label_gain, max_dcg
-from paddock.operators.prefix import positions
+from paddock.operators.prefix import positions, weighted_percentile
 
 GradHess = tuple[Column, Column]
 
@@ -125,9 +125,9 @@ def gradients(
 ) -> DataFrame:
     """Add columns g and h; ranking objectives need group_id and row_id columns."""
     if objective == "lambdarank":
-        return lambdarank_gradients(df, p, label, score)
+        return _weighted_rows(lambdarank_gradients(df, p, label, score), weight)
     if objective == "rank_xendcg":
-        return xendcg_gradients(df, p, label, score)
+        return _weighted_rows(xendcg_gradients(df, p, label, score), weight)
     if objective in MULTI:
         both = [class_gradients(objective, F.col(label), F.col(score), k, p, F.col(weight) if weight else None) for k in range(p.num_class)]
         return df.withColumn("g", F.array(*[g for g, _ in both])).withColumn("h", F.array(*[h for _, h in both]))
@@ -135,6 +135,10 @@ def gradients(
     return df.withColumn("g", g).withColumn("h", h)
 
 
+def _weighted_rows(df: DataFrame, weight: str | None) -> DataFrame:
+    return df if weight is None else df.withColumn("g", F.col("g") * F.col(weight)).withColumn("h", F.col("h") * F.col(weight))
+
+
 def lambdarank_gradients(
     df: DataFrame, p: ObjectiveParams = ObjectiveParams(), label: str = "label", score: str = "score",
     group: str = "group_id", row_id: str = "row_id", hot_rows: int | None = HOT_ROWS,
@@ -232,22 +236,24 @@ def hash_unit(key: Column, seed: int, step: int = 0) -> Column:
     return F.pmod(mixed, F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-def start_score(df: DataFrame, objective: str, p: ObjectiveParams = ObjectiveParams(), label: str = "label") -> DataFrame:
-    """One row with the starting score; the label mean drives most objectives."""
+def start_score(
+    df: DataFrame, objective: str, p: ObjectiveParams = ObjectiveParams(), label: str = "label", weight: str | None = None
+) -> DataFrame:
+    """One row with the starting score; the weighted label mean drives most objectives."""
     y = target(F.col(label).cast("double"), p)
-    if objective == "regression_l1":
-        return df.agg(F.percentile_approx(y, 0.5, 10000).alias("start"))
-    if objective == "quantile":
-        return df.agg(F.percentile_approx(y, p.alpha, 10000).alias("start"))
-    if objective == "mape":
-        return df.agg(F.percentile_approx(y, 0.5, 10000).alias("start"))
-    mean = F.avg(y)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    if objective in RENEWED:
+        if objective == "mape":
+            w = w / F.greatest(F.lit(1.0), F.abs(F.col(label).cast("double")))
+        share = p.alpha if objective == "quantile" else 0.5
+        return weighted_percentile(df.select(y.alias("value"), w.alias("weight")), share).select(F.col("value").alias("start"))
+    mean = F.sum(w * y) / F.sum(w)
     if objective in ("regression", "huber"):
         return df.agg(mean.alias("start"))
     if objective in LOG_SCORE:
         return df.agg(F.log(mean).alias("start"))
     if objective == "binary":
-        share = F.avg((y > 0).cast("double"))
+        share = F.sum(w * (y > 0).cast("double")) / F.sum(w)
         share = F.least(F.greatest(share, F.lit(1e-15)), F.lit(1.0 - 1e-15))
         return df.agg((F.log(share / (1.0 - share)) / p.sigmoid).alias("start"))
     if objective == "cross_entropy":
@@ -259,9 +265,10 @@ def start_score(df: DataFrame, objective: str, p: ObjectiveParams = ObjectivePar
     return df.agg((F.count(F.lit(1)) * 0.0).alias("start"))
 
 
-def class_start_scores(df: DataFrame, objective: str, p: ObjectiveParams, label: str = "label") -> DataFrame:
+def class_start_scores(df: DataFrame, objective: str, p: ObjectiveParams, label: str = "label", weight: str | None = None) -> DataFrame:
     """(class_id, start) from class shares: log prior, or its logit in one-versus-all mode."""
-    shares = [F.avg((F.col(label).cast("int") == k).cast("double")) for k in range(p.num_class)]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    shares = [F.sum(w * (F.col(label).cast("int") == k).cast("double")) / F.sum(w) for k in range(p.num_class)]
     safe = [F.least(F.greatest(s, F.lit(1e-15)), F.lit(1.0 - 1e-15)) for s in shares]
     start = [F.log(s) if objective == "multiclass" else F.log(s / (1.0 - s)) / p.sigmoid for s in safe]
     return df.agg(F.array(*start).alias("starts")).select(F.posexplode("starts").alias("class_id", "start"))

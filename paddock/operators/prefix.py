@@ -74,3 +74,15 @@ def first_rows(df: DataFrame, key: list[str], order: list[Column], count: int =
         .where(F.col("__rank") <= count)
         .drop("__rank")
     )
+
+
+def weighted_percentile(df: DataFrame, share: float, value: str = "value", weight: str = "weight") -> DataFrame:
+    """One row (value): the smallest value up to which `share` of all weight lies, exactly.
+
+    Equal values are combined first, so only distinct values are put in order.
+    """
+    combined = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.sum(weight).alias("weight"))
+    upto = running_totals(combined, [], [F.col("value")], {"upto": F.col("weight")})
+    total = upto.agg(F.sum("weight").alias("total"))
+    reached = F.col("upto") >= F.col("total") * (share - 1e-12)
+    return upto.join(F.broadcast(total)).agg(F.min(F.when(reached, F.col("value"))).alias("value"))  # total is one row

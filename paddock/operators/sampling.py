@@ -8,18 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.operators.objectives import hash_unit
+from paddock.operators.prefix import weighted_percentile
 
 # Default sample size and seeds.
 BIN_SAMPLE = 200_000
 DATA_SEED, BAGGING_SEED, FEATURE_SEED = 1, 3, 2
 
 
-def top_by_hash(df: DataFrame, k: int, seed: int, row_id: str = "row_id") -> DataFrame:
-    """k rows, uniform without replacement: those with the k smallest hashes.
+def top_by_hash(df: DataFrame, k: int | None, seed: int, row_id: str = "row_id") -> DataFrame:
+    """k rows (None: all), uniform without replacement: those with the k smallest hashes.
 
     A count sets a hash limit that about k rows pass, so the ordering sees little more than
     k rows in all, however many there are; a table of at most k rows is kept whole.
     """
+    if k is None:
+        return df
     n = df.count()
     if n <= k:
         return df
@@ -30,8 +33,8 @@ def top_by_hash(df: DataFrame, k: int, seed: int, row_id: str = "row_id") -> Dat
     return near.orderBy("__u", row_id).limit(k).drop("__u")
 
 
-def sample_for_bins(df: DataFrame, k: int = BIN_SAMPLE, seed: int = DATA_SEED, row_id: str = "row_id") -> DataFrame:
-    """min(n, k) rows to find bins from."""
+def sample_for_bins(df: DataFrame, k: int | None = BIN_SAMPLE, seed: int = DATA_SEED, row_id: str = "row_id") -> DataFrame:
+    """min(n, k) rows to find bins from; None takes all."""
     return top_by_hash(df, k, seed, row_id)
 
 
@@ -81,7 +84,7 @@ def goss(
     """Rows with the largest |g * h|, a sample of the rest, and `goss_weight` that makes up
     for the rest that was left out. One job finds the cut; the sampling itself is narrow."""
     size = F.abs(F.col("g") * F.col("h")) if size is None else size
-    cut = df.agg(F.percentile_approx(size, 1.0 - top_rate, 10000).alias("cut")).first()["cut"]
+    cut = weighted_percentile(df.select(size.alias("value"), F.lit(1.0).alias("weight")), 1.0 - top_rate).first()["value"]
     if cut is None:
         return df.withColumn("goss_weight", F.lit(1.0))
     big = size >= cut

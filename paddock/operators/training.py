@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -37,7 +38,7 @@ class TrainParams:
     max_bin: int = 255
     min_data_in_bin: int = 3
     max_bin_by_feature: dict[str, int] = field(default_factory=dict)
-    bin_construct_sample_cnt: int = BIN_SAMPLE
+    bin_construct_sample_cnt: int | None = BIN_SAMPLE  # None: all rows
     data_random_seed: int = 1
     use_missing: bool = True
     zero_as_missing: bool = False
@@ -118,10 +119,11 @@ class _Run:
     def _starts(self, df: DataFrame) -> list[float]:
         if not self.p.boost_from_average or self.init is not None or self.objective in RANKING or "init_score" in df.columns:
             return [0.0] * self.classes
+        weight = "weight" if "weight" in df.columns else None
         if self.objective in MULTI:
-            got = class_start_scores(df, self.objective, self.op).orderBy("class_id").collect()
+            got = class_start_scores(df, self.objective, self.op, weight=weight).orderBy("class_id").collect()
             return [r["start"] for r in got]
-        return [start_score(df, self.objective, self.op).first()["start"] or 0.0]
+        return [start_score(df, self.objective, self.op, weight=weight).first()["start"] or 0.0]
 
     def _binned(self, df: DataFrame) -> DataFrame:
         """Bins, metadata and starting scores; written once so that later passes read only these."""
@@ -156,7 +158,8 @@ class _Run:
                 got = lambdarank_gradients(flat, self.op)
             else:
                 got = xendcg_gradients(flat, self.op, round_no=iteration)
-            return got.withColumn("g0", F.col("g")).withColumn("h0", F.col("h"))
+            scale = F.lit(1.0) if weight is None else weight
+            return got.withColumn("g0", F.col("g") * scale).withColumn("h0", F.col("h") * scale)
         for k in range(self.classes):
             if self.objective in MULTI:
                 g, h = class_gradients(self.objective, F.col("label"), score, k, self.op, weight)
@@ -254,7 +257,7 @@ class _Run:
 
     def _quantised(self, x: Column, scale: float, iteration: int, name: str) -> Column:
         if self.p.use_quantized_grad and self.p.stochastic_rounding:
-            u = hash_unit(F.col("row_id"), iteration, sum(map(ord, name)))
+            u = hash_unit(F.col("row_id"), iteration, zlib.crc32(name.encode()))
             return F.floor(x * scale + u).cast("bigint")
         return fixed_point(x, scale)
 
@@ -310,6 +313,20 @@ class _Run:
         self.rows = add(self.rows)
         self.valid = {n: add(v) for n, v in self.valid.items()}
 
+    def average(self, trees: list[Tree], iteration: int) -> None:
+        """Move the validation scores to the mean of `iteration` + 1 trees, as a forest scores."""
+        def mean(df: DataFrame) -> DataFrame:
+            starts = [F.lit(float(s)) for s in self.starts]
+            parts = [F.col("scores")[k] for k in range(self.classes)]
+            for t in trees:
+                k = t.class_id
+                before = (parts[k] - starts[k]) * (iteration / (iteration + 1.0))
+                parts[k] = starts[k] + before + self.tree_value(t) / (iteration + 1.0)
+            out = df.withColumn("scores", F.array(*parts))
+            return cut_lineage(out) if (iteration + 1) % self.p.checkpoint_every == 0 else out
+
+        self.valid = {n: mean(v) for n, v in self.valid.items()}
+
     def model(self) -> Model:
         trees = list(self.trees)
         if self.p.boosting == "rf":
@@ -323,21 +340,49 @@ class _Run:
         op = {k: v for k, v in self.op.__dict__.items() if k != "custom" and v is not None}
         return Model(trees, self.features, self.objective, self.classes, self.p.boosting == "rf", {"objective_params": op})
 
-    def evaluate(self) -> dict[str, float]:
-        """Metrics of every validation table."""
+    @property
+    def metrics(self) -> tuple[str, ...]:
+        """The metrics asked for; none given means the objective's own."""
+        return self.p.metric or OWN_METRICS.get(self.objective, ())
+
+    def _metric_settings(self, metric: str, columns: list[str]) -> dict:
+        """Row or group weights and those settings of the objective that its metric shares."""
+        base = metric.partition("@")[0]
+        out = {"weight": "weight"} if "weight" in columns else {}
+        if base in M.pointwise_losses():
+            out |= {"alpha": self.op.alpha, "fair_c": self.op.fair_c, "rho": self.op.tweedie_variance_power}
+        if base == "auc_mu":
+            out["classes"] = self.classes
+        if base == "ndcg" and self.op.label_gain:
+            out["gains"] = list(self.op.label_gain)
+        return out
+
+    def evaluate(self, tree_weights: list[float] | None = None) -> dict[str, float]:
+        """Metrics of every validation table; with tree weights, of the weighted kept outputs."""
         out = {}
         for name, v in self.valid.items():
+            v = v if tree_weights is None else _weighted(v, tree_weights, self.classes)
             raw = F.col("scores") if self.classes > 1 else F.col("scores")[0]
             shaped = v.withColumn("raw", raw).withColumn("prediction", output(self.objective, raw, self.op))
             shaped = shaped.withColumn("score", raw)
-            for metric in self.p.metric:
-                extra = {"classes": self.classes} if metric == "auc_mu" else {}
+            for metric in self.metrics:
+                extra = self._metric_settings(metric, v.columns)
                 if self.classes > 1:
                     shaped = shaped.withColumn("probabilities", F.col("prediction")).withColumn("scores", F.col("prediction"))
                 out[f"{name}:{metric}"] = M.evaluate(shaped, metric, **extra).first()["value"]
         return out
 
 
+# What each objective is measured by when no metric is named.
+OWN_METRICS = {
+    "regression": ("l2",), "regression_l1": ("l1",), "huber": ("huber",), "fair": ("fair",), "poisson": ("poisson",),
+    "quantile": ("quantile",), "mape": ("mape",), "gamma": ("gamma",), "tweedie": ("tweedie",), "binary": ("binary_logloss",),
+    "multiclass": ("multi_logloss",), "multiclassova": ("multi_logloss",), "cross_entropy": ("cross_entropy",),
+    "cross_entropy_lambda": ("cross_entropy_lambda",), "lambdarank": tuple(f"ndcg@{k}" for k in range(1, 6)),
+    "rank_xendcg": tuple(f"ndcg@{k}" for k in range(1, 6)),
+}
+
+
 def _has_split(trees: list[Tree]) -> bool:
     return any(t.nodes for t in trees)
 
@@ -348,6 +393,8 @@ def train(
     on_round: Callable[[int, Model], None] | None = None,
 ) -> TrainResult:
     """Train on a table with row_id, label, feature columns and optional weight, group_id, init_score."""
+    if params.boosting == "rf" and (params.bagging_freq <= 0 or min(params.bagging_fraction, params.feature_fraction) >= 1.0):
+        raise ValueError("a forest needs bagging_freq > 0 and bagging_fraction or feature_fraction below 1: its trees would all be alike")
     run = _Run(df, features, params, categorical, specs, init_model, valid)
     if params.boosting == "rf":
         return _train_forest(run)
@@ -365,7 +412,7 @@ def train(
         trees = [t.scaled(rate) for t in trees]
         run.trees += trees
         run.advance(trees, i)
-        if run.valid and params.metric:
+        if run.valid and run.metrics:
             history.append(run.evaluate())
             if stopper.update(i, history[-1]):
                 break
@@ -385,7 +432,7 @@ class EarlyStopping:
 
     def update(self, iteration: int, values: dict[str, float]) -> bool:
         stop = False
-        watched = [k for k in values if not self.p.first_metric_only or k.split(":", 1)[1] == self.p.metric[0]]
+        watched = [k for k in values if not self.p.first_metric_only or k.split(":", 1)[1] == next(iter(values)).split(":", 1)[1]]
         for key in watched:
             sign = 1.0 if M.larger_is_better(key.split(":", 1)[1]) else -1.0
             score = sign * values[key]
@@ -404,11 +451,21 @@ def _train_forest(run: _Run) -> TrainResult:
     """Independent trees on bags of the rows; several share each pass over the data."""
     p = run.p
     together = max(1, p.trees_together // run.classes)
+    stopper, history = EarlyStopping(p), []
     for first in range(0, p.num_iterations, together):
         ids = range(first, min(first + together, p.num_iterations))
         trees = run.build(first, [run.sampled(run.rows, i) for i in ids])
-        run.trees += [t for t in trees]
-    return TrainResult(run.model(), [], p.num_iterations, run.specs)
+        for i in ids if run.valid and run.metrics else ():
+            new = [t for t in trees if t.iteration == i]
+            run.trees += new
+            run.average(new, i)
+            history.append(run.evaluate())
+            if stopper.update(i, history[-1]):
+                return TrainResult(run.model(), history, stopper.best_iteration, run.specs)
+        if not history:
+            run.trees += trees
+    best = stopper.best_iteration if p.early_stopping_round > 0 and history else p.num_iterations
+    return TrainResult(run.model(), history, best, run.specs)
 
 
 def _train_dart(run: _Run) -> TrainResult:
@@ -419,6 +476,7 @@ def _train_dart(run: _Run) -> TrainResult:
     """
     p = run.p
     rng = random.Random(p.drop_seed)
+    stopper, history = EarlyStopping(p), []
     raw: list[Tree] = []
     weights: list[float] = []
     done = 0
@@ -434,7 +492,7 @@ def _train_dart(run: _Run) -> TrainResult:
                 if p.max_drop > 0 and len(drop) >= p.max_drop:
                     break
         kept = [0.0 if r in drop else w for r, w in enumerate(weights)]
-        trees = run.build(i, rows=_weighted(run, kept))
+        trees = run.build(i, rows=_weighted(run.rows, kept, run.classes))
         if not _has_split(trees):
             break
         k = len(drop)
@@ -450,21 +508,29 @@ def _train_dart(run: _Run) -> TrainResult:
         names = [s.name for s in run.specs]
         grown = run.rows.withColumn("outs", F.concat("outs", F.array(*[binned_value(t, names) for t in trees])))
         run.rows = cut_lineage(grown) if (i + 1) % p.checkpoint_every == 0 else grown
+        run.valid = {
+            n: v.withColumn("outs", F.concat("outs", F.array(*[binned_value(t, names) for t in trees]))) for n, v in run.valid.items()
+        }
         done += 1
+        if run.valid and run.metrics:
+            history.append(run.evaluate(weights))
+            if stopper.update(i, history[-1]):
+                break
     run.trees = [t.scaled(weights[t.iteration]) for t in raw]
-    return TrainResult(run.model(), [], done, run.specs)
+    best = stopper.best_iteration if p.early_stopping_round > 0 and history else done
+    return TrainResult(run.model(), history, best, run.specs)
 
 
-def _weighted(run: _Run, weights: list[float]) -> DataFrame:
+def _weighted(rows: DataFrame, weights: list[float], classes: int) -> DataFrame:
     """Scores as the start plus the weighted outputs of the kept trees."""
     if not weights:
-        return run.rows
+        return rows
     scale = F.array(*[F.lit(float(w)) for w in weights])
     parts = []
-    for k in range(run.classes):
-        own = F.transform(scale, lambda w, r: w * F.get("outs", r * run.classes + k))
+    for k in range(classes):
+        own = F.transform(scale, lambda w, r: w * F.get("outs", r * classes + k))
         parts.append(F.col("scores")[k] + F.aggregate(own, F.lit(0.0), lambda a, x: a + x))
-    return run.rows.withColumn("scores", F.array(*parts))
+    return rows.withColumn("scores", F.array(*parts))
 
 
 def refit(df: DataFrame, model: Model, params: TrainParams, decay: float = 0.9) -> Model:

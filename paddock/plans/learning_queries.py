@@ -255,13 +255,23 @@ def _metric_ap(spark, sf):
     return out.select("metric", to_places(F.col("value")).alias("value"))
 
 
-_EMBED_SQL = "(SELECT vec_id, label, list_transform(embedding[1:10], lambda x: exp(CAST(x AS DOUBLE))) AS e FROM embeddings)"
+# A score per class from the whole vector: the sum of the places that are the class modulo 10.
+_CLASS_SUM = "list_transform(range(0, 10), lambda k: round(list_sum(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: (i - 1) % 10 = k), lambda i: CAST(embedding[i] AS DOUBLE))), 9))"
+_EMBED_SQL = f"(SELECT vec_id, label, list_transform({_CLASS_SUM}, lambda x: exp(x)) AS e FROM embeddings)"
 _EMBED_P_SQL = f"(SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM {_EMBED_SQL})"
 
 
+def _class_sums():
+    def total(k):
+        own = F.filter("embedding", lambda x, i: i % 10 == k)
+        return F.round(F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double")), 9)
+
+    return F.array(*[total(k) for k in range(10)])
+
+
 def _class_probabilities(spark, sf):
     e = table(spark, sf, "embeddings")
-    grown = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(x.cast("double")))
+    grown = F.transform(_class_sums(), F.exp)
     total = F.aggregate(F.col("e"), F.lit(0.0), lambda a, x: a + x)
     return e.select("vec_id", "label", grown.alias("e")).select(
         "vec_id", "label", F.transform("e", lambda x: x / total).alias("probabilities")
@@ -270,15 +280,16 @@ def _class_probabilities(spark, sf):
 
 @query(
     "metric_auc_mu",
-    f"""WITH q AS (SELECT a.i, b.j, label, embedding[b.j + 1]::DOUBLE AS pj, embedding[a.i + 1]::DOUBLE AS pi
-                   FROM embeddings, range(0, 10) a(i), range(0, 10) b(j) WHERE a.i < b.j AND label IN (a.i, b.j)),
+    f"""WITH c AS (SELECT label, {_CLASS_SUM} AS e FROM embeddings),
+             q AS (SELECT a.i, b.j, label, e[b.j + 1] AS pj, e[a.i + 1] AS pi
+                   FROM c, range(0, 10) a(i), range(0, 10) b(j) WHERE a.i < b.j AND label IN (a.i, b.j)),
              s AS (SELECT i, j, CASE WHEN label = i THEN 1e0 ELSE 0e0 END AS pos, pi - pj AS v FROM q),
              u AS (SELECT x.i, x.j, avg(CASE WHEN x.v > y.v THEN 1e0 WHEN x.v = y.v THEN 5e-1 ELSE 0e0 END) AS area
                    FROM s x JOIN s y ON x.i = y.i AND x.j = y.j AND x.pos = 1 AND y.pos = 0 GROUP BY x.i, x.j)
         SELECT 'auc_mu' AS metric, {sql6("sum(area) / 45")} AS value FROM u""",
 )
 def _metric_auc_mu(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("scores"))
+    e = table(spark, sf, "embeddings").select("label", _class_sums().alias("scores"))
     return metrics.auc_mu(e, 10).select("metric", to_places(F.col("value")).alias("value"))
 
 

@@ -566,10 +566,10 @@ def _expected_value(spark, sf):
     return model.expected_value(leaf_rows(spark, sf)).withColumn("expected", to_places(F.col("expected")))
 
 
-@query("merge_models", f"SELECT tree_id, leaf_id, value FROM {_NODES_SQL} WHERE tree_id < 40 UNION ALL SELECT CAST(tree_id + (SELECT max(tree_id) + 1 FROM {_NODES_SQL} WHERE tree_id < 40) AS INTEGER), leaf_id, value FROM {_NODES_SQL} WHERE tree_id < 30")
+@query("merge_models", f"SELECT tree_id, leaf_id, value FROM {_NODES_SQL} WHERE tree_id % 2 = 0 UNION ALL SELECT CAST(tree_id + (SELECT max(tree_id) + 1 FROM {_NODES_SQL} WHERE tree_id % 2 = 0) AS INTEGER), leaf_id, value FROM {_NODES_SQL} WHERE tree_id % 2 <> 0")
 def _merge_models(spark, sf):
     rows = leaf_rows(spark, sf)
-    return model.merge_models(rows.where("tree_id < 40"), rows.where("tree_id < 30")).select("tree_id", "leaf_id", "value")
+    return model.merge_models(rows.where("tree_id % 2 = 0"), rows.where("tree_id % 2 <> 0")).select("tree_id", "leaf_id", "value")
 
 
 @query("slice_model", f"SELECT tree_id, leaf_id, value FROM {_NODES_SQL} WHERE iteration >= 20 AND iteration < 35")
@@ -660,7 +660,7 @@ def _nodes_of(spark, result):
 
 def _small(**over):
     tree = trees.TreeParams(num_leaves=over.pop("num_leaves", 6), **over.pop("tree", {}))
-    return training.TrainParams(**{"objective": "binary", "num_iterations": 2, "bin_construct_sample_cnt": 10**9, "tree": tree, **over})
+    return training.TrainParams(**{"objective": "binary", "num_iterations": 2, "bin_construct_sample_cnt": None, "tree": tree, **over})
 
 
 _STUMP_VALUES = " UNION ALL ".join(

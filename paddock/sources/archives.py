@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,9 @@ MEMBER_NAME = r"^(\d{6})_(racelist|horselist|payback)\.csv$"
 
 LINE_END = r"\r\n|\n|\r"
 
+# What a damaged, cut or encrypted archive or member raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
+
 # Member text leaves the unzip task in pieces of about this size, cut at line ends.
 PIECE_BYTES = 4 << 20
 
@@ -44,6 +48,17 @@ def _wanted_members(content: bytes) -> Iterator[tuple[str, str, zipfile.ZipFile,
                 yield name[1], name[2], bundle, info
 
 
+def _damage(bundle: zipfile.ZipFile, info: zipfile.ZipInfo) -> str | None:
+    """What is wrong with a member, from reading it through once: no half member goes out."""
+    try:
+        with bundle.open(info) as stream:
+            while stream.read(PIECE_BYTES):
+                pass
+    except BROKEN as problem:
+        return f"{info.filename}: {problem}"
+    return None
+
+
 def _text_pieces(stream: io.BufferedIOBase) -> Iterator[str]:
     """Decoded text cut after line feeds (or, in texts without any, after a lone return)."""
     rest = b""
@@ -88,6 +103,10 @@ def _member_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             try:
                 for month, kind, bundle, info in _wanted_members(content):
                     seen.add(kind)
+                    problem = _damage(bundle, info)
+                    if problem:
+                        yield (archive, month, kind, 0, None, None, None, problem)
+                        continue
                     first_line, header = 0, (None, None)
                     with bundle.open(info) as stream:
                         for text in _text_pieces(stream):
@@ -97,7 +116,7 @@ def _member_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                                 header = _first_filled(text, first_line)
                             yield (archive, month, kind, first_line, text, *header, None)
                             first_line += len(re.findall(LINE_END, text))
-            except zipfile.BadZipFile as problem:
+            except BROKEN as problem:
                 yield (archive, None, None, 0, None, None, None, str(problem))
                 continue
             for kind in KINDS:
@@ -197,20 +216,28 @@ def missing_columns(table: DataFrame, names: list[str], file_columns: list[str])
     return headers.select(*file_columns, F.explode(absent).alias("column"))
 
 
+def _entry_counts(content: bytes) -> Iterator[tuple[str, int, bool, int]]:
+    """(entry, newlines, open_end, bytes) of each readable file in an archive."""
+    with zipfile.ZipFile(io.BytesIO(content)) as bundle:
+        for info in bundle.infolist():
+            if info.is_dir() or _damage(bundle, info):
+                continue
+            newlines, last, size = 0, b"", 0
+            with bundle.open(info) as stream:
+                while block := stream.read(PIECE_BYTES):
+                    newlines += block.count(b"\n")
+                    last, size = block[-1:], size + len(block)
+            yield info.filename, newlines, last not in (b"", b"\n"), size
+
+
 def _count_members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for archive, content in zip(frame["path"], frame["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as bundle:
-                for info in bundle.infolist():
-                    if info.is_dir():
-                        continue
-                    newlines, last, size = 0, b"", 0
-                    with bundle.open(info) as stream:
-                        while block := stream.read(PIECE_BYTES):
-                            newlines += block.count(b"\n")
-                            last, size = block[-1:], size + len(block)
-                    out.append((archive, info.filename, newlines, last not in (b"", b"\n"), size))
+            try:
+                out += [(archive, *counts) for counts in _entry_counts(content)]
+            except BROKEN:
+                out.append((archive, "", 0, False, 0))
         yield pd.DataFrame(out, columns=["archive", "entry", "newlines", "open_end", "bytes"])
 
 
@@ -218,7 +245,7 @@ def archive_row_counts(archives: DataFrame) -> DataFrame:
     """(archive, racelist, horselist, payback, uncompressed_bytes).
 
     A member counts its line feeds, one more when its last line is open, less the header,
-    at least zero; an absent member is -1.
+    at least zero; an absent or damaged member is -1, as are all of an unreadable archive.
     """
     schema = "archive string, entry string, newlines long, open_end boolean, bytes long"
     members = archives.select("path", "content").mapInPandas(_count_members, schema)
