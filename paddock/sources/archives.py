@@ -235,9 +235,10 @@ def _count_members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for archive, content in zip(frame["path"], frame["content"]):
             try:
-                out += [(archive, *counts) for counts in _entry_counts(content)]
+                found = list(_entry_counts(content))
             except BROKEN:
-                out.append((archive, "", 0, False, 0))
+                found = []
+            out += [(archive, *counts) for counts in found or [("", 0, False, 0)]]
         yield pd.DataFrame(out, columns=["archive", "entry", "newlines", "open_end", "bytes"])
 
 
