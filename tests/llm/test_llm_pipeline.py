@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import duckdb
 import pytest
 from llm_cases import SMALL, documents, messy_rows, rows_of
 
@@ -21,6 +22,16 @@ def test_registered_query(spark, name):
         assert df.count() >= 1
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SMALL)
+    assert rows_of(df) == sorted(db.execute(entry.oracle_sql()[name]).fetchall(), key=repr)
+    assert df.columns == [d[0] for d in db.description]
+
+
 def test_pipeline_stages(spark):
     rows = messy_rows(spark, 120)
     docs = documents(spark, rows)
