@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+# By default Spark's own skew handling splits hot partitions at run time. A number of rows
+# makes keys above it salted instead, at the price of counting the keys first.
+HOT_ROWS: int | None = None
 SALTS = 32
 
 
@@ -19,16 +21,15 @@ def skewed_join(
 ) -> DataFrame:
     """Join `many` (any number of rows per key) to `one` (few rows per key) on `keys`.
 
-    Keys of `many` with more than `hot_rows` rows are split over `salts` tasks, and only
-    the rows of `one` with such a key are repeated. There can be at most
-    rows / `hot_rows` such keys, which bounds the broadcast list of them. Pass
-    `hot_rows=None` when keys are known to be even; the join is then a plain one.
+    Without `hot_rows` this is a plain join, whose hot partitions adaptive execution splits.
+    With it, keys of `many` with more than `hot_rows` rows are split over `salts` tasks, and
+    only the rows of `one` with such a key are repeated; Spark picks how the list of such keys
+    is joined.
     """
     if hot_rows is None:
         return many.join(one, keys, how)
     hot = many.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("__hot"))
-    hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in many.columns], F.monotonically_increasing_id()), F.lit(salts)).cast("int")
     salted = many.join(hot, keys, "left").withColumn(
         "__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))
     ).drop("__hot")

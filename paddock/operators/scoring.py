@@ -1,11 +1,15 @@
-"""Scoring: trees as generated CASE expressions, no shuffle and no join.
+"""Scoring: small models as generated CASE expressions, others walked batch by batch.
 
-Models beyond the size that compiles well as expressions are walked by an Arrow-batched
-function over the same rows; both give the same numbers.
+Neither shuffles nor joins, and both give the same numbers. A whole model as one expression
+outgrows generated code after a few trees, so `expression_nodes` of `predict_raw` (a few trees
+by default) says up to which size it is used; beyond it an Arrow-batched function, built once
+per task, walks the trees.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +20,7 @@ from paddock.operators.model import Model, Node, Tree
 from paddock.operators.objectives import ObjectiveParams, output
 
 # Inner nodes per model up to which expressions are generated.
-EXPRESSION_NODES = 4000
+EXPRESSION_NODES = 200
 
 
 def _name(feature: str, quote: str = "`") -> str:
@@ -162,9 +166,10 @@ def predict_raw(df: DataFrame, model: Model, name: str = "raw", expression_nodes
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by trees x leaves
 
     @F.pandas_udf("array<double>")
-    def walk(features: pd.DataFrame) -> pd.Series:
-        x = features.to_numpy(dtype=float, na_value=np.nan)
-        return pd.Series(list(_walker(shared.value)(x)))
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        scores = _walker(shared.value)
+        for features in batches:
+            yield pd.Series(list(scores(features.to_numpy(dtype=float, na_value=np.nan))))
 
     packed = walk(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))
     return df.withColumn(name, packed[0] if model.num_class == 1 else packed)

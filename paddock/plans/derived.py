@@ -12,10 +12,11 @@ from paddock.plans.race_month import RaceMonth
 from paddock.session import parallelism
 
 
-def _with_header(data: DataFrame, header: list[str]) -> DataFrame:
+def _with_header(data: DataFrame, orders: DataFrame, header: list[str]) -> DataFrame:
     """Lines of a rendered file as `read_archives` gives them: a blank line and a header
-    line come first, and every line carries its file's header."""
-    files = data.select("archive").distinct()
+    line come first, and every line carries its file's header. The files are the orders'
+    priorities, so no line is rendered to know them."""
+    files = orders.select(F.col("o_orderpriority").alias("archive")).distinct()
     text = "﻿" + ",".join(header)
     lines = files.select("archive", F.posexplode(F.array(F.lit("　 "), F.lit(text))).alias("pos", "line"))
     headed = lines.select("archive", (F.col("pos") - 2).cast("long").alias("line_no"), "line").unionByName(data)
@@ -52,7 +53,7 @@ def race_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     data = o.select(F.col("o_orderpriority").alias("archive"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
-    return _with_header(data, [*KEY_COLUMNS, *RACE_COLUMNS.values()])
+    return _with_header(data, table(spark, sf_dir, "orders"), [*KEY_COLUMNS, *RACE_COLUMNS.values()])
 
 
 def horse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,7 @@ def horse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("line_no"),
         line.alias("line"),
     )
-    return _with_header(data, [*KEY_COLUMNS, *HORSE_COLUMNS.values()])
+    return _with_header(data, o, [*KEY_COLUMNS, *HORSE_COLUMNS.values()])
 
 
 def bet_amount(slot: int) -> Column:
@@ -101,7 +102,7 @@ def payback_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
             values.append(F.when(n == 0, F.lit("")).otherwise(n.cast("string")))
     line = _line(F.col("o_orderstatus"), _day("o_orderdate"), F.col("o_orderkey"), *values)
     data = o.select(F.col("o_orderpriority").alias("archive"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
-    return _with_header(data, [*KEY_COLUMNS, *names])
+    return _with_header(data, table(spark, sf_dir, "orders"), [*KEY_COLUMNS, *names])
 
 
 def derived_month(spark: SparkSession, sf_dir: str) -> RaceMonth:

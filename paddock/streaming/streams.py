@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from paddock.operators.binning import FeatureBins, bin_table
-from paddock.operators.model import Model
+from paddock.operators.model import Model, load_model, save_model
 from paddock.operators.scoring import predict, predict_raw
 from paddock.operators.training import TrainParams, refit
 from paddock.plans.race_month import RaceMonth, from_archives
@@ -44,14 +44,23 @@ def stream_archives(
 
 
 class OnlineRefit:
-    """A model whose leaf values follow a stream of labelled rows."""
+    """A model whose leaf values follow a stream of labelled rows.
+
+    The model after each batch is saved next to the stream's progress, under the batch's
+    number: a restart goes on from the last one, and a batch that comes again starts from the
+    model before it, so no batch is lost or counts twice.
+    """
 
     def __init__(self, model: Model, params: TrainParams, decay: float = 0.9):
         self.model, self.params, self.decay = model, params, decay
 
     def start(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
+        spark, first = rows.sparkSession, self.model
+        folder = f"{checkpoint}-models"
+
         def each(batch: DataFrame, batch_id: int) -> None:
-            if not batch.isEmpty():
-                self.model = refit(batch, self.model, self.params, self.decay)
+            before = load_model(spark, f"{folder}/{batch_id - 1}") if batch_id else first
+            self.model = before if batch.isEmpty() else refit(batch, before, self.params, self.decay)
+            save_model(spark, self.model, f"{folder}/{batch_id}")
 
         return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
