@@ -207,5 +207,5 @@ def _read_training_table(spark, sf):
     odd = F.when(F.col("l_partkey") % 17 == 0, F.lit("x1")).otherwise(F.col("l_discount").cast("string"))
     text = table(spark, sf, "lineitem").select("l_quantity", (F.col("l_linenumber") % 3 + 1).alias("w"), "l_extendedprice", odd.alias("l_discount"))
     text.write.option("header", True).csv(path)
-    rows, _, _ = tables.read_training_table(spark, path, header=True, label="name:l_quantity", weight="name:w", fmt="csv")
+    rows, _, _ = tables.read_training_table(spark, path, header=True, label="name:l_quantity", weight="name:w", fmt="csv", row_id=True)
     return rows.drop("row_id")

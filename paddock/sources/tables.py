@@ -35,12 +35,14 @@ def _resolve(role: str | int | None, header: list[str] | None, label_at: int) ->
 def read_training_table(
     spark: SparkSession, path: str, header: bool = False, label: str | int = 0, weight: str | int | None = None,
     group: str | int | None = None, ignore: list[str | int] = (), fmt: str | None = None,
+    row_id: bool = False,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """(rows, rejects, feature names) of delimited text.
 
-    Rows have row_id, label, optional weight and group_id, and double features; a row with a
-    token that is no number goes to the rejects, whole. `row_id` is a hash of the row's tokens:
-    the same on every read, and equal for equal lines. Name the format in `fmt` (csv, tsv or
+    Rows have label, optional weight and group_id, and double features; a row with a token
+    that is no number goes to the rejects, whole. With `row_id`, which sampling, bagging and
+    renewed leaves need, rows get a hash of their tokens: the same on every read, and equal
+    for equal lines. Name the format in `fmt` (csv, tsv or
     libsvm) where it is known; else it is told from the first 20 lines.
     """
     head = [r["value"] for r in spark.read.text(path).limit(20).collect()]
@@ -51,7 +53,7 @@ def read_training_table(
         df = spark.read.format("libsvm").load(path).select("label", vector_to_array("features").alias("f"))
         width = df.select(F.size("f").alias("n")).first()["n"]
         names = [f"Column_{i}" for i in range(width)]
-        rows = df.select(F.xxhash64("label", "f").alias("row_id"), "label", *[F.col("f")[i].alias(n) for i, n in enumerate(names)])
+        rows = df.select(*([F.xxhash64("label", "f").alias("row_id")] if row_id else []), "label", *[F.col("f")[i].alias(n) for i, n in enumerate(names)])
         return rows, rows.limit(0), names
     sep = "\t" if fmt == "tsv" else ","
     raw = spark.read.option("sep", sep).option("header", header).option("inferSchema", False).csv(path)
@@ -76,8 +78,8 @@ def read_training_table(
     for c in wanted:
         bad = bad | F.col(f"`{c}`").isNull()
     rejects = typed.where(bad).select(*[F.col(f"__raw_{i}").alias(c) for i, c in enumerate(columns)])
-    row_id = F.xxhash64(*[F.col(f"__raw_{i}") for i in range(len(columns))]).alias("row_id")
-    return typed.where(~bad).select(row_id, *[F.col(f"`{c}`") for c in wanted]), rejects, names
+    named = [F.xxhash64(*[F.col(f"__raw_{i}") for i in range(len(columns))]).alias("row_id")] if row_id else []
+    return typed.where(~bad).select(*named, *[F.col(f"`{c}`") for c in wanted]), rejects, names
 
 
 def save_binned(binned: DataFrame, spec: DataFrame, path: str, mode: str = "overwrite") -> None:
