@@ -39,6 +39,7 @@ from paddock.llm.tables import join_small, stored, text_bytes
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 _SECOND = stream(31, 1)[0]
 _BLOCKS = 16  # bytes of a fingerprint
+_STRETCH = 8192  # windows are fingerprinted in stretches of a text, which bounds memory
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,13 @@ def _pack(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1)
 
 
+def _window_prints(shingles: np.ndarray, begin: np.ndarray, held: int) -> np.ndarray:
+    """Fingerprints of the runs of `held` shingles that begin at the given places."""
+    sums = np.zeros((len(shingles) + 1, 8 * _BLOCKS), dtype=np.int32)
+    np.cumsum(_signs(shingles), axis=0, dtype=np.int32, out=sums[1:])
+    return _pack(sums[begin + held] - sums[begin])
+
+
 def simhash(shingles: np.ndarray) -> np.ndarray:
     """The fingerprint (16 bytes) of one multiset of shingles."""
     return _pack(_signs(shingles).sum(axis=0, dtype=np.int64)[None, :])[0]
@@ -75,6 +83,7 @@ class _Group:
 
     def __init__(self, length: int, ids: list[int], shingles: list[np.ndarray], radius: int):
         self.length, self.ids = length, ids
+        self.known = np.unique(np.concatenate(shingles))
         self.counts = [Counter(s.tolist()) for s in shingles]
         self.prints = np.stack([simhash(s) for s in shingles])
         near = radius // _BLOCKS
@@ -108,12 +117,10 @@ class Index:
                 ids, shingles = by.setdefault((min(params.width, len(words)), len(words)), ([], []))
                 ids.append(item_id)
                 shingles.append(shingle_hashes(words, params.width))
-        self.groups = {key: _Group(key[1], ids, shingles, params.radius) for key, (ids, shingles) in by.items()}
-        self.lengths: dict[int, dict[int, set[int]]] = {}  # width -> shingle -> item lengths
-        for (width, length), (_, shingles) in by.items():
-            for s in np.unique(np.concatenate(shingles)).tolist():
-                self.lengths.setdefault(width, {}).setdefault(s, set()).add(length)
-        self.known = {width: np.array(sorted(found), dtype=np.uint64) for width, found in self.lengths.items()}
+        self.groups: dict[int, list[_Group]] = {}  # by width
+        for (width, length), (ids, shingles) in by.items():
+            self.groups.setdefault(width, []).append(_Group(length, ids, shingles, params.radius))
+        self.known = {width: np.unique(np.concatenate([g.known for g in groups])) for width, groups in self.groups.items()}
         self.seen = {}
         for width, known in self.known.items():
             self.seen[width] = np.zeros(1 << 20, dtype=bool)
@@ -131,26 +138,25 @@ class Index:
             maybe = maybe[contains(known, shingles[maybe])]
             if not len(maybe):
                 continue
-            starts: dict[int, list[np.ndarray]] = {}
-            for at in maybe.tolist():
-                for length in self.lengths[width][int(shingles[at])]:
-                    span = min(length, len(words))
-                    starts.setdefault(length, []).append(np.arange(max(0, at - span + width), min(at, len(words) - span) + 1))
-            low = max(0, int(maybe[0]) - max(starts) + width)
-            high = min(len(shingles), int(maybe[-1]) + max(starts))
-            sums = np.zeros((high - low + 1, 8 * _BLOCKS), dtype=np.int32)
-            np.cumsum(_signs(shingles[low:high]), axis=0, dtype=np.int32, out=sums[1:])
-            for length, found in starts.items():
-                group, span = self.groups[width, length], min(length, len(words))
-                begin = np.unique(np.concatenate(found))
+            for group in self.groups[width]:
+                hits = maybe[contains(group.known, shingles[maybe])]
+                if not len(hits):
+                    continue
+                span = min(group.length, len(words))
+                # windows that hold a hit: runs of starts, marked by where they begin and end
+                marks = np.zeros(len(words) + 2, dtype=np.int32)
+                np.add.at(marks, np.maximum(0, hits - span + width), 1)
+                np.add.at(marks, np.minimum(hits, len(words) - span) + 1, -1)
+                begin = np.flatnonzero(np.cumsum(marks[: len(words) - span + 1]) > 0)
                 held = span - width + 1
-                prints = _pack(sums[begin - low + held] - sums[begin - low])
-                for window, item in zip(*group.candidates(prints, self.params.radius)):
-                    at = int(begin[window])
-                    alike = weighted_similarity(Counter(shingles[at : at + held].tolist()), group.counts[item])
-                    name = group.ids[item]
-                    if alike >= self.params.similarity and (name not in best or (-alike, at, span) < (-best[name][0], best[name][1], best[name][2])):
-                        best[name] = (alike, at, span)
+                for part in np.split(begin, np.flatnonzero(np.diff(begin // _STRETCH)) + 1):
+                    prints = _window_prints(shingles[part[0] : part[-1] + held], part - part[0], held)
+                    for window, item in zip(*group.candidates(prints, self.params.radius)):
+                        at = int(part[window])
+                        alike = weighted_similarity(Counter(shingles[at : at + held].tolist()), group.counts[item])
+                        name = group.ids[item]
+                        if alike >= self.params.similarity and (name not in best or (-alike, at, span) < (-best[name][0], best[name][1], best[name][2])):
+                            best[name] = (alike, at, span)
         return [(name, *found) for name, found in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))]
 
 
