@@ -55,6 +55,7 @@ from paddock.session import parallelism
 _SUBSET = stream(21, 64)
 _FLUSH = 1 << 21
 _SKETCH = ["k0", "k1", "k2", "k3"]
+_SIDE = ["node", "n", "p", "unseen", "comp"]
 
 
 @dataclass(frozen=True)
@@ -251,26 +252,36 @@ def _pairs(lists: DataFrame, pivots: DataFrame, params: Params) -> DataFrame:
     )
     first = F.col("node") < F.col("node_b")
     side = lambda c, a: (F.when(first, F.col(c)).otherwise(F.col(f"{c}_b")) if a else F.when(first, F.col(f"{c}_b")).otherwise(F.col(c)))
-    sides = met.select(*[side(c, True).alias(f"{c}_a") for c in ("node", "n", "p", "unseen")], *[side(c, False).alias(f"{c}_b") for c in ("node", "n", "p", "unseen")])
+    sides = met.select(*[side(c, True).alias(f"{c}_a") for c in _SIDE], *[side(c, False).alias(f"{c}_b") for c in _SIDE])
     common = sides.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
-        *[F.max(c).alias(c) for c in ("n_a", "n_b", "p_a", "p_b", "unseen_a", "unseen_b")],
+        *[F.max(c).alias(c) for c in ("n_a", "n_b", "p_a", "p_b", "unseen_a", "unseen_b", "comp_a", "comp_b")],
         F.sum((F.col("p_a") > 0).cast("long")).alias("seen"), F.max((F.col("p_a") == 0) | (F.col("p_b") == 0)).alias("subset"),
     )
     at_most = F.col("seen") + F.least("unseen_a", "unseen_b")
     needed = _overlap(F.col("n_a"), F.col("n_b"), percent)
     enough = at_most >= F.least(F.col("p_a") - F.col("n_a") + needed, F.col("p_b") - F.col("n_b") + needed)
-    return common.where(F.col("subset") | enough).select("a", "b", "n_a", "n_b")
+    return common.where(F.col("subset") | enough).select("a", "b", "n_a", "n_b", "comp_a", "comp_b")
 
 
-def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame | None, DataFrame | None]:
-    """Verified links (a, b) between nodes, enough to connect every class, and (node, root)."""
+def _merged(roots: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """(node, root) after new links, of which only those between different roots count."""
+    joined = components(linked.select("comp_a", "comp_b"), "comp_a", "comp_b")
+    if roots is None:
+        return joined
+    joined = stored(joined, "joined-roots")
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
+    return moved.select("node", F.coalesce("now", "root").alias("root")).unionByName(joined.join(roots.select("node"), "node", "left_anti"))
+
+
+def class_roots(docs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame | None:
+    """(node, root) of the nodes that link with another; None if no two share a list."""
     lists = candidate_lists(nodes, params)
     long = F.col("members") > params.short_list
     known = stored(lists, "lists")
     unseen = known.groupBy("node").agg(F.sum(long.cast("long")).alias("unseen"))
     sketched = known.join(nodes.select("node", *_SKETCH).join(unseen, "node"), "node")
     now = stored(sketched.withColumn("comp", F.col("node")), "open-lists")
-    found = tested = roots = None
+    tested = roots = None
     count = params.pivots
     while not now.isEmpty():
         order = [F.xxhash64("node"), F.col("node")]
@@ -293,17 +304,16 @@ def links(docs: DataFrame, nodes: DataFrame, params: Params) -> tuple[DataFrame
         )
         shared = F.size(F.array_intersect("s_a", "s_b"))
         linked = stored(
-            both.where(100 * shared >= params.percent * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b"), "links"
+            both.where(100 * shared >= params.percent * (F.col("n_a") + F.col("n_b") - shared)).select("comp_a", "comp_b"), "links"
         )
         tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
-        found = linked if found is None else found.unionAll(linked)
-        roots = stored(components(found), "roots")
+        roots = stored(_merged(roots, linked), "roots")
         count *= params.pivot_growth
         left = now.drop("comp").join(pivots.select("key", "node"), ["key", "node"], "left_anti")
         placed = left.join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         spread = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
         now = stored(placed.join(spread.select("key"), "key"), "open-lists")
-    return found, roots
+    return roots
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
@@ -316,7 +326,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Pa
         ),
         "nodes",
     )
-    _, roots = links(narrow, nodes, params)
+    roots = class_roots(narrow, nodes, params)
     named = nodes.select("node", "check", "rep")
     if roots is not None:
         joined = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
