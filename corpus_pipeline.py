@@ -21,8 +21,10 @@ from paddock.llm.tables import fold, stored, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; `und` ones go."""
     model = language_id.fit(docs, fold("doc_id", 3) != 1)
-    found = language_id.identify(docs, model, docs.columns)
-    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    # A row travels as one struct, so no column of it can clash with what is found.
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    found = language_id.identify(rows, model, ["row"])
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
