@@ -51,7 +51,7 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_of_nothing(spark):
-    docs = documents(spark, messy_rows(spark, 5)).limit(0)
+    docs = documents(spark, messy_rows(spark, 10)).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert rows_of(docs) == []
