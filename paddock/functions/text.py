@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -18,7 +17,6 @@ _WIDE_DIGITS = "".join(
     chr(c) for c in range(128, 0x10000) if unicodedata.decimal(chr(c), None) is not None
 )
 _ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in _WIDE_DIGITS)
-assert sys.maxunicode > 0xFFFF
 
 
 def trimmed(x: Column) -> Column:
