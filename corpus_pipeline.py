@@ -5,8 +5,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns
 the last adds `shard` and `slot`. Stages are written as Parquet and read again in between.
 
 Defined results: empty input gives empty output at every stage. Null and blank texts end at
-the first stage, as no language can be told. A null id never meets another document in a
-stage that compares ids. Columns beside those of `documents` pass through untouched.
+the first stage, as no language can be told. From the second stage on, rows are told apart by
+numbers of their own, so null and repeated ids change nothing but order. Columns beside those of `documents` pass through untouched.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of the n-gram Jaccard join (five words, 0.8)."""
-    return ngram_join.first_of_each(docs, params=ngram_join.Params(width=5, percent=80))
+    """The row of smallest id of each class of the n-gram Jaccard join (five words, 0.8)."""
+    return ngram_join.one_row_of_each(docs, params=ngram_join.Params(width=5, percent=80))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.hashing import contains, mix64, shingle_hashes, stream, word_hashes
-from paddock.llm.tables import join_small, stored, text_bytes
+from paddock.llm.tables import text_bytes
 
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 _SECOND = stream(31, 1)[0]
@@ -160,16 +160,21 @@ class Index:
         return [(name, *found) for name, found in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))]
 
 
+def _indexes(benchmark: DataFrame, item_text: str, item_id: str, params: Params) -> Iterator[Index]:
+    """The items in blocks, each of which is one pass over the texts."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("__text"))
+    blocks = max(1, -(-items.count() // params.block_items))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "__text"), F.lit(blocks)) == block).toArrow()
+        yield Index(list(zip(rows["item_id"].to_pylist(), rows["__text"].cast(pa.large_binary()).to_pylist())), params)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", params: Params = Params()) -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id, similarity,
     start_word, n_words (the best window)."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("__text"))
-    blocks = max(1, -(-items.count() // params.block_items))
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     out = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "__text"), F.lit(blocks)) == block).toArrow()
-        index = Index(list(zip(rows["item_id"].to_pylist(), rows["__text"].cast(pa.large_binary()).to_pylist())), params)
+    for index in _indexes(benchmark, item_text, item_id, params):
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -182,7 +187,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **names) -> DataFrame:
-    """The rows of `docs` whose id holds no benchmark item, all columns as they were."""
-    held = stored(contaminated(docs, benchmark, doc_id=doc_id, **names).select(F.col("doc_id").alias("__held")).distinct(), "leaks")
-    return join_small(docs, held, F.col(doc_id).cast("long") == F.col("__held"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", params: Params = Params()) -> DataFrame:
+    """The rows of `docs` whose text holds no benchmark item, all columns as they were.
+
+    Each row is judged by itself, whatever its id.
+    """
+    out = docs
+    for index in _indexes(benchmark, item_text, item_id, params):
+
+        def clean(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not index.matches(t) for t in text_bytes(batch, text)], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

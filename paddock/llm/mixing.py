@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paddock.llm.tables import join_small, stored
+from paddock.llm.tables import join_small, numbered, stored
 from paddock.operators.prefix import running_totals
 
 _BUCKETS = 4096
@@ -111,11 +111,16 @@ def schedule(goals: DataFrame, params: Params = Params()) -> DataFrame:
     return ranked.select("slot", "place", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), F.pmod("rank", "blocks").alias("block_no"))
 
 
-def _streamed(docs: DataFrame, text: str, source: str, doc_id: str, params: Params) -> tuple[DataFrame, DataFrame]:
-    """Documents with their place in the stream of their source, and the sources' targets."""
+def _streamed(docs: DataFrame, text: str, source: str, doc_id: str, params: Params, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in the stream of their source, and the sources' targets.
+
+    `row` is a number for each row that stays the same, where the caller needs one.
+    """
     sizes = stored(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-        .withColumn("row", F.monotonically_increasing_id()),
+        docs.select(
+            F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+            (F.monotonically_increasing_id() if row is None else row).alias("row"),
+        ),
         "sizes",
     )
     goals = stored(targets(sizes, params), "targets")
@@ -147,9 +152,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
     """The mix as whole documents: a document comes as often as the block with its first word
-    is played (0 to `most_repeats` times). Rows that share an id share the largest number."""
-    stream, goals = _streamed(docs, text, source, doc_id, params)
+    is played (0 to `most_repeats` times). Each row counts by itself, whatever its id."""
+    rows = numbered(docs)
+    stream, goals = _streamed(rows, text, source, doc_id, params, F.col("__row"))
     starts = stream.where("size > 0").withColumn("block_no", F.floor(F.col("from") / F.col("block")))
-    plays = starts.join(_plays(goals, params), ["place", "block_no"]).groupBy(F.col("doc_id").alias("__id")).agg(F.max("plays").cast("int").alias("__plays"))
-    kept = join_small(docs, stored(plays, "plays"), F.col(doc_id).eqNullSafe(F.col("__id")), "inner")
-    return kept.where(word_count(F.col(text)) > 0).withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)
+    plays = starts.join(_plays(goals, params), ["place", "block_no"]).select(F.col("row").alias("__row"), F.col("plays").cast("int").alias("__plays"))
+    kept = join_small(rows, stored(plays, "plays"), "__row", "inner")
+    return kept.withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)

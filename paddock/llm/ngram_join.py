@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm.components import components
 from paddock.llm.hashing import distinct, mix64, set_hashes, shingle_hashes, stream, word_hashes
-from paddock.llm.tables import join_small, stored, text_bytes
+from paddock.llm.tables import join_small, numbered, stored, text_bytes
 from paddock.operators.prefix import first_rows
 from paddock.session import parallelism
 
@@ -356,3 +356,23 @@ def first_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", p
         return kept
     alone = join_small(kept, again, same, "left_anti", params.broadcast_ids)
     return alone.unionByName(join_small(kept, again, same, "left_semi", params.broadcast_ids).dropDuplicates([doc_id, text]))
+
+
+def one_row_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
+    """One row of each class of texts, all columns as they were: that of smallest id, a row
+    without an id only where no other has one.
+
+    Each row is judged by itself, whatever its id. Null and blank texts are copies of nothing
+    and stay.
+    """
+    rows = numbered(docs)
+    classes = stored(join(rows, text, "__row", params).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class")), "classes")
+    sizes = classes.groupBy("__class").agg(F.count("*").alias("__members")).where("__members > 1").select("__class")
+    shared = classes.join(sizes, "__class")
+    placed = stored(
+        shared.join(rows.select("__row", F.col(doc_id).cast("long").alias("__id")), "__row").select("__class", F.struct(F.col("__id").isNull(), "__id", "__row").alias("__place")),
+        "copies",
+    )
+    first = placed.groupBy("__class").agg(F.min("__place").alias("__first"))
+    gone = placed.join(first, "__class").where("__place.__row != __first.__row").select(F.col("__place.__row").alias("__row"))
+    return join_small(rows, stored(gone, "gone"), "__row", "left_anti", params.broadcast_ids).select(*docs.columns)

@@ -33,6 +33,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with a number of its own for each row, `__row`, written so that it stays the same."""
+    return stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
