@@ -2,8 +2,8 @@
 
 Vectors are cut in two halves and each half is quantised to its own codebook, so the pair of
 centroids names one of K x K cells. A query visits cells in order of the summed distance of
-its halves to the centroids, taken from a heap, until the cells visited hold enough rows; the
-rows in them are reranked by exact distance in double precision.
+its halves to the centroids, taken from a heap, until the cells visited hold enough rows
+of other ids: a share of them, and k at least; the rows in them are reranked by exact distance in double precision.
 
 Codebooks are fitted on at most `fit_rows` vectors; every row is indexed. Work is dealt by the
 first half's centroid, split further into parts of about `part_rows` rows and blocks of about
@@ -36,7 +36,7 @@ class Params:
     centroids: int = 32  # of each half
     fit_rows: int = 20_000
     rounds: int = 12
-    visit_share: float = 0.7  # a query visits cells until they hold this share of the rows; nearly isotropic vectors need much
+    visit_share: float = 0.7  # a query visits cells until they hold this share of the other ids' rows, and k; nearly isotropic vectors need much
     part_rows: int = 8192
     block_queries: int = 2048
 
@@ -142,21 +142,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
     counts = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
     for r in index.groupBy("first", "second").count().collect():  # K x K rows at most
         counts[r["first"], r["second"]] = r["count"]
-    total, half = int(counts.sum()), books[0].shape[1]
+    half = books[0].shape[1]
     parts = np.maximum(1, -(-counts.sum(1) // params.part_rows))
 
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # A query's own rows are no candidates, so they fill no cell: (first, second, n) of them.
+    own = index.where(is_query).groupBy("vec_id", "first", "second").agg(F.count("*").alias("n"))
+    own = own.groupBy("vec_id").agg(F.collect_list(F.struct("first", "second", "n")).alias("own"))  # K x K at most
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).join(own, "vec_id")
     blocks = max(1, -(-queries.count() // params.block_queries))
-    wanted = params.visit_share * total
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each first centroid that a query visits, with its second centroids."""
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("query_id", "query", "first", "seconds")}
-            for q, point in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array(point)
+            for q, point, mine in zip(*[c.to_pylist() for c in batch.columns]):
+                x, others = np.array(point), counts.copy()
+                for cell in mine:
+                    others[cell["first"], cell["second"]] -= cell["n"]
+                wanted = max(params.visit_share * int(others.sum()), k)
                 by_first: dict[int, list[int]] = {}
-                for i, j in cells_in_order(((books[0] - x[:half]) ** 2).sum(1), ((books[1] - x[half:]) ** 2).sum(1), counts, wanted):
+                for i, j in cells_in_order(((books[0] - x[:half]) ** 2).sum(1), ((books[1] - x[half:]) ** 2).sum(1), others, wanted):
                     by_first.setdefault(i, []).append(j)
                 for i, seconds in by_first.items():
                     for name, value in zip(out, (q, point, i, seconds)):
