@@ -33,6 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing will read again, on whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """`df` with a number of its own for each row, `__row`, written so that it stays the same."""
     return stored(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
