@@ -83,6 +83,14 @@ def goss(
 ) -> DataFrame:
     """Rows with the largest |g * h|, a sample of the rest, and `goss_weight` that makes up
     for the rest that was left out. One job finds the cut; the sampling itself is narrow."""
+    return goss_weights(df, iteration, top_rate, other_rate, seed, row_id, size).where("goss_weight IS NOT NULL")
+
+
+def goss_weights(
+    df: DataFrame, iteration: int, top_rate: float = 0.2, other_rate: float = 0.1, seed: int = BAGGING_SEED,
+    row_id: str = "row_id", size: Column | None = None,
+) -> DataFrame:
+    """All rows with their `goss_weight`, which is null for those left out."""
     size = F.abs(F.col("g") * F.col("h")) if size is None else size
     cut = weighted_percentile(df.select(size.alias("value"), F.lit(1.0).alias("weight")), 1.0 - top_rate).first()["value"]
     if cut is None:
@@ -91,7 +99,7 @@ def goss(
     chance = other_rate / max(1.0 - top_rate, 1e-12)
     keep = big | (hash_unit(F.col(row_id), seed, iteration) < chance)
     weight = F.when(big, F.lit(1.0)).otherwise(F.lit((1.0 - top_rate) / other_rate if other_rate else 0.0))
-    return df.withColumn("goss_weight", weight).where(keep)
+    return df.withColumn("goss_weight", F.when(keep, weight))
 
 
 def feature_sample(features: list[str], fraction: float, seed: int, *path: int) -> list[str]:

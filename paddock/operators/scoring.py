@@ -8,7 +8,7 @@ per task, walks the trees.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -107,71 +107,116 @@ def model_to_sql(model: Model, class_id: int = 0, quote: str = "`") -> str:
     return f"({total}) / {len(trees)}e0" if model.average and trees else f"({total})"
 
 
-def predict_leaf(df: DataFrame, model: Model, name: str = "leaves") -> DataFrame:
-    """Add an array with one leaf index per tree."""
-    return df.withColumn(name, F.array(*[F.expr(leaf_sql(t)).cast("int") for t in model.trees]))
-
-
-def _walker(model: Model):
-    """A function of feature arrays giving per-class sums, one numpy step per level."""
-    at = {f: i for i, f in enumerate(model.features)}
-    packed = []
-    for t in model.trees:
-        packed.append(
-            dict(
-                class_id=t.class_id, feature=np.array([at[n.feature] for n in t.nodes], int),
-                threshold=np.array([n.threshold for n in t.nodes]), nodes=t.nodes,
-                left=np.array([n.left for n in t.nodes], int), right=np.array([n.right for n in t.nodes], int),
-                missing=np.array([{"none": 0, "zero": 1, "nan": 2}[n.missing_type] for n in t.nodes], int),
-                default=np.array([n.default_left for n in t.nodes], bool),
-                cats=[np.array(n.cats, float) if n.kind == "categorical" else None for n in t.nodes], leaves=t.leaves,
+class _Walker:
+    """Leaf numbers and values of feature rows, one numpy step per level of a tree."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        at = {f: i for i, f in enumerate(model.features)}
+        self.at, self.packed = at, []
+        for t in model.trees:
+            self.packed.append(
+                dict(
+                    feature=np.array([at[n.feature] for n in t.nodes], int), threshold=np.array([n.threshold for n in t.nodes]),
+                    left=np.array([n.left for n in t.nodes], int), right=np.array([n.right for n in t.nodes], int),
+                    missing=np.array([{"none": 0, "zero": 1, "nan": 2}[n.missing_type] for n in t.nodes], int),
+                    default=np.array([n.default_left for n in t.nodes], bool),
+                    cats=[np.array(n.cats, float) if n.kind == "categorical" else None for n in t.nodes],
+                    values=np.array([x.value for x in t.leaves]),
+                )
             )
-        )
-
-    def walk(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), model.num_class))
-        for p in packed:
-            place = np.zeros(len(x), int) if p["nodes"] else np.full(len(x), -1)
-            while (open_rows := np.flatnonzero(place >= 0)).size:
-                node = place[open_rows]
-                v = x[open_rows, p["feature"][node]]
-                kind = p["missing"][node]
-                v = np.where(np.isnan(v) & (kind != 2), 0.0, v)
-                lost = ((kind == 1) & (np.abs(v) <= ZERO_LIMIT)) | ((kind == 2) & np.isnan(v))
-                left = np.where(lost, p["default"][node], v <= p["threshold"][node])
-                for i in np.unique(node):
-                    if p["cats"][i] is not None:
-                        mine = node == i
-                        raw = x[open_rows[mine], p["feature"][i]]
-                        left[mine] = np.isin(np.trunc(raw), p["cats"][i]) & (raw > -1)
-                place[open_rows] = np.where(left, p["left"][node], p["right"][node])
-            leaf = -1 - place
-            value = np.array([q.value for q in p["leaves"]])[leaf]
-            for i, q in enumerate(p["leaves"]):
-                if q.const is not None:
-                    mine = np.flatnonzero(leaf == i)
-                    linear = q.const + sum(c * x[mine, at[f]] for f, c in q.coeffs.items())
-                    value[mine] = np.where(np.isnan(linear), q.value, linear)
-            out[:, p["class_id"]] += value
-        return out / max(len(packed) // model.num_class, 1) if model.average else out
-
-    return walk
+
+    def leaf(self, tree: int, x: np.ndarray) -> np.ndarray:
+        p = self.packed[tree]
+        place = np.zeros(len(x), int) if len(p["feature"]) else np.full(len(x), -1)
+        while (open_rows := np.flatnonzero(place >= 0)).size:
+            node = place[open_rows]
+            v = x[open_rows, p["feature"][node]]
+            kind = p["missing"][node]
+            v = np.where(np.isnan(v) & (kind != 2), 0.0, v)
+            lost = ((kind == 1) & (np.abs(v) <= ZERO_LIMIT)) | ((kind == 2) & np.isnan(v))
+            left = np.where(lost, p["default"][node], v <= p["threshold"][node])
+            for i in np.unique(node):
+                if p["cats"][i] is not None:
+                    mine = node == i
+                    raw = x[open_rows[mine], p["feature"][i]]
+                    left[mine] = np.isin(np.trunc(raw), p["cats"][i]) & (raw > -1)
+            place[open_rows] = np.where(left, p["left"][node], p["right"][node])
+        return -1 - place
+
+    def value(self, tree: int, x: np.ndarray) -> np.ndarray:
+        leaf = self.leaf(tree, x)
+        value = self.packed[tree]["values"][leaf]
+        for i, q in enumerate(self.model.trees[tree].leaves):
+            if q.const is not None:
+                mine = np.flatnonzero(leaf == i)
+                linear = q.const + sum(c * x[mine, self.at[f]] for f, c in q.coeffs.items())
+                value[mine] = np.where(np.isnan(linear), q.value, linear)
+        return value
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), self.model.num_class))
+        for i, t in enumerate(self.model.trees):
+            out[:, t.class_id] += self.value(i, x)
+        return out / max(len(self.packed) // self.model.num_class, 1) if self.model.average else out
+
+    def stopped(self, x: np.ndarray, freq: int, margin: float) -> np.ndarray:
+        """Raw scores; after each block of `freq` rounds, rows with a wide enough margin are let go."""
+        out = np.zeros((len(x), self.model.num_class))
+        going = np.arange(len(x))
+        for start in range(0, self.model.iterations, freq):
+            part = x[going]
+            for i, t in enumerate(self.model.trees):
+                if start <= t.iteration < start + freq:
+                    out[going, t.class_id] += self.value(i, part)
+            going = going[~(_margin(out[going]) > margin)]
+            if not going.size:
+                break
+        return out
+
+
+def _margin(scores: np.ndarray) -> np.ndarray:
+    """Twice the absolute score of one class, else the lead of the best over the second."""
+    if scores.shape[1] == 1:
+        return 2.0 * np.abs(scores[:, 0])
+    ordered = np.sort(scores, axis=1)
+    return ordered[:, -1] - ordered[:, -2]
+
+
+def _walked(df: DataFrame, model: Model, kind: str, walk: Callable[[_Walker, np.ndarray], np.ndarray]) -> Column:
+    """An array column of what `walk` gives for the features of each row, in Arrow batches."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by trees x leaves
+
+    @F.pandas_udf(f"array<{kind}>")
+    def batch_by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        walker = _Walker(shared.value)
+        for features in batches:
+            yield pd.Series(list(walk(walker, features.to_numpy(dtype=float, na_value=np.nan))))
+
+    return batch_by_batch(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))
+
+
+def _is_small(model: Model, expression_nodes: int) -> bool:
+    return sum(len(t.nodes) for t in model.trees) <= expression_nodes
+
+
+def predict_leaf(df: DataFrame, model: Model, name: str = "leaves", expression_nodes: int = EXPRESSION_NODES) -> DataFrame:
+    """Add an array with one leaf index per tree."""
+    if _is_small(model, expression_nodes):
+        return df.withColumn(name, F.array(*[F.expr(leaf_sql(t)).cast("int") for t in model.trees]))
+
+    def leaves(walker: _Walker, x: np.ndarray) -> np.ndarray:
+        return np.stack([walker.leaf(i, x) for i in range(len(walker.packed))], axis=1).astype(np.int32)
+
+    return df.withColumn(name, _walked(df, model, "int", leaves))
 
 
 def predict_raw(df: DataFrame, model: Model, name: str = "raw", expression_nodes: int = EXPRESSION_NODES) -> DataFrame:
     """Add the raw score: a double, or an array with one per class."""
-    if sum(len(t.nodes) for t in model.trees) <= expression_nodes:
+    if _is_small(model, expression_nodes):
         scores = [F.expr(model_to_sql(model, k)).cast("double") for k in range(model.num_class)]
         return df.withColumn(name, scores[0] if model.num_class == 1 else F.array(*scores))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by trees x leaves
-
-    @F.pandas_udf("array<double>")
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        scores = _walker(shared.value)
-        for features in batches:
-            yield pd.Series(list(scores(features.to_numpy(dtype=float, na_value=np.nan))))
-
-    packed = walk(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))
+    packed = _walked(df, model, "double", lambda walker, x: walker.raw(x))
     return df.withColumn(name, packed[0] if model.num_class == 1 else packed)
 
 
@@ -182,28 +227,18 @@ def predict(df: DataFrame, model: Model, name: str = "prediction", params: Objec
     return scored.withColumn(name, output(model.objective, F.col("__raw"), p)).drop("__raw")
 
 
-def predict_early_stop(df: DataFrame, model: Model, freq: int = 10, margin: float = 10.0, name: str = "raw") -> DataFrame:
+def predict_early_stop(
+    df: DataFrame, model: Model, freq: int = 10, margin: float = 10.0, name: str = "raw", expression_nodes: int = EXPRESSION_NODES
+) -> DataFrame:
     """Raw score that stops adding trees, every `freq` iterations, once its margin is reached.
 
     The margin is twice the absolute score of a single-class model, else the lead of the
-    best class over the second.
+    best class over the second. Rows that are done leave the batch, so later trees cost them nothing.
     """
     if model.objective not in ("binary", "multiclass", "multiclassova", "lambdarank", "rank_xendcg", "cross_entropy"):
-        return predict_raw(df, model, name)
-    out = df.withColumn("__s", F.array(*[F.lit(0.0)] * model.num_class)).withColumn("__done", F.lit(False))
-    for start in range(0, model.iterations, freq):
-        block = [t for t in model.trees if start <= t.iteration < start + freq]
-        part = Model(block, model.features, model.objective, model.num_class)
-        grown = F.array(*[F.col("__s")[k] + F.expr(model_to_sql(part, k)) for k in range(model.num_class)])
-        out = out.withColumn("__s", F.when(F.col("__done"), F.col("__s")).otherwise(grown))
-        if model.num_class == 1:
-            lead = 2.0 * F.abs(F.col("__s")[0])
-        else:
-            ordered = F.array_sort("__s")
-            lead = F.element_at(ordered, -1) - F.element_at(ordered, -2)
-        out = out.withColumn("__done", F.col("__done") | (lead > margin))
-    final = F.col("__s")[0] if model.num_class == 1 else F.col("__s")
-    return out.withColumn(name, final).drop("__s", "__done")
+        return predict_raw(df, model, name, expression_nodes)
+    packed = _walked(df, model, "double", lambda walker, x: walker.stopped(x, freq, margin))
+    return df.withColumn(name, packed[0] if model.num_class == 1 else packed)
 
 
 def score_by_leaf(leaf_rows: DataFrame, leaves: DataFrame, row_id: str = "row_id") -> DataFrame:

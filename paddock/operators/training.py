@@ -8,7 +8,6 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +20,16 @@ from paddock.operators.objectives import (
     MULTI, RANKING, RENEWED, ObjectiveParams, class_gradients, class_start_scores, hash_unit, lambdarank_gradients, output,
     row_gradients, start_score, xendcg_gradients,
 )
-from paddock.operators.sampling import BIN_SAMPLE, bag_condition, feature_sample, sample_for_bins
-from paddock.operators.scoring import binned_leaf, binned_value, predict_raw
+from paddock.operators.sampling import BIN_SAMPLE, bag_condition, feature_sample, goss_weights, sample_for_bins
+from paddock.operators.scoring import binned_leaf, predict_leaf, predict_raw
+from paddock.operators.state import ROW, RoundRows, TwoPartRows
 from paddock.operators.trees import TreeParams, plain_output, grow_trees
 from paddock.session import cut_lineage
 
 
+START = "__start"  # scores before any tree, where the scores of a round differ from those stored
+
+
 @dataclass(frozen=True)
 class TrainParams:
     """Settings of a training run. Defaults are fixed values."""
@@ -69,7 +72,8 @@ class TrainParams:
     num_grad_quant_bins: int = 4
     quant_train_renew_leaf: bool = False
     stochastic_rounding: bool = True
-    checkpoint_every: int = 10
+    store_levels: int = 3  # levels of growth after which the nodes of the rows are stored anew
+    checkpoint_every: int = 10  # of refitting
     trees_together: int = 8
     subtract_rows: int | None = None
     tree: TreeParams = TreeParams()
@@ -113,9 +117,13 @@ class _Run:
             if n["a"]:
                 self.op = replace(self.op, scale_pos_weight=n["b"] / n["a"])
         self.starts = self._starts(df)
-        self.rows = self._binned(df)
+        self.state = self._binned(df)
         self.valid = {name: self._binned(v) for name, v in (valid or {}).items()}
 
+    def close(self) -> None:
+        for state in (self.state, *self.valid.values()):
+            state.close()
+
     def _starts(self, df: DataFrame) -> list[float]:
         if not self.p.boost_from_average or self.init is not None or self.objective in RANKING or "init_score" in df.columns:
             return [0.0] * self.classes
@@ -125,10 +133,10 @@ class _Run:
             return [r["start"] for r in got]
         return [start_score(df, self.objective, self.op, weight=weight).first()["start"] or 0.0]
 
-    def _binned(self, df: DataFrame) -> DataFrame:
-        """Bins, metadata and starting scores; written once so that later passes read only these."""
-        names = [c for c in ("row_id", "label", "weight", "group_id") if c in df.columns]
-        raw = self.features if self.p.linear_tree else []
+    def _binned(self, df: DataFrame) -> TwoPartRows:
+        """Bins and metadata, written once, and starting scores, the part that is rewritten."""
+        names = [c for c in ("row_id", "label", "weight", "group_id", "position") if c in df.columns]
+        raw = [f for f in self.features if f not in names] if self.p.linear_tree else []
         if self.init is not None:
             df = predict_raw(df, self.init, "__init")
             first = F.col("__init") if self.classes > 1 else F.array("__init")
@@ -137,16 +145,14 @@ class _Run:
             first = F.array(F.coalesce("init_score", F.lit(0.0))) if scalar else F.col("init_score")
         else:
             first = F.array(*[F.lit(float(s)) for s in self.starts])
-        keep = df.withColumn("scores", first)
-        binned = bin_table(keep, self.specs, [*names, *raw, "scores"], packed=True)
-        # Every round reads these rows again, so they are spread over all cores once.
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if binned.rdd.getNumPartitions() < cores:
-            binned = binned.repartition(cores)
-        return cut_lineage(binned.withColumn("outs", F.array().cast("array<double>")) if self._keeps_outs else binned)
+        binned = bin_table(df.withColumn("scores", first), self.specs, [*names, *raw, "scores"], packed=True)
+        changing = ["scores"]
+        if self._keeps_leaves:
+            binned, changing = binned.withColumn("leaves", F.array().cast("array<smallint>")), ["scores", "leaves"]
+        return TwoPartRows(binned, len(self.specs), changing, wide=any(max(len(s.bounds), len(s.categories)) > 32_000 for s in self.specs))
 
     @property
-    def _keeps_outs(self) -> bool:
+    def _keeps_leaves(self) -> bool:
         return self.p.boosting == "dart"
 
     def gradients(self, rows: DataFrame, iteration: int) -> DataFrame:
@@ -178,28 +184,34 @@ class _Run:
         )
 
     def _goss(self, rows: DataFrame, iteration: int) -> DataFrame:
-        from paddock.operators.sampling import goss
-
+        """All rows, with `goss_weight` and weighted gradients; both are null for rows left out."""
         size = F.abs(F.col("g0") * F.col("h0"))
         for k in range(1, self.classes):
             size = size + F.abs(F.col(f"g{k}") * F.col(f"h{k}"))
-        kept = goss(rows, iteration, self.p.top_rate, self.p.other_rate, self.p.bagging_seed, size=size)
+        weighed = goss_weights(rows, iteration, self.p.top_rate, self.p.other_rate, self.p.bagging_seed, size=size)
         for k in range(self.classes):
-            kept = kept.withColumn(f"g{k}", F.col(f"g{k}") * F.col("goss_weight")).withColumn(f"h{k}", F.col(f"h{k}") * F.col("goss_weight"))
-        return kept
+            weighed = weighed.withColumns({f"{c}{k}": F.col(f"{c}{k}") * F.col("goss_weight") for c in "gh"})
+        return weighed
+
+    def _uses_goss(self, iteration: int) -> bool:
+        return self.p.data_sample_strategy == "goss" and iteration >= int(1.0 / self.p.learning_rate)
+
+    def build(self, iteration: int, bags: list[Column | None] | None = None, scored: DataFrame | None = None) -> tuple[list[Tree], RoundRows | None, list]:
+        """Trees of one round (one per class), or of several forest rounds when `bags` has several.
 
-    def build(self, iteration: int, bags: list[Column | None] | None = None, rows: DataFrame | None = None) -> list[Tree]:
-        """Trees of one round (one per class), or of several forest rounds when `bags` has several."""
+        With them come the round's rows and the growth of each tree, which know every row's leaf.
+        """
         p = self.p
-        base = self.rows if rows is None else rows
+        base = self.state.rows if scored is None else scored
         graded = self.gradients(base, iteration)
         bags = bags or [self.sampled(base, iteration)]
-        if p.data_sample_strategy == "goss" and iteration >= int(1.0 / p.learning_rate):
+        goss_now = self._uses_goss(iteration)
+        if goss_now:
             graded = self._goss(graded, iteration)
         n_slots = self.classes * len(bags)
         tops = self._tops(graded)
         if not tops["n"]:
-            return [Tree([], [Leaf()], iteration, k) for k in range(n_slots)]
+            return [Tree([], [Leaf()], iteration, k) for k in range(n_slots)], None, []
         scale = self._scales(tops)
         slots, columns = [], []
         for b, bag in enumerate(bags):
@@ -208,37 +220,38 @@ class _Run:
                     q = self._quantised(F.col(f"{c}{k}"), s, iteration, f"{c}{k}")
                     columns.append((q if bag is None else F.when(bag, q)).alias(f"q{c}{b * self.classes + k}"))
                 slots.append((f"qg{b * self.classes + k}", f"qh{b * self.classes + k}"))
-        work = graded.select("bins", *columns)
-        if len(bags) == 1 and bags[0] is not None:
-            work = work.where(F.col("qg0").isNotNull())
-        work = work.persist(StorageLevel.MEMORY_AND_DISK)
+        carried = [*self.state.changing, *[c for c in ("goss_weight", START) if c in graded.columns]]
+        narrow = graded.select(ROW, *carried, *columns)
+        if self.objective in RANKING:  # ranking has dealt the rows by group
+            narrow = narrow.repartition(self.state.buckets, ROW)
+        keep = [*carried, *[x for s in slots for x in s]]
+        kept = RoundRows(self.state, narrow, keep, n_slots, p.store_levels)
         needs_roots = p.tree.path_smooth > 0 or p.tree.monotone_constraints or p.tree.monotone_penalty > 0 or p.tree.forced_splits
-        roots = [self._root(work, *slot, scale) if needs_roots else (0.0, 0.0, tops["n"]) for slot in slots]
+        roots = [self._root(kept.narrow, *slot, scale) if needs_roots else (0.0, 0.0, tops["n"]) for slot in slots]
         names = [[s.name for s in self.specs]] * n_slots
         if p.feature_fraction < 1.0:
             names = [feature_sample(names[0], p.feature_fraction, p.tree.feature_fraction_seed, iteration, i) for i in range(n_slots)]
-        trees = grow_trees(work, slots, roots, self.specs, p.tree, scale, names, self.used, iteration, p.subtract_rows)
+        trees, grown = grow_trees(kept.narrow, slots, roots, self.specs, p.tree, scale, names, self.used, iteration, p.subtract_rows, kept)
         for i, t in enumerate(trees):
             if not t.nodes and not needs_roots:  # no split was found, so the root's sums are still unknown
-                g, h, n = self._root(work, *slots[i], scale)
+                g, h, n = self._root(kept.narrow, *slots[i], scale)
                 t.leaves[0] = Leaf(plain_output(g, h, p.tree), h, n)
-        work.unpersist()
         for i, t in enumerate(trees):
             t.iteration, t.class_id = iteration + i // self.classes, i % self.classes
-            self._finish(t, graded, bags[i // self.classes], i % self.classes)
-        return trees
+            self._finish(t, kept, grown, i, iteration)
+        return trees, kept, grown
 
     def _tops(self, graded: DataFrame) -> dict:
         """Row count and largest |g| and |h| per class; losses with known limits need no pass."""
         if self.objective in ("binary", "multiclass", "multiclassova", "cross_entropy") and self.p.data_sample_strategy != "goss":
             if self.limits is None:
                 weight = F.max("weight") if "weight" in graded.columns else F.lit(1.0)
-                r = self.rows.agg(F.count(F.lit(1)).alias("n"), weight.alias("w")).first()
+                r = self.state.fixed.agg(F.count(F.lit(1)).alias("n"), weight.alias("w")).first()
                 top = float(r["w"] or 1.0) * max(self.op.scale_pos_weight, 1.0) * max(self.op.sigmoid, 1.0) ** 2
                 self.limits = {"n": r["n"], **{f"{c}{k}": top for c in "gh" for k in range(self.classes)}}
             return self.limits
         return graded.agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count("g0").alias("n"),
             *[F.max(F.abs(f"{c}{k}")).alias(f"{c}{k}") for c in "gh" for k in range(self.classes)],
         ).first().asDict()
 
@@ -261,71 +274,85 @@ class _Run:
             return F.floor(x * scale + u).cast("bigint")
         return fixed_point(x, scale)
 
-    def _finish(self, t: Tree, graded: DataFrame, bag: Column | None, k: int) -> None:
+    def _finish(self, t: Tree, kept: RoundRows, grown: list, slot: int, iteration: int) -> None:
         """Leaf renewal by percentile, by exact gradients, or by linear models."""
-        inside = graded if bag is None else graded.where(bag)
-        names = [s.name for s in self.specs]
+        k = t.class_id
+        renews = self.p.use_quantized_grad and self.p.quant_train_renew_leaf
+        if not (self.objective in RENEWED or renews or self.p.linear_tree and t.iteration > 0):
+            return
+        inside = kept.leafed(grown).where(F.col(f"qg{slot}").isNotNull()).withColumnRenamed(f"leaf{slot}", "leaf")
         if self.objective in RENEWED:
             y = F.col("label").cast("double")
-            w = F.col("weight") if "weight" in graded.columns else F.lit(1.0)
+            w = F.col("weight") if "weight" in inside.columns else F.lit(1.0)
             if self.objective == "mape":
                 w = w / F.greatest(F.lit(1.0), F.abs(y))
-            weighted = self.objective == "mape" or "weight" in graded.columns
-            rows = inside.select(
-                binned_leaf(t, names).alias("leaf"), (y - F.col("scores")[0]).alias("residual"), w.alias("weight"), "row_id"
-            )
+            weighted = self.objective == "mape" or "weight" in inside.columns
+            rows = inside.select("leaf", (y - F.col("scores")[0]).alias("residual"), w.alias("weight"), F.col(ROW).alias("row_id"))
             alpha = self.op.alpha if self.objective == "quantile" else 0.5
             for r in renew_leaf_percentile(rows, alpha, weighted=weighted).collect():  # one row per leaf
                 t.leaves[r["leaf"]].value = r["renewed"]
-        elif self.p.use_quantized_grad and self.p.quant_train_renew_leaf:
-            tp = self.p.tree
-            sums = inside.groupBy(binned_leaf(t, names).alias("leaf")).agg(F.sum(f"g{k}").alias("g"), F.sum(f"h{k}").alias("h"))
-            for r in sums.collect():  # one row per leaf
-                t.leaves[r["leaf"]].value = plain_output(r["g"], r["h"], tp)
+        if not renews and not self.p.linear_tree:
+            return
+        share = F.col("goss_weight") if "goss_weight" in inside.columns else F.lit(1.0)
+        graded = self.gradients(inside, iteration).withColumns({"g": F.col(f"g{k}") * share, "h": F.col(f"h{k}") * share})
+        if renews and self.objective not in RENEWED:
+            for r in graded.groupBy("leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # one row per leaf
+                t.leaves[r["leaf"]].value = plain_output(r["g"], r["h"], self.p.tree)
         if self.p.linear_tree and t.iteration > 0:
-            rows = inside.withColumn("g", F.col(f"g{k}")).withColumn("h", F.col(f"h{k}"))
-            linear_leaves(rows, t, binned_leaf(t, names), self.p.linear_lambda)
+            linear_leaves(graded, t, F.col("leaf"), self.p.linear_lambda)
 
-    def tree_value(self, t: Tree) -> Column:
-        names = [s.name for s in self.specs]
+    def leaf_value(self, t: Tree, leaf: Column) -> Column:
+        """A tree's value for rows whose leaf is known."""
         if self.p.linear_tree and any(x.const is not None for x in t.leaves):
             value = F.lit(0.0)
-            at = binned_leaf(t, names)
             for i, x in enumerate(t.leaves):
                 linear = F.lit(x.const if x.const is not None else x.value)
                 lost = F.lit(False)
                 for f, c in x.coeffs.items():
                     linear = linear + c * F.col(f)
                     lost = lost | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
-                value = F.when(at == i, F.when(lost, F.lit(x.value)).otherwise(linear)).otherwise(value)
+                value = F.when(leaf == i, F.when(lost, F.lit(x.value)).otherwise(linear)).otherwise(value)
             return value
-        return binned_value(t, names)
+        return F.get(F.expr(f"array({', '.join(f'{x.value!r}D' for x in t.leaves)})"), leaf)
 
-    def advance(self, trees: list[Tree], iteration: int) -> None:
-        """Add a round's trees to every scored table; lineage is cut every few rounds."""
-        def add(df: DataFrame) -> DataFrame:
-            parts = [F.col("scores")[k] for k in range(self.classes)]
-            for t in trees:
-                parts[t.class_id] = parts[t.class_id] + self.tree_value(t)
-            out = df.withColumn("scores", F.array(*parts))
-            return cut_lineage(out) if (iteration + 1) % self.p.checkpoint_every == 0 else out
+    def tree_value(self, t: Tree) -> Column:
+        return self.leaf_value(t, binned_leaf(t, [s.name for s in self.specs]))
 
-        self.rows = add(self.rows)
-        self.valid = {n: add(v) for n, v in self.valid.items()}
+    def _summed(self, trees: list[Tree], leaves: list[Column]) -> Column:
+        parts = [F.col("scores")[k] for k in range(self.classes)]
+        for t, leaf in zip(trees, leaves):
+            parts[t.class_id] = parts[t.class_id] + self.leaf_value(t, leaf)
+        return F.array(*parts)
+
+    def _walked(self, trees: list[Tree]) -> list[Column]:
+        names = [s.name for s in self.specs]
+        return [binned_leaf(t, names) for t in trees]
+
+    def advance(self, trees: list[Tree], kept: RoundRows, grown: list) -> None:
+        """Add a round's trees to every scored table: the leaves of the training rows are known."""
+        leaves = [F.col(f"leaf{i}") for i in range(len(trees))]
+        self.state.rewrite(kept.leafed(grown).withColumn("scores", self._summed(trees, leaves)))
+        for v in self.valid.values():
+            v.rewrite(v.rows.withColumn("scores", self._summed(trees, self._walked(trees))))
+
+    def remember(self, trees: list[Tree], kept: RoundRows, grown: list) -> None:
+        """Append the leaves of a round's trees to the leaf-number matrix of every table."""
+        own = F.array(*[F.col(f"leaf{i}").cast("smallint") for i in range(len(trees))])
+        self.state.rewrite(kept.leafed(grown).withColumn("leaves", F.concat("leaves", own)).withColumn("scores", F.col(START)))
+        new = F.array(*[leaf.cast("smallint") for leaf in self._walked(trees)])
+        for v in self.valid.values():
+            v.rewrite(v.rows.withColumn("leaves", F.concat("leaves", new)))
 
     def average(self, trees: list[Tree], iteration: int) -> None:
         """Move the validation scores to the mean of `iteration` + 1 trees, as a forest scores."""
-        def mean(df: DataFrame) -> DataFrame:
-            starts = [F.lit(float(s)) for s in self.starts]
+        starts = [F.lit(float(s)) for s in self.starts]
+        for v in self.valid.values():
             parts = [F.col("scores")[k] for k in range(self.classes)]
             for t in trees:
                 k = t.class_id
                 before = (parts[k] - starts[k]) * (iteration / (iteration + 1.0))
                 parts[k] = starts[k] + before + self.tree_value(t) / (iteration + 1.0)
-            out = df.withColumn("scores", F.array(*parts))
-            return cut_lineage(out) if (iteration + 1) % self.p.checkpoint_every == 0 else out
-
-        self.valid = {n: mean(v) for n, v in self.valid.items()}
+            v.rewrite(v.rows.withColumn("scores", F.array(*parts)))
 
     def model(self) -> Model:
         trees = list(self.trees)
@@ -357,11 +384,11 @@ class _Run:
             out["gains"] = list(self.op.label_gain)
         return out
 
-    def evaluate(self, tree_weights: list[float] | None = None) -> dict[str, float]:
-        """Metrics of every validation table; with tree weights, of the weighted kept outputs."""
+    def evaluate(self, trees: list[Tree] = (), tree_weights: list[float] | None = None) -> dict[str, float]:
+        """Metrics of every validation table; with tree weights, of the weighted trees."""
         out = {}
-        for name, v in self.valid.items():
-            v = v if tree_weights is None else _weighted(v, tree_weights, self.classes)
+        for name, state in self.valid.items():
+            v = state.rows if tree_weights is None else weighted_scores(state.rows, trees, tree_weights, self.classes)
             raw = F.col("scores") if self.classes > 1 else F.col("scores")[0]
             shaped = v.withColumn("raw", raw).withColumn("prediction", output(self.objective, raw, self.op))
             shaped = shaped.withColumn("score", raw)
@@ -396,22 +423,29 @@ def train(
     if params.boosting == "rf" and (params.bagging_freq <= 0 or min(params.bagging_fraction, params.feature_fraction) >= 1.0):
         raise ValueError("a forest needs bagging_freq > 0 and bagging_fraction or feature_fraction below 1: its trees would all be alike")
     run = _Run(df, features, params, categorical, specs, init_model, valid)
-    if params.boosting == "rf":
-        return _train_forest(run)
-    if params.boosting == "dart":
-        return _train_dart(run)
+    try:
+        if params.boosting == "rf":
+            return _train_forest(run)
+        return _train_dart(run) if params.boosting == "dart" else _train_boosted(run, on_round)
+    finally:
+        run.close()
+
+
+def _train_boosted(run: _Run, on_round: Callable[[int, Model], None] | None) -> TrainResult:
+    params = run.p
     stopper = EarlyStopping(params)
     history: list[dict[str, float]] = []
     for i in range(params.num_iterations):
-        trees = run.build(i)
+        trees, kept, grown = run.build(i)
         if not _has_split(trees):
             if i == 0:  # a constant model still carries the starting score
                 run.trees += [Tree([], [Leaf()], 0, k) for k in range(run.classes)]
+            _let_go(kept)
             break
-        rate = 1.0 if params.linear_tree and i == 0 and not run.trees and params.learning_rate == 1.0 else params.learning_rate
-        trees = [t.scaled(rate) for t in trees]
+        trees = [t.scaled(params.learning_rate) for t in trees]
         run.trees += trees
-        run.advance(trees, i)
+        run.advance(trees, kept, grown)
+        kept.close()
         if run.valid and run.metrics:
             history.append(run.evaluate())
             if stopper.update(i, history[-1]):
@@ -422,6 +456,11 @@ def train(
     return TrainResult(run.model(), history, best, run.specs)
 
 
+def _let_go(kept: RoundRows | None) -> None:
+    if kept is not None:
+        kept.close()
+
+
 class EarlyStopping:
     """Stop when a validation metric has not improved by `min_delta` for the set rounds."""
 
@@ -454,7 +493,8 @@ def _train_forest(run: _Run) -> TrainResult:
     stopper, history = EarlyStopping(p), []
     for first in range(0, p.num_iterations, together):
         ids = range(first, min(first + together, p.num_iterations))
-        trees = run.build(first, [run.sampled(run.rows, i) for i in ids])
+        trees, kept, _ = run.build(first, [run.sampled(run.state.fixed, i) for i in ids])
+        _let_go(kept)
         for i in ids if run.valid and run.metrics else ():
             new = [t for t in trees if t.iteration == i]
             run.trees += new
@@ -471,8 +511,8 @@ def _train_forest(run: _Run) -> TrainResult:
 def _train_dart(run: _Run) -> TrainResult:
     """Boosting with dropped trees (Rashmi & Gilad-Bachrach 2015).
 
-    Each row keeps the unweighted output of every tree, so a changed set of tree weights is
-    one expression over an array rather than a walk of all trees.
+    Each row keeps its leaf number in every tree, so a changed set of tree weights is one
+    expression over a short array rather than a walk of all trees.
     """
     p = run.p
     rng = random.Random(p.drop_seed)
@@ -492,8 +532,10 @@ def _train_dart(run: _Run) -> TrainResult:
                 if p.max_drop > 0 and len(drop) >= p.max_drop:
                     break
         kept = [0.0 if r in drop else w for r, w in enumerate(weights)]
-        trees = run.build(i, rows=_weighted(run.rows, kept, run.classes))
+        scored = weighted_scores(run.state.rows.withColumn(START, F.col("scores")), raw, kept, run.classes)
+        trees, rows, grown = run.build(i, scored=scored)
         if not _has_split(trees):
+            _let_go(rows)
             break
         k = len(drop)
         if p.xgboost_dart_mode:
@@ -505,15 +547,11 @@ def _train_dart(run: _Run) -> TrainResult:
             weights[r] *= factor
         weights.append(fresh)
         raw += trees
-        names = [s.name for s in run.specs]
-        grown = run.rows.withColumn("outs", F.concat("outs", F.array(*[binned_value(t, names) for t in trees])))
-        run.rows = cut_lineage(grown) if (i + 1) % p.checkpoint_every == 0 else grown
-        run.valid = {
-            n: v.withColumn("outs", F.concat("outs", F.array(*[binned_value(t, names) for t in trees]))) for n, v in run.valid.items()
-        }
+        run.remember(trees, rows, grown)
+        rows.close()
         done += 1
         if run.valid and run.metrics:
-            history.append(run.evaluate(weights))
+            history.append(run.evaluate(raw, weights))
             if stopper.update(i, history[-1]):
                 break
     run.trees = [t.scaled(weights[t.iteration]) for t in raw]
@@ -521,50 +559,64 @@ def _train_dart(run: _Run) -> TrainResult:
     return TrainResult(run.model(), history, best, run.specs)
 
 
-def _weighted(rows: DataFrame, weights: list[float], classes: int) -> DataFrame:
-    """Scores as the start plus the weighted outputs of the kept trees."""
-    if not weights:
+def weighted_scores(rows: DataFrame, trees: list[Tree], weights: list[float], classes: int, leaves: str = "leaves") -> DataFrame:
+    """Scores as the start plus the weighted values of the trees, looked up by leaf number."""
+    if not trees:
         return rows
-    scale = F.array(*[F.lit(float(w)) for w in weights])
+    values = ", ".join(f"array({', '.join(f'{weights[t.iteration] * x.value!r}D' for x in t.leaves)})" for t in trees)
     parts = []
     for k in range(classes):
-        own = F.transform(scale, lambda w, r: w * F.get("outs", r * classes + k))
-        parts.append(F.col("scores")[k] + F.aggregate(own, F.lit(0.0), lambda a, x: a + x))
-    return rows.withColumn("scores", F.array(*parts))
+        mine = f"CASE WHEN i % {classes} = {k} THEN get(get(array({values}), i), leaf) ELSE 0D END"
+        parts.append(f"get(scores, {k}) + aggregate(transform({leaves}, (leaf, i) -> {mine}), 0D, (a, x) -> a + x)")
+    return rows.withColumn("scores", F.expr(f"array({', '.join(parts)})"))
 
 
 def refit(df: DataFrame, model: Model, params: TrainParams, decay: float = 0.9) -> Model:
     """Keep the trees' shapes, blend their leaf values with those of new data.
 
-    Trees are refitted in order, each on the scores of those before it; one grouped
-    aggregate per round of trees.
+    One pass finds every row's leaf in every tree, and only labels, weights, scores and these short
+    arrays are kept. Trees are refitted in order, each on the scores of those before it; a round, with
+    all its classes, is one grouped aggregate over the kept rows.
     """
-    from paddock.operators.scoring import leaf_sql, value_sql
-
-    op = params.objective_params
-    weight = F.col("weight") if "weight" in df.columns else None
-    rows = df.withColumn("scores", F.array(*[F.lit(0.0)] * model.num_class))
+    op, classes = params.objective_params, model.num_class
+    names = [c for c in ("label", "weight") if c in df.columns]
+    walked = predict_leaf(df, model, "__leaves")
+    start = F.array(*[F.lit(0.0)] * classes)
+    rows = cut_lineage(walked.select(*names, start.alias("scores"), F.col("__leaves").cast("array<smallint>").alias("leaves")))
+    weight = F.col("weight") if "weight" in names else None
     out: list[Tree] = []
+    folded = 0  # trees whose values are in the kept scores
     for i in range(model.iterations):
-        added = [F.col("scores")[k] for k in range(model.num_class)]
-        for t in [t for t in model.trees if t.iteration == i]:
+        now = [(at, t) for at, t in enumerate(model.trees) if t.iteration == i]
+        scored = _with_values(rows, list(enumerate(out))[folded:], classes)
+        cells = []
+        for at, t in now:
             if model.objective in MULTI:
                 g, h = class_gradients(model.objective, F.col("label"), F.col("scores"), t.class_id, op, weight)
             else:
                 g, h = row_gradients(model.objective, F.col("label"), F.col("scores")[0], op, weight)
-            sums = rows.select(F.expr(leaf_sql(t)).alias("leaf"), g.alias("g"), h.alias("h")).groupBy("leaf")
-            fresh = {r["leaf"]: r for r in sums.agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()}  # one row per leaf
+            cells.append(F.struct(F.lit(at).alias("tree"), F.col("leaves")[at].alias("leaf"), g.alias("g"), h.alias("h")))
+        sums = scored.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.tree", "c.leaf")
+        fresh = {(r["tree"], r["leaf"]): r for r in sums.agg(F.sum("c.g").alias("g"), F.sum("c.h").alias("h")).collect()}  # a row a leaf
+        for at, t in now:
             leaves = []
             for j, x in enumerate(t.leaves):
                 value = x.value
-                if j in fresh:
-                    new = params.learning_rate * plain_output(fresh[j]["g"], fresh[j]["h"], params.tree)
+                if (at, j) in fresh:
+                    new = params.learning_rate * plain_output(fresh[at, j]["g"], fresh[at, j]["h"], params.tree)
                     value = decay * x.value + (1.0 - decay) * new
                 leaves.append(Leaf(value, x.weight, x.count, x.depth))
-            done = Tree(t.nodes, leaves, t.iteration, t.class_id)
-            out.append(done)
-            added[t.class_id] = added[t.class_id] + F.expr(value_sql(done))
-        rows = rows.withColumn("scores", F.array(*added))
-        if (i + 1) % params.checkpoint_every == 0:
-            rows = cut_lineage(rows)
-    return Model(out, model.features, model.objective, model.num_class, model.average, model.params)
+            out.append(Tree(t.nodes, leaves, t.iteration, t.class_id))
+        if (i + 1) % params.checkpoint_every == 0 and i + 1 < model.iterations:
+            rows = cut_lineage(_with_values(rows, list(enumerate(out))[folded:], classes))
+            folded = len(out)
+    return Model(out, model.features, model.objective, classes, model.average, model.params)
+
+
+def _with_values(rows: DataFrame, trees: list[tuple[int, Tree]], classes: int) -> DataFrame:
+    """Scores plus the values of these trees, looked up by place in the leaf-number matrix."""
+    parts = []
+    for k in range(classes):
+        terms = [f"get(array({', '.join(f'{x.value!r}D' for x in t.leaves)}), leaves[{at}])" for at, t in trees if t.class_id == k]
+        parts.append(" + ".join([f"scores[{k}]", *terms]))
+    return rows.withColumn("scores", F.expr(f"array({', '.join(parts)})"))

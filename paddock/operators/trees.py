@@ -20,6 +20,7 @@ from paddock.operators.binning import FeatureBins
 from paddock.operators.model import Leaf, Node, Tree
 from paddock.operators.prefix import first_rows
 from paddock.operators.scoring import _binned_left
+from paddock.operators.state import RoundRows
 
 
 @dataclass(frozen=True)
@@ -350,6 +351,8 @@ class _Growing:
         self.slot, self.specs, self.p, self.features, self.used = slot, specs, p, features, used
         self.root = _Open(0, 0, g, h, n, plain_output(g, h, p) if h else 0.0, script=p.forced_splits)
         self.all = [self.root]
+        self.stored = {self.root.id}  # nodes that rows may be kept at
+        self.place: dict[int, int] = {}
         self.ordered = bool(p.cegb_penalty_feature_coupled or p.cegb_penalty_feature_lazy)
 
     def chosen(self) -> tuple[list[_Open], list[_Open], list[_Open]]:
@@ -411,9 +414,20 @@ class _Growing:
             node.children = (made[0], made[1])
         return node.children
 
-    def route(self, wanted: set[int]) -> str:
-        """SQL giving the explored node a row is in, or null when it is not wanted."""
+    def _descend(self, column: str | None, at) -> str:
+        """SQL of `at` below the node each row is kept at; without a column, below the root."""
+        if column is None:
+            return at(self.root)
+        told = [(n.id, at(n)) for n in self.all if n.id in self.stored]
+        return f"CASE {column} {' '.join(f'WHEN {i} THEN {text}' for i, text in told)} END"
+
+    def _side(self, node: _Open, at) -> str:
         index = {f: i for i, f in enumerate(s.name for s in self.specs)}
+        left, right = node.children
+        return f"CASE WHEN {_binned_left(node.split, index)} THEN {at(left)} ELSE {at(right)} END"
+
+    def route(self, wanted: set[int], column: str | None = None) -> str:
+        """SQL giving the explored node a row is in, or null when it is not wanted."""
 
         def leads(node: _Open) -> bool:
             return node.id in wanted or (node.children is not None and any(leads(c) for c in node.children))
@@ -421,12 +435,37 @@ class _Growing:
         def at(node: _Open) -> str:
             if node.id in wanted:
                 return str(node.id)
-            if not leads(node):
-                return "CAST(NULL AS INT)"
-            left, right = node.children
-            return f"CASE WHEN {_binned_left(node.split, index)} THEN {at(left)} ELSE {at(right)} END"
+            return self._side(node, at) if leads(node) else "CAST(NULL AS INT)"
+
+        return self._descend(column, at)
+
+    def settle(self, column: str) -> str:
+        """SQL giving the deepest known node of a row, which is then where rows are kept."""
+
+        def at(node: _Open) -> str:
+            return str(node.id) if node.children is None else self._side(node, at)
+
+        text = self._descend(column, at)
+        self.stored = {n.id for n in self.all if n.children is None}
+        return text
+
+    def final_leaf(self, column: str | None = None) -> str:
+        """SQL giving a row's leaf of the finished tree."""
+        above: dict[int, str] = {}
+
+        def at(node: _Open) -> str:
+            return str(self.place[node.id]) if node.id in leaves else self._side(node, at)
+
+        def mark(node: _Open, leaf: str | None) -> None:
+            leaf = str(self.place[node.id]) if node.id in leaves else leaf
+            if leaf is not None:
+                above[node.id] = leaf
+            for c in node.children or ():
+                mark(c, leaf)
 
-        return at(self.root)
+        leaves = {n.id for n in self.chosen()[1]}
+        mark(self.root, None)
+        return self._descend(column, lambda n: above.get(n.id) or at(n))
 
     def allowed(self, node: _Open) -> list[int]:
         names = [s.name for s in self.specs]
@@ -485,6 +524,7 @@ class _Growing:
             tree.leaves.append(Leaf())
             parent[leaf], parent[fresh] = (k, "left"), (k, "right")
             place[node.children[0].id], place[node.children[1].id] = leaf, fresh
+        self.place = place
         for node in leaves:
             tree.leaves[place[node.id]] = Leaf(node.value, node.h, node.n, node.depth)
         return tree
@@ -561,12 +601,14 @@ class _Histograms:
 def grow_trees(
     rows: DataFrame, slots: list[tuple[str, str]], roots: list[tuple[float, float, int]], specs: list[FeatureBins],
     p: TreeParams, scale: tuple[float, float], features: list[list[str]] | None = None, used: set[str] | None = None,
-    seed: int = 0, subtract_rows: int | None = None,
-) -> list[Tree]:
+    seed: int = 0, subtract_rows: int | None = None, kept: RoundRows | None = None,
+) -> list[Tree] | tuple[list[Tree], list[_Growing]]:
     """Grow one tree per slot, all levels of all slots together.
 
     `rows` has `bins` and, per slot, bigint gradient and hessian columns (null leaves a row
-    out of that tree). Jobs are about the depth of the deepest tree, not the leaf count.
+    out of that tree). Jobs are about the depth of the deepest tree, not the leaf count. With
+    `kept` rows, each level goes on from the nodes stored there, and the growth of each tree is
+    returned too, for the leaf of every row.
     """
     names = [s.name for s in specs]
     used = set() if used is None else used
@@ -578,11 +620,13 @@ def grow_trees(
     )
     spark = rows.sparkSession
     levels = _Histograms(keys, SUBTRACT_ROWS if subtract_rows is None else subtract_rows)
+    stands = (lambda slot: None) if kept is None else kept.node
     while True:
+        rows = rows if kept is None else kept.rows
         asked = {t.slot: t.chosen()[2] for t in trees}
         if not any(asked.values()):
             break
-        _force(trees, asked, rows, slots, scale)
+        _force(trees, asked, rows, slots, scale, stands)
         asked = {k: [n for n in v if not n.known] for k, v in asked.items()}
         if not any(asked.values()):
             continue
@@ -591,7 +635,7 @@ def grow_trees(
         for t in trees:
             if asked[t.slot]:
                 g, h = slots[t.slot]
-                node = F.expr(t.route({n.id for n in asked[t.slot] if (t.slot, n.id) not in derived}))
+                node = F.expr(t.route({n.id for n in asked[t.slot] if (t.slot, n.id) not in derived}, stands(t.slot)))
                 cells.append(F.struct(F.lit(t.slot).alias("slot"), node.alias("node"), F.col(g).alias("g"), F.col(h).alias("h")))
         if len(cells) == 1:
             cut = rows.select(cells[0].alias("c"), "bins").select("c.*", "bins")
@@ -622,8 +666,11 @@ def grow_trees(
         for t in trees:
             for n in asked[t.slot]:
                 t.learn(n, found.get((t.slot, n.id)), scale)
+        if kept is not None:
+            kept.level_done(trees)
     levels.drop()
-    return [t.finished() for t in trees]
+    done = [t.finished() for t in trees]
+    return done if kept is None else (done, trees)
 
 
 # Features up to which the per-feature winners, at most this many rows per open node, are
@@ -651,7 +698,7 @@ def _taken(trees: list[_Growing]) -> set[str]:
     return {s.split.feature for t in trees if t.ordered for s in t.chosen()[0]}
 
 
-def _force(trees: list[_Growing], asked: dict[int, list[_Open]], rows: DataFrame, slots, scale: tuple[float, float]) -> None:
+def _force(trees: list[_Growing], asked: dict[int, list[_Open]], rows: DataFrame, slots, scale: tuple[float, float], stands) -> None:
     """Give scripted nodes their forced split, unless it leaves a side empty or worsens the gain."""
     for t in trees:
         for n in asked[t.slot]:
@@ -669,7 +716,7 @@ def _force(trees: list[_Growing], asked: dict[int, list[_Open]], rows: DataFrame
             else:
                 b = min(sum(1 for x in spec.bounds if x < n.script["threshold"]), len(spec.bounds) - 1)
                 left, cats = (F.col("bins")[at] <= b) & (F.col("bins")[at] != spec.missing_bin), []
-            inside = rows.where((F.expr(t.route({n.id})) == n.id) & F.col(g).isNotNull())
+            inside = rows.where((F.expr(t.route({n.id}, stands(t.slot))) == n.id) & F.col(g).isNotNull())
             s = inside.agg(
                 F.sum(F.when(left, F.col(g)).otherwise(0)).alias("lg"), F.sum(F.when(left, F.col(h)).otherwise(0)).alias("lh"),
                 F.count_if(left).alias("ln"), F.sum(g).alias("tg"), F.sum(h).alias("th"), F.count(F.lit(1)).alias("tn"),

@@ -658,9 +658,10 @@ def _nodes_of(spark, result):
     return nodes.select("tree_id", "iteration", "class_id", "node_id", "feature", "threshold", "left", "right", "gain", "value", "count")
 
 
-def _small(**over):
-    tree = trees.TreeParams(num_leaves=over.pop("num_leaves", 6), **over.pop("tree", {}))
-    return training.TrainParams(**{"objective": "binary", "num_iterations": 2, "bin_construct_sample_cnt": None, "tree": tree, **over})
+def _params(**over):
+    """Five rounds of 15 leaves unless told otherwise; bins from all rows."""
+    tree = trees.TreeParams(num_leaves=over.pop("num_leaves", 15), **over.pop("tree", {}))
+    return training.TrainParams(**{"objective": "binary", "num_iterations": 5, "bin_construct_sample_cnt": None, "tree": tree, **over})
 
 
 _STUMP_VALUES = " UNION ALL ".join(
@@ -680,7 +681,7 @@ _STUMP_VALUES = " UNION ALL ".join(
 )
 def _grow_tree(spark, sf):
     """The first tree with two leaves: its split is the best cut of all values."""
-    got = training.train(train_rows(spark, sf), _FEATURES, _small(num_iterations=1, num_leaves=2))
+    got = training.train(train_rows(spark, sf), _FEATURES, _params(num_iterations=1, num_leaves=2))
     return _nodes_of(spark, got).select("feature", "threshold", to_places(F.col("gain")).alias("gain"), "count")
 
 
@@ -688,53 +689,156 @@ def _trainer(name, label="label", features=_FEATURES, categorical=(), **over):
     @query(name)
     def run(spark, sf):
         df = train_rows(spark, sf).withColumn("label", F.col(label))
-        return _nodes_of(spark, training.train(df, list(features), _small(**dict(over)), categorical))
+        return _nodes_of(spark, training.train(df, list(features), _params(**dict(over)), categorical))
 
     return run
 
 
-_trainer("train_gbdt")
-_trainer("train_rf", boosting="rf", bagging_freq=1, bagging_fraction=0.6, num_iterations=4)
-_trainer("train_dart", boosting="dart", drop_rate=0.9, skip_drop=0.0, num_iterations=3, num_leaves=3)
-_trainer("train_multiclass", label="y_class", objective="multiclass", objective_params=ObjectiveParams(num_class=5), num_iterations=1, num_leaves=4)
-_trainer("train_goss", data_sample_strategy="goss", learning_rate=1.0, num_iterations=2, num_leaves=3)
-_trainer("train_categorical", features=[*_FEATURES, "supplier"], categorical=["supplier"], num_iterations=1)
-_trainer("feature_sample", feature_fraction=0.67, num_iterations=2, num_leaves=4)
-_trainer("extra_trees", num_iterations=1, tree={"extra_trees": True})
-_trainer("quantised_gradients", use_quantized_grad=True, num_iterations=1, num_leaves=4)
-_trainer("monotone", label="y_reg", objective="regression", num_iterations=1, tree={"monotone_constraints": {"l_quantity": 1}})
-_trainer("interaction_constraints", num_iterations=1, tree={"interaction_constraints": (("l_quantity", "l_tax"), ("l_discount",))})
-_trainer("forced_splits", num_iterations=1, num_leaves=4, tree={"forced_splits": {"feature": "l_tax", "threshold": 0.04, "left": {"feature": "l_quantity", "threshold": 20.0}}})
-_trainer("cegb", num_iterations=1, num_leaves=4, tree={"cegb_penalty_split": 1e-6, "cegb_penalty_feature_coupled": {"l_tax": 1.0}})
-_trainer("linear_leaves", label="y_reg", objective="regression", linear_tree=True, linear_lambda=0.1, num_iterations=2, num_leaves=4)
-_trainer("train_regression_l1", label="y_reg", objective="regression_l1", num_iterations=1, num_leaves=4)
+def audited(df, trained, params, offset=0):
+    """(iteration, rows, leaves, wrong_counts, wrong_values, falls): a binary model checked against its rows.
+
+    Every row is walked through the saved trees from its raw features. From the scores before a
+    round, the gradients and hessians of a leaf's rows give its value anew; counts, values and the
+    loss before and after the round are compared with what the model says.
+    """
+    forest, rate = params.boosting == "rf", 1.0 if params.boosting == "rf" else params.learning_rate
+    got = trained.model
+    start = df.agg(F.expr("ln(avg(label) / (1 - avg(label)))").alias("start"))  # one row
+    walked = scoring.predict_leaf(df, got, "at").select("row_id", "label", "at").join(F.broadcast(start))
+    values = f"array({', '.join('array(' + ', '.join(f'{x.value!r}D' for x in t.leaves) + ')' for t in got.trees)})"
+    summed = walked.selectExpr(
+        "*", f"aggregate(transform(at, (leaf, t) -> get(get({values}, t), leaf)), array(0D), (sums, x) -> concat(sums, array(element_at(sums, -1) + x))) AS sums"
+    )
+    bags = [sampling.bag_condition(F.col("row_id"), i, params.bagging_fraction, params.bagging_freq, params.bagging_seed) for i in range(len(got.trees))]
+    inside = F.get(F.array(*[F.lit(True) if b is None else b for b in bags]), F.col("t"))
+    # A forest's trees are averaged and all start anew; else the first tree carries the start.
+    before = "start" if forest else "if(t = 0, start, get(sums, t))"
+    after = "start + (get(sums, t + 1) - get(sums, t) - start)" if forest else "get(sums, t + 1)"
+    long = summed.select("*", F.posexplode("at").alias("t", "leaf")).where(inside).selectExpr("t", "leaf", "label", "start", f"{before} AS s", f"{after} AS e")
+    loss = lambda c: f"sum(ln(1 + exp({c})) - label * {c})"
+    leaves = long.groupBy("t", "leaf").agg(
+        F.count("*").alias("n"), F.expr("sum(1 / (1 + exp(-s)) - label)").alias("g"), F.expr("sum(1 / (1 + exp(-s)) / (1 + exp(s)))").alias("h"),
+        F.expr(loss("s")).alias("before"), F.expr(loss("e")).alias("after"), F.max("start").alias("start"),
+    )
+    held = model.to_tables(df.sparkSession, got)[1].select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("leaf"), "value", "count")
+    both = held.join(leaves, ["t", "leaf"], "left").where(F.col("t") >= offset)
+    shift = "start" if forest else "if(t = 0, start, 0D)"
+    return both.groupBy(F.col("t").alias("iteration")).agg(
+        F.sum("n").alias("rows"), F.count("*").alias("leaves"), F.count_if(~F.col("n").eqNullSafe(F.col("count"))).alias("wrong_counts"),
+        F.expr(f"count_if(n IS NULL OR abs(value - ({shift} - {rate!r}D * g / h)) > 1e-6)").alias("wrong_values"), F.expr("sum(after) < sum(before)").alias("falls"),
+    )
+
+
+def _audit_sql(rounds, leaves=None, first=0, rows="(SELECT count(*) FROM lineitem)", extra=""):
+    return (
+        f"SELECT CAST(i AS INTEGER) AS iteration, {rows} AS rows{f', CAST({leaves} AS BIGINT) AS leaves' if leaves else ''}, CAST(0 AS BIGINT) AS wrong_counts, "
+        f"CAST(0 AS BIGINT) AS wrong_values, true AS falls{extra} FROM range({first}, {rounds}) t(i)"
+    )
+
+
+def _audited_trainer(name, shape=None, rounds=5, leaves=None, features=_FEATURES, categorical=(), **over):
+    """`shape` is SQL for what holds of all nodes of a tree, an aggregate per tree."""
+
+    @query(name, _audit_sql(rounds, leaves, extra=", true AS shaped" if shape is not None else ""))
+    def run(spark, sf):
+        df, p = train_rows(spark, sf), _params(num_iterations=rounds, **dict(over))
+        got = training.train(df, list(features), p, categorical)
+        out = audited(df, got, p)
+        if shape is not None:
+            nodes = model.to_tables(spark, got.model)[0]
+            out = out.join(nodes.groupBy("iteration").agg(F.expr(shape).alias("shaped")), "iteration")
+        return out if leaves else out.drop("leaves")
+
+    return run
+
+
+_audited_trainer("train_gbdt", rounds=25, leaves=31, num_leaves=31)
+_audited_trainer("train_categorical", shape="count_if(kind = 'categorical') > 0", features=[*_FEATURES, "supplier"], categorical=["supplier"])
+_audited_trainer("feature_sample", shape="count(DISTINCT feature) <= 2", feature_fraction=0.67)
+_audited_trainer("extra_trees", tree={"extra_trees": True})
+_audited_trainer(
+    "interaction_constraints", shape="count_if(feature = 'l_discount') = 0 OR count(DISTINCT feature) = 1", tree={"interaction_constraints": (("l_quantity", "l_tax"), ("l_discount",))}
+)
+_audited_trainer(
+    "forced_splits", shape="max(CASE WHEN node_id = 0 THEN feature = 'l_tax' END)",
+    tree={"forced_splits": {"feature": "l_tax", "threshold": 0.04, "left": {"feature": "l_quantity", "threshold": 20.0}}},
+)
+_audited_trainer("cegb", shape="count_if(feature = 'l_tax') = 0", tree={"cegb_penalty_split": 1e-6, "cegb_penalty_feature_coupled": {"l_tax": 1e9}})
+
+
+@query("train_rf", _audit_sql(5, rows="CAST(0 AS BIGINT)").replace(", true AS falls", ", true AS falls, true AS near"))
+def _train_rf(spark, sf):
+    """Trees of a forest against the bags they were grown on; a bag holds about its share."""
+    df, p = train_rows(spark, sf), _params(boosting="rf", bagging_freq=1, bagging_fraction=0.6)
+    n = df.agg(F.count("*").alias("all_rows"))
+    out = audited(df, training.train(df, _FEATURES, p), p).join(F.broadcast(n))  # n is one row
+    near = F.abs(F.col("rows") / F.col("all_rows") - 0.6) < 0.05
+    return out.select("iteration", F.lit(0).cast("long").alias("rows"), "wrong_counts", "wrong_values", "falls", near.alias("near"))
+
+
+_trainer("train_dart", boosting="dart", drop_rate=0.9, skip_drop=0.0)
+_trainer("train_multiclass", label="y_class", objective="multiclass", objective_params=ObjectiveParams(num_class=5))
+_trainer("train_goss", data_sample_strategy="goss", learning_rate=1.0)
+_trainer("quantised_gradients", use_quantized_grad=True)
+_trainer("monotone", label="y_reg", objective="regression", tree={"monotone_constraints": {"l_quantity": 1}})
+_trainer("linear_leaves", label="y_reg", objective="regression", linear_tree=True, linear_lambda=0.1)
+_trainer("train_regression_l1", label="y_reg", objective="regression_l1")
+
+
+_CUT_SUMS = " UNION ALL ".join(f"SELECT {i} AS f, {c} AS v, sum(g) AS g, sum(h) AS h, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY {c}" for i, c in enumerate(_FEATURES))
+_CELL_VALUES = ", ".join(f"{c} + 0e0 AS {c}" for c in _FEATURES)
+_OF_FEATURE = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_FEATURES))
+_FEATURE_NAME = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_FEATURES))
+
+
+@query(
+    "train_stumps",
+    f"""WITH RECURSIVE c AS (SELECT {_CELL_VALUES}, count(*) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS r FROM lineitem GROUP BY ALL),
+        m AS (SELECT ln(sum(r) / sum(n) / (1 - sum(r) / sum(n))) AS start FROM c),
+        run AS (SELECT 0 AS i, c.*, start, start AS s, CAST(NULL AS INTEGER) AS f, 0e0 AS threshold, 0e0 AS gain, 0e0 AS lv, 0e0 AS rv FROM c, m UNION ALL
+          (WITH e AS (SELECT *, n / (1 + exp(-s)) - r AS g, n / (1 + exp(-s)) / (1 + exp(s)) AS h FROM run), x AS ({_CUT_SUMS}),
+             u AS (SELECT f, v, lead(v) OVER w AS nv, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(n) OVER w AS ln,
+                     sum(g) OVER (PARTITION BY f) AS tg, sum(h) OVER (PARTITION BY f) AS th, sum(n) OVER (PARTITION BY f) AS tn FROM x WINDOW w AS (PARTITION BY f ORDER BY v)),
+             b AS (SELECT *, lg * lg / lh + (tg - lg) * (tg - lg) / (th - lh) - tg * tg / th AS gain FROM u WHERE ln >= 20 AND tn - ln >= 20 ORDER BY gain DESC, f, v LIMIT 1)
+           SELECT i + 1, {", ".join(_FEATURES)}, e.n, r, start, s + 1e-1 * CASE WHEN (CASE b.f {_OF_FEATURE} END) <= b.v THEN -lg / lh ELSE -(tg - lg) / (th - lh) END,
+             b.f, CASE WHEN v = 0 THEN 1e-35 ELSE nextafter((v + nv) / 2, 'Infinity'::DOUBLE) END, b.gain, -1e-1 * lg / lh, -1e-1 * (tg - lg) / (th - lh) FROM e, b WHERE i < 25))
+        SELECT DISTINCT CAST(i - 1 AS INTEGER) AS iteration, CASE f {_FEATURE_NAME} END AS feature, threshold, {sql6("gain")} AS gain,
+          {sql6("CASE WHEN i = 1 THEN start ELSE 0 END + lv")} AS left_value, {sql6("CASE WHEN i = 1 THEN start ELSE 0 END + rv")} AS right_value FROM run WHERE i > 0""",
+)
+def _train_stumps(spark, sf):
+    """25 rounds of two leaves: every split and every leaf value, each on the scores of those before."""
+    got = training.train(train_rows(spark, sf), _FEATURES, _params(num_iterations=25, num_leaves=2))
+    nodes, leaves, _ = model.to_tables(spark, got.model)
+    value = lambda leaf: leaves.where(F.col("leaf_id") == leaf).select("iteration", to_places(F.col("value")).alias(("left_value", "right_value")[leaf]))
+    return nodes.select("iteration", "feature", "threshold", to_places(F.col("gain")).alias("gain")).join(value(0), "iteration").join(value(1), "iteration")
 
 
 @query("train_lambdarank")
 def _train_lambdarank(spark, sf):
     df = events(spark, sf).drop("weight").withColumn("hour", F.col("row_id") % 24).withColumn("kind", F.col("score"))
-    p = _small(objective="lambdarank", num_iterations=1, num_leaves=4)
+    p = _params(objective="lambdarank")
     return _nodes_of(spark, training.train(df.drop("score"), ["hour", "kind"], p))
 
 
 @query("early_stopping")
 def _early_stopping(spark, sf):
     df = train_rows(spark, sf)
-    p = _small(num_iterations=4, num_leaves=3, early_stopping_round=1, early_stopping_min_delta=1.0, metric=("binary_logloss",))
+    p = _params(early_stopping_round=2, early_stopping_min_delta=1.0, metric=("binary_logloss",))
     split = F.pmod(F.col("row_id"), F.lit(4))
     got = training.train(df.where(split != 0), _FEATURES, p, valid={"held": df.where(split == 0)})
     rows = [(i, key, value) for i, h in enumerate(got.history) for key, value in h.items()]
     return spark.createDataFrame(rows, "iteration int, metric string, value double").withColumn("best_iteration", F.lit(got.best_iteration))
 
 
-@query("continue_training")
+@query("continue_training", _audit_sql(5))
 def _continue_training(spark, sf):
+    """Three rounds, saved and loaded, and two more: all five as if they had been one run."""
     df = train_rows(spark, sf)
-    first = training.train(df, _FEATURES, _small(num_iterations=1, num_leaves=3))
+    first = training.train(df, _FEATURES, _params(num_iterations=3))
     path = _scratch(spark)
     model.save_model(spark, first.model, path)
-    more = training.train(df, _FEATURES, _small(num_iterations=1, num_leaves=3), init_model=model.load_model(spark, path))
-    return _nodes_of(spark, more)
+    p = _params(num_iterations=2)
+    return audited(df, training.train(df, _FEATURES, p, init_model=model.load_model(spark, path)), p).drop("leaves")
 
 
 @query("rollback_one", f"SELECT {_PLAIN}, {_V0} + {_V1} AS raw FROM {_HOLE_SQL}")
@@ -773,7 +877,7 @@ def _train_or_load(spark, sf):
     df, path = train_rows(spark, sf), _scratch(spark)
     low_high = df.agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b")).first()
     ends = df.select(*_FEATURES).where(F.col("l_quantity").isin(low_high["a"], low_high["b"]))
-    p = _small(num_iterations=1, num_leaves=3)
+    p = _params()
     first = train_or_load(df, _FEATURES, p, path, ends)
     second = train_or_load(df, _FEATURES, p, path, ends)
     return first.unionByName(second)
