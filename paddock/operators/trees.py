@@ -124,10 +124,26 @@ def _by_feature(values: list, default) -> Column:
     return F.get(F.array(*[F.lit(default if v is None else v) for v in values]), F.col("feature"))
 
 
+class _Steps:
+    """Projections and filters gathered as nested SQL text, so that a chain of them is analysed once."""
+
+    def __init__(self, source: DataFrame, text: str = "{source}"):
+        self.source, self.text = source, text
+
+    def selectExpr(self, *columns: str) -> _Steps:
+        return _Steps(self.source, f"(SELECT {', '.join(columns)} FROM {self.text})")
+
+    def where(self, condition: str) -> _Steps:
+        return _Steps(self.source, f"(SELECT * FROM {self.text} WHERE {condition})")
+
+    def done(self) -> DataFrame:
+        return self.source.sparkSession.sql(f"SELECT * FROM {self.text}", source=self.source)
+
+
 _SUMS = ("lg", "lh", "ln", "tg", "th", "tn")
 
 
-def _sides(cuts: DataFrame, p: TreeParams, scale: tuple[float, float], l2: float, plain: bool) -> DataFrame:
+def _sides(cuts: _Steps, p: TreeParams, scale: tuple[float, float], l2: float, plain: bool) -> DataFrame:
     """Allowed cuts with both outputs (lw, rw) and the gain.
 
     The gain of a leaf with output w is -(2 soft(G) w + (H + l2) w^2), which is
@@ -179,7 +195,7 @@ def _sides(cuts: DataFrame, p: TreeParams, scale: tuple[float, float], l2: float
             "*", f"{gain('a', 'b', 'lw', l2)} + {gain('c', 'd', 'rw', l2)} AS parts", f"{gain('e', 'f', 'w', p.lambda_l2)} AS whole"
         )
     # A difference within rounding of its parts is no gain.
-    return both.selectExpr("*", "nanvl(CASE WHEN abs(parts - whole) <= 1e-12 * abs(parts) THEN 0D ELSE parts - whole END, 0D) AS gain")
+    return both.selectExpr("*", "nanvl(CASE WHEN abs(parts - whole) <= 1e-12 * abs(parts) THEN 0D ELSE parts - whole END, 0D) AS gain").done()
 
 
 def split_gain(
@@ -195,9 +211,8 @@ def split_gain(
     numeric = [i for i, s in enumerate(specs) if s.kind == "numeric"]
     if not numeric:
         return _candidates_schema(hist.limit(0), keys)
-    h = hist.where(F.col("feature").isin(*numeric))
-    if nodes is not None:
-        h = h.join(F.broadcast(nodes), keys)
+    h = hist if nodes is None else hist.join(F.broadcast(nodes), keys)
+    h = _Steps(h).where(f"feature IN ({', '.join(map(str, numeric))})")
     gone = [i for i in numeric if specs[i].missing_bin >= 0]
     lost = " OR ".join(f"(feature = {i} AND bin = {specs[i].missing_bin})" for i in gone) or "FALSE"
     carried = [*keys, "feature", "bin", *([] if nodes is None else ["lo", "hi", "parent_value", "depth", "allowed"])]
@@ -246,7 +261,7 @@ def categorical_split(
     single = h.where(few).withColumn("cats", F.array("bin"))
     for c in ("g", "h", "n"):
         single = single.withColumn(f"l{c}", F.col(c))
-    parts = [_sides(single, p, scale, p.lambda_l2, nodes is None)]
+    parts = [_sides(_Steps(single), p, scale, p.lambda_l2, nodes is None)]
     for order in (F.col("ratio").asc(), F.col("ratio").desc()):
         at = W.partitionBy(*keys, "feature").orderBy(order, "bin")
         upto = at.rowsBetween(W.unboundedPreceding, 0)
@@ -255,7 +270,7 @@ def categorical_split(
             many = many.withColumn(f"l{c}", F.sum(c).over(upto))
         enough = (F.col("ln") >= p.min_data_per_group) & (F.col("tn") - F.col("ln") >= p.min_data_per_group)
         many = many.where((F.col("place") <= p.max_cat_threshold) & enough)
-        parts.append(_sides(many, p, scale, p.lambda_l2 + p.cat_l2, nodes is None))
+        parts.append(_sides(_Steps(many), p, scale, p.lambda_l2 + p.cat_l2, nodes is None))
     out = _candidates_schema(parts[0], keys)
     for part in parts[1:]:
         out = out.unionByName(_candidates_schema(part, keys))
@@ -264,6 +279,9 @@ def categorical_split(
 
 def adjust_gain(cuts: DataFrame, specs: list[FeatureBins], p: TreeParams, used: frozenset[str] = frozenset()) -> DataFrame:
     """Options that change or veto gains: multipliers, monotone direction and penalty, costs."""
+    costs = p.cegb_penalty_split > 0 or p.cegb_penalty_feature_coupled or p.cegb_penalty_feature_lazy
+    if not (p.feature_contri or p.monotone_constraints or costs):
+        return cuts
     names = [s.name for s in specs]
     gain = F.col("gain")
     if p.feature_contri:
@@ -683,8 +701,8 @@ def _winners(cuts: DataFrame, keys: list[str], p: TreeParams, features: int) ->
     have already put a node's bins of one feature together."""
     if features > DRIVER_FEATURES:
         return {tuple(r[k] for k in keys): r for r in best_split(cuts, keys, p).collect()}  # one row per open node
-    top = cuts.selectExpr("*", f"max(gain) OVER (PARTITION BY {', '.join(keys)}, feature) AS top")
-    top = top.where(f"gain = top AND top > {p.min_gain_to_split!r}D")
+    top = _Steps(cuts).selectExpr("*", f"max(gain) OVER (PARTITION BY {', '.join(keys)}, feature) AS top")
+    top = top.where(f"gain = top AND top > {p.min_gain_to_split!r}D").done()
     found: dict = {}
     for r in top.collect():
         at = tuple(r[k] for k in keys)
