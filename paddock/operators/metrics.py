@@ -7,6 +7,7 @@ otherwise. `weight` is a column or None; when present it weights each loss.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -242,8 +243,23 @@ def map_at(df: DataFrame, k: int, group: str = "group_id", tie: str = "row_id",
     return each.agg((F.sum(F.col("ap") * F.col("__w")) / F.sum("__w")).alias("value")).select(F.lit(f"map@{k}").alias("metric"), "value")
 
 
-def evaluate(df: DataFrame, metric: str, **params) -> DataFrame:
-    """A metric by name: `ndcg@5`, `map@3`, `multi_error@2` take their k from the name."""
+@dataclass(frozen=True)
+class CustomMetric:
+    """A metric of the caller's: an aggregate over label, prediction, raw and any other column."""
+
+    name: str
+    value: Callable[[], Column]
+    larger_is_better: bool = False
+
+
+def metric_name(metric: str | CustomMetric) -> str:
+    return metric if isinstance(metric, str) else metric.name
+
+
+def evaluate(df: DataFrame, metric: str | CustomMetric, **params) -> DataFrame:
+    """A metric by name, or the caller's own; `ndcg@5`, `map@3`, `multi_error@2` take their k from the name."""
+    if isinstance(metric, CustomMetric):
+        return df.agg(metric.value().cast("double").alias("value")).select(F.lit(metric.name).alias("metric"), "value")
     base, _, k = metric.partition("@")
     if base in pointwise_losses():
         return pointwise(df, base, **params)
@@ -258,7 +274,7 @@ def evaluate(df: DataFrame, metric: str, **params) -> DataFrame:
 
 
 def eval_all(
-    datasets: dict[str, DataFrame], metrics: list[str], params: dict[str, dict] | None = None, weight: str | None = None
+    datasets: dict[str, DataFrame], metrics: list[str | CustomMetric], params: dict[str, dict] | None = None, weight: str | None = None
 ) -> DataFrame:
     """(dataset, metric, value) for every metric on every dataset.
 
@@ -269,7 +285,7 @@ def eval_all(
     known = pointwise_losses()
     frames = []
     for name, df in datasets.items():
-        shared = [m for m in metrics if m in known]
+        shared = [m for m in metrics if isinstance(m, str) and m in known]
         if shared:
             y, p = F.col("label").cast("double"), F.col("prediction")
             values = []
@@ -281,8 +297,8 @@ def eval_all(
                 values.append(F.struct(F.lit(m).alias("metric"), value.alias("value")))
             frames.append(df.agg(F.array(*values).alias("m")).select(F.lit(name).alias("dataset"), F.inline("m")))
         for m in metrics:
-            if m not in known:
-                frames.append(evaluate(df, m, weight=weight, **params.get(m, {})).select(F.lit(name).alias("dataset"), "metric", "value"))
+            if m not in shared:
+                frames.append(evaluate(df, m, **({} if isinstance(m, CustomMetric) else {"weight": weight} | params.get(m, {}))).select(F.lit(name).alias("dataset"), "metric", "value"))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

@@ -8,29 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.operators.objectives import hash_unit
-from paddock.operators.prefix import weighted_percentile
+from paddock.operators.prefix import positions, weighted_percentile
 
 # Default sample size and seeds.
 BIN_SAMPLE = 200_000
 DATA_SEED, BAGGING_SEED, FEATURE_SEED = 1, 3, 2
 
 
+def sample_key(row_id: Column, seed: int) -> Column:
+    """16 hex digits drawn for a row: the first half of the MD5 of `<row id>/<seed>`; a null id is empty."""
+    return F.substring(F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(f"/{seed}"))), 1, 16)
+
+
+_DIGITS = 4  # hex digits told apart by one count: 65,536 cells
+
+
 def top_by_hash(df: DataFrame, k: int | None, seed: int, row_id: str = "row_id") -> DataFrame:
-    """k rows (None: all), uniform without replacement: those with the k smallest hashes.
+    """k rows (None: all), uniform without replacement: those with the k smallest keys.
 
-    A count sets a hash limit that about k rows pass, so the ordering sees little more than
-    k rows in all, however many there are; a table of at most k rows is kept whole.
+    Radix selection: a count of the keys' leading digits shows in which cell the k-th key lies;
+    rows of earlier cells are in, and the next digits tell that cell apart, until it
+    is wholly in or its keys are. Rows that share the last key are placed by id and
+    then by all their columns, by a range-partitioned running count. A pass yields at most 65,536 counts, and no
+    task orders the k rows.
     """
     if k is None:
         return df
-    n = df.count()
-    if n <= k:
-        return df
-    share = min(1.0, (k + 6.0 * k**0.5 + 20.0) / n)
-    near = df.withColumn("__u", hash_unit(F.col(row_id), seed)).where(F.col("__u") < share)
-    if near.count() < k:  # rows that share ids share hashes
-        near = df.withColumn("__u", hash_unit(F.col(row_id), seed))
-    return near.orderBy("__u", row_id).limit(k).drop("__u")
+    keyed = df.withColumn("__u", sample_key(F.col(row_id), seed))
+    inside, wanted, prefix = F.lit(False), k, ""
+    while len(prefix) < 16:
+        cell = F.substring("__u", 1, len(prefix) + _DIGITS)
+        cells = keyed.where(F.col("__u").startswith(prefix)).groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+        counts = sorted((r["cell"], r["n"]) for r in cells.collect())
+        if sum(n for _, n in counts) <= wanted:  # only in the first pass: the table has no more rows
+            return df
+        for at, n in counts:
+            if n > wanted:
+                break
+            wanted -= n
+        inside = F.col("__u") < at  # keys before the cell, in the order of their digits
+        prefix = at
+        if not wanted:
+            break
+    taken = keyed.where(inside)
+    if wanted:
+        tied = keyed.where(F.col("__u") == prefix)
+        every = [F.col(c) for c in df.columns if c != row_id and not df.schema[c].dataType.typeName() in ("map", "variant")]
+        placed = positions(tied, [], [F.col(row_id), *every], "__place")
+        taken = taken.unionByName(placed.where(F.col("__place") <= wanted).drop("__place"))
+    return taken.drop("__u")
 
 
 def sample_for_bins(df: DataFrame, k: int | None = BIN_SAMPLE, seed: int = DATA_SEED, row_id: str = "row_id") -> DataFrame:

@@ -65,7 +65,7 @@ class TrainParams:
     early_stopping_round: int = 0
     early_stopping_min_delta: float = 0.0
     first_metric_only: bool = False
-    metric: tuple[str, ...] = ()
+    metric: tuple[str | M.CustomMetric, ...] = ()
     linear_tree: bool = False
     linear_lambda: float = 0.0
     use_quantized_grad: bool = False
@@ -368,12 +368,14 @@ class _Run:
         return Model(trees, self.features, self.objective, self.classes, self.p.boosting == "rf", {"objective_params": op})
 
     @property
-    def metrics(self) -> tuple[str, ...]:
+    def metrics(self) -> tuple[str | M.CustomMetric, ...]:
         """The metrics asked for; none given means the objective's own."""
         return self.p.metric or OWN_METRICS.get(self.objective, ())
 
-    def _metric_settings(self, metric: str, columns: list[str]) -> dict:
+    def _metric_settings(self, metric: str | M.CustomMetric, columns: list[str]) -> dict:
         """Row or group weights and those settings of the objective that its metric shares."""
+        if isinstance(metric, M.CustomMetric):
+            return {}
         base = metric.partition("@")[0]
         out = {"weight": "weight"} if "weight" in columns else {}
         if base in M.pointwise_losses():
@@ -396,7 +398,7 @@ class _Run:
                 extra = self._metric_settings(metric, v.columns)
                 if self.classes > 1:
                     shaped = shaped.withColumn("probabilities", F.col("prediction")).withColumn("scores", F.col("prediction"))
-                out[f"{name}:{metric}"] = M.evaluate(shaped, metric, **extra).first()["value"]
+                out[f"{name}:{M.metric_name(metric)}"] = M.evaluate(shaped, metric, **extra).first()["value"]
         return out
 
 
@@ -468,12 +470,16 @@ class EarlyStopping:
         self.p = params
         self.best: dict[str, tuple[float, int]] = {}
         self.best_iteration = 0
+        self.own = {m.name: m.larger_is_better for m in params.metric if isinstance(m, M.CustomMetric)}
+
+    def _larger(self, metric: str) -> bool:
+        return self.own[metric] if metric in self.own else M.larger_is_better(metric)
 
     def update(self, iteration: int, values: dict[str, float]) -> bool:
         stop = False
         watched = [k for k in values if not self.p.first_metric_only or k.split(":", 1)[1] == next(iter(values)).split(":", 1)[1]]
         for key in watched:
-            sign = 1.0 if M.larger_is_better(key.split(":", 1)[1]) else -1.0
+            sign = 1.0 if self._larger(key.split(":", 1)[1]) else -1.0
             score = sign * values[key]
             best = self.best.get(key)
             if best is None or score > best[0] + self.p.early_stopping_min_delta:

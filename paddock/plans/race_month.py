@@ -61,8 +61,9 @@ def from_archives(files: DataFrame) -> RaceMonth:
     return RaceMonth(*[lines.where(F.col("kind") == k) for k in ("racelist", "horselist", "payback")], FILE)
 
 
-def write_typed(month: RaceMonth, path: str) -> None:
-    """Typed tables as Parquet, partitioned by month so later reads prune."""
+def write_typed(month: RaceMonth, path: str, batch: int | None = None) -> None:
+    """Typed tables as Parquet, partitioned by month so later reads prune; of a batch, under its number."""
+    under = "" if batch is None else f"/batch={batch}"
     month_column = (F.col("race_date") / 100).cast("int").alias("yyyymm")
     for name, frame in (("races", month.races), ("horses", month.horses), ("payouts", month.payouts)):
-        frame.select("*", month_column).write.mode("overwrite").partitionBy("yyyymm").parquet(f"{path}/{name}")
+        frame.select("*", month_column).write.mode("overwrite").partitionBy("yyyymm").parquet(f"{path}/{name}{under}")

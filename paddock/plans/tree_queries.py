@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.numeric import fixed_point, sigmoid, to_places
 from paddock.operators import binning as B
-from paddock.operators import columns, leaves, model, sampling, scoring, training, trees
+from paddock.operators import columns, leaves, metrics, model, sampling, scoring, training, trees
 from paddock.operators.contrib import predict_contrib, predict_sparse
 from paddock.operators.model import Leaf, Model, Node, Tree
 from paddock.operators.objectives import ObjectiveParams
@@ -212,9 +212,10 @@ def _save_binned(spark, sf):
 def _push_block(spark, sf):
     path = _scratch(spark)
     df = holed(spark, sf).withColumn("row_id", F.col("l_partkey"))
-    for part in range(2):
-        tables.push_block(df.where(F.col("l_suppkey") % 2 == part), _SPECS, path)
-    return _as_text(spark.read.parquet(f"{path}/binned").drop("label"))
+    for part in (0, 1, 0):  # the first block comes twice
+        tables.push_block(df.where(F.col("l_suppkey") % 2 == part), _SPECS, path, part)
+    tables.finish_blocks(spark, path, 2)
+    return _as_text(tables.load_blocks(spark, path).drop("label"))
 
 
 # --- histograms and splits ---
@@ -608,16 +609,14 @@ def _dump_model(spark, sf):
 # --- sampling ---
 
 
-@query("sample_for_bins", "SELECT least(count(*), 5000) AS n, least(count(*), 5000) AS distinct_rows FROM events")
+@query("sample_for_bins", "SELECT event_id AS row_id FROM events ORDER BY substr(md5(event_id || '/1'), 1, 16), event_id LIMIT 5000")
 def _sample_for_bins(spark, sf):
-    s = sampling.sample_for_bins(events(spark, sf), 5000)
-    return s.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("distinct_rows"))
+    return sampling.sample_for_bins(events(spark, sf), 5000).select("row_id")
 
 
-@query("reservoir_sample", "SELECT least(count(*), 300) AS n, CAST(0 AS BIGINT) AS outside FROM events WHERE event_type = 'click'")
+@query("reservoir_sample", "SELECT event_id AS row_id FROM events WHERE event_type = 'click' ORDER BY substr(md5(event_id || '/7'), 1, 16), event_id LIMIT 300")
 def _reservoir_sample(spark, sf):
-    s = sampling.reservoir_sample(events(spark, sf), 300, 7, F.col("label") == 1.0)
-    return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") != 1.0).alias("outside"))
+    return sampling.reservoir_sample(events(spark, sf), 300, 7, F.col("label") == 1.0).select("row_id")
 
 
 @query("bagging")
@@ -830,6 +829,26 @@ def _early_stopping(spark, sf):
     return spark.createDataFrame(rows, "iteration int, metric string, value double").withColumn("best_iteration", F.lit(got.best_iteration))
 
 
+@query("custom_metric", f"SELECT 'hits' AS metric, {sql6('avg(CASE WHEN (l_quantity > 25) = (l_returnflag = chr(82)) THEN 1e0 ELSE 0e0 END)')} AS value FROM lineitem")
+def _custom_metric(spark, sf):
+    """A caller's aggregate among named metrics of one evaluation."""
+    hits = metrics.CustomMetric("hits", lambda: F.avg(((F.col("prediction") > 0.25) == (F.col("label") > 0)).cast("double")), True)
+    df = train_rows(spark, sf).withColumn("prediction", F.col("l_quantity") / 100.0)
+    out = metrics.eval_all({"all": df}, ["l2", hits]).where("metric = 'hits'")
+    return out.select("metric", to_places(F.col("value")).alias("value"))
+
+
+@query("early_stopping_custom", "SELECT CAST(i AS INTEGER) AS iteration, 1 AS best_iteration, 'held:rows_behind' AS metric FROM range(3) t(i)")
+def _early_stopping_custom(spark, sf):
+    """A caller's metric that never improves stops training after its patience."""
+    df = train_rows(spark, sf)
+    behind = metrics.CustomMetric("rows_behind", lambda: F.count_if(F.col("prediction") > 2.0))  # 0 in every round
+    p = _params(num_leaves=2, num_iterations=6, early_stopping_round=2, metric=(behind,))
+    got = training.train(df, _FEATURES, p, valid={"held": df.where(F.pmod(F.col("row_id"), F.lit(4)) == 0)})
+    rows = [(i, got.best_iteration, key) for i, h in enumerate(got.history) for key in h]
+    return spark.createDataFrame(rows, "iteration int, best_iteration int, metric string")
+
+
 @query("continue_training", _audit_sql(5))
 def _continue_training(spark, sf):
     """Three rounds, saved and loaded, and two more: all five as if they had been one run."""

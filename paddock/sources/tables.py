@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.text import numeric_token
 from paddock.operators.binning import FeatureBins, bin_table, collect_spec
+from paddock.session import discard, exists
 
 # The columns a binned table keeps. Starting scores are not stored.
 STORED = ("row_id", "label", "weight", "group_id", "position")
@@ -94,10 +95,39 @@ def load_binned(spark: SparkSession, path: str) -> tuple[DataFrame, list[Feature
     return spark.read.parquet(f"{path}/binned"), collect_spec(spark.read.parquet(f"{path}/bin_spec"))
 
 
-def push_block(block: DataFrame, specs: list[FeatureBins], path: str) -> None:
-    """Bin a block of rows with frozen bins and append it, with its metadata columns."""
+def push_block(block: DataFrame, specs: list[FeatureBins], path: str, number: int) -> None:
+    """Bin a block of rows with frozen bins and store it, with its metadata columns, under its number.
+
+    A block counts once its entry in the log is written, which is last. A block that comes
+    again takes the place of the one before, so a push may be repeated after any failure.
+    """
+    spark = block.sparkSession
+    if exists(spark, f"{path}/finished"):
+        raise ValueError(f"{path} is finished: no block can be added")
     keep = [c for c in block.columns if c in STORED]
-    bin_table(block, specs, keep, packed=True).write.mode("append").parquet(f"{path}/binned")
+    discard(spark, f"{path}/log/{number}")
+    bin_table(block, specs, keep, packed=True).write.mode("overwrite").parquet(f"{path}/blocks/{number}")
+    rows = spark.read.parquet(f"{path}/blocks/{number}").count()
+    spark.createDataFrame([(number, rows)], "block long, rows long").coalesce(1).write.mode("overwrite").parquet(f"{path}/log/{number}")
+
+
+def block_log(spark: SparkSession, path: str) -> DataFrame:
+    """(block, rows) of the blocks that count."""
+    return spark.read.schema("block long, rows long").parquet(f"{path}/log/*")
+
+
+def finish_blocks(spark: SparkSession, path: str, blocks: int) -> None:
+    """Close a set of blocks 0 to `blocks` - 1; an error names those that are missing."""
+    found = {r["block"] for r in block_log(spark, path).collect()}  # a row a block
+    if missing := sorted(set(range(blocks)) - found):
+        raise ValueError(f"blocks missing: {missing[:20]}")
+    block_log(spark, path).coalesce(1).write.mode("overwrite").parquet(f"{path}/finished")
+
+
+def load_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the blocks that count, and of no others."""
+    found = sorted(r["block"] for r in block_log(spark, path).collect())  # a row a block
+    return spark.read.parquet(*[f"{path}/blocks/{b}" for b in found])
 
 
 def save_scores(scored: DataFrame, path: str, columns: list[str], fmt: str = "parquet") -> None:

@@ -11,7 +11,8 @@ from paddock.operators.binning import FeatureBins, bin_table
 from paddock.operators.model import Model, load_model, save_model
 from paddock.operators.scoring import predict, predict_raw
 from paddock.operators.training import TrainParams, refit
-from paddock.plans.race_month import RaceMonth, from_archives
+from paddock.plans.race_month import RaceMonth, from_archives, write_typed
+from paddock.session import names_in
 from paddock.sources.tables import STORED
 
 
@@ -43,12 +44,26 @@ def stream_archives(
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def store_archives(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """A stream of archives (path, length, content) to typed tables by batch and month.
+
+    The batch number is a partition that a batch overwrites, so one that comes again after a
+    restart takes its own place and no month is stored twice.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_typed(from_archives(batch.select("path", "length", "content")), out, batch_id)
+
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class OnlineRefit:
     """A model whose leaf values follow a stream of labelled rows.
 
     The model after each batch is saved next to the stream's progress, under the batch's
     number: a restart goes on from the last one, and a batch that comes again starts from the
-    model before it, so no batch is lost or counts twice.
+    model before it, so no batch is lost or counts twice. `model` is the last saved one from the
+    start on, also where no new rows arrive.
     """
 
     def __init__(self, model: Model, params: TrainParams, decay: float = 0.9):
@@ -57,6 +72,9 @@ class OnlineRefit:
     def start(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
         spark, first = rows.sparkSession, self.model
         folder = f"{checkpoint}-models"
+        saved = [int(n) for n in names_in(spark, folder) if n.isdigit()]
+        if saved:
+            self.model = load_model(spark, f"{folder}/{max(saved)}")
 
         def each(batch: DataFrame, batch_id: int) -> None:
             before = load_model(spark, f"{folder}/{batch_id - 1}") if batch_id else first
