@@ -38,7 +38,8 @@ class TwoPartRows:
         self._narrow = self._write(numbered.select(ROW, *changing))
         self.columns = [ROW, *fixed, "bins", *changing]
         packed = f"array({', '.join(f'CAST(b{i} AS INT)' for i in range(features))}) AS bins"
-        self.fixed = self.spark.table(self._fixed).selectExpr(ROW, *[f"`{c}`" for c in fixed], packed)
+        self._shown = [ROW, *[f"`{c}`" for c in fixed], packed]
+        self.fixed = self.spark.table(self._fixed).selectExpr(*self._shown)
 
     def _write(self, rows: DataFrame) -> str:
         name = f"rows_{uuid.uuid4().hex}"
@@ -56,8 +57,12 @@ class TwoPartRows:
         return self.spark.table(self._narrow)
 
     def meet(self, narrow: DataFrame) -> DataFrame:
-        """The fixed part with a narrow one, bucket by bucket; the narrow side is hashed."""
-        return self.fixed.join(narrow.hint("shuffle_hash"), ROW)
+        """The fixed part with a narrow one, bucket by bucket; the narrow side is hashed.
+
+        Bins become an array after the join, so that only those asked for are read.
+        """
+        both = self.spark.table(self._fixed).join(narrow.hint("shuffle_hash"), ROW)
+        return both.selectExpr(*self._shown, *[f"`{c}`" for c in narrow.columns if c != ROW])
 
     @property
     def rows(self) -> DataFrame:
