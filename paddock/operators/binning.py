@@ -52,8 +52,9 @@ def find_numeric_bins(
     forced: DataFrame | None = None,
     use_missing: bool = True,
     zero_as_missing: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Bins of a long (feature, value) table; NaN marks a missing value.
+    """Bins of a long (feature, value) table; NaN marks a missing value. `weight` names a column of row counts.
 
     Values combine per (feature, value) first. With few distinct values each has a bin;
     otherwise cuts fall at equal shares of the row count, taken from a range-partitioned
@@ -69,7 +70,7 @@ def find_numeric_bins(
     given = F.col("value") if use_missing else F.nanvl("value", F.lit(0.0))
     zeroed = F.when(F.abs(given) <= ZERO_LIMIT, F.lit(0.0)).otherwise(given)
     # The one pass over the rows. NaN is one more value here, and sorts last.
-    counts = values.groupBy("feature", zeroed.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = values.groupBy("feature", zeroed.alias("value")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     upto = running_totals(counts, ["feature"], [F.col("value")], {"upto": F.col("n"), "place": F.lit(1).cast("bigint")})
     lost = F.isnan("value")
     sizes = upto.groupBy("feature").agg(
@@ -181,6 +182,7 @@ class FeatureBins:
     bounds: list[float] = field(default_factory=list)
     categories: list[int] = field(default_factory=list)
     missing_type: str = "none"
+    sparse: bool = False  # rows keep a map of bins, without the zero bin
 
     @property
     def num_bins(self) -> int:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.functions.numeric import ZERO_LIMIT
+from paddock.operators.binning import FeatureBins
 from paddock.operators.model import Model, Node, Tree
 from paddock.operators.objectives import ObjectiveParams, output
 
@@ -48,8 +49,13 @@ def _goes_left(n: Node, quote: str) -> str:
     return f"CASE WHEN {lost} THEN {'TRUE' if n.threshold >= 0 else 'FALSE'} ELSE {x} <= {_num(n.threshold)} END"
 
 
-def _binned_left(n: Node, index: dict[str, int]) -> str:
-    b = f"bins[{index[n.feature]}]"
+def bin_reads(specs: list[FeatureBins]) -> dict[str, str]:
+    """SQL of each feature's bin in a binned row."""
+    return {s.name: f"coalesce(try_element_at(bins, {i}), {s.default_bin})" if s.sparse else f"bins[{i}]" for i, s in enumerate(specs)}
+
+
+def _binned_left(n: Node, reads: dict[str, str]) -> str:
+    b = reads[n.feature]
     if n.kind == "categorical":
         return f"{b} IN ({', '.join(str(c) for c in n.cat_bins) or '-1'})"
     side = "TRUE" if n.default_left else "FALSE"
@@ -89,15 +95,10 @@ def value_sql(tree: Tree, quote: str = "`") -> str:
     return _case(tree, lambda n: _goes_left(n, quote), leaf)
 
 
-def binned_leaf(tree: Tree, features: list[str]) -> Column:
-    """Leaf of a binned row (array column `bins`)."""
-    index = {f: i for i, f in enumerate(features)}
-    return F.expr(_case(tree, lambda n: _binned_left(n, index), str))
-
-
-def binned_value(tree: Tree, features: list[str]) -> Column:
-    index = {f: i for i, f in enumerate(features)}
-    return F.expr(_case(tree, lambda n: _binned_left(n, index), lambda i: _num(tree.leaves[i].value)))
+def binned_leaf(tree: Tree, specs: list[FeatureBins]) -> Column:
+    """Leaf of a binned row (column `bins`)."""
+    reads = bin_reads(specs)
+    return F.expr(_case(tree, lambda n: _binned_left(n, reads), str))
 
 
 def model_to_sql(model: Model, class_id: int = 0, quote: str = "`") -> str:

@@ -25,7 +25,7 @@ class TwoPartRows:
     """A table of rows with `bins` (in order of the features) and a narrow changing part."""
 
     def __init__(self, binned: DataFrame, features: int, changing: list[str], buckets: int | None = None, wide: bool = False):
-        """`binned` has `bins`; its columns in `changing` make the narrow part. `wide` bins need an int."""
+        """`binned` has `bins`, an array or, if sparse, a map; its columns in `changing` make the narrow part. `wide` bins need an int."""
         self.spark = binned.sparkSession
         self.buckets = buckets or parallelism(self.spark)
         self.changing, self.held = changing, {}
@@ -33,11 +33,12 @@ class TwoPartRows:
         # Numbers are frozen before rows are dealt by them, so a task run again deals the same.
         numbered = cut_lineage(binned.withColumn(ROW, F.monotonically_increasing_id()))
         kind = "INT" if wide else "SMALLINT"
-        cells = [f"CAST(bins[{i}] AS {kind}) AS b{i}" for i in range(features)]
+        sparse = binned.schema["bins"].dataType.typeName() == "map"
+        cells = ["bins"] if sparse else [f"CAST(bins[{i}] AS {kind}) AS b{i}" for i in range(features)]
         self._fixed = self._write(numbered.selectExpr(ROW, *[f"`{c}`" for c in fixed], *cells))
         self._narrow = self._write(numbered.select(ROW, *changing))
         self.columns = [ROW, *fixed, "bins", *changing]
-        packed = f"array({', '.join(f'CAST(b{i} AS INT)' for i in range(features))}) AS bins"
+        packed = "bins" if sparse else f"array({', '.join(f'CAST(b{i} AS INT)' for i in range(features))}) AS bins"
         self._shown = [ROW, *[f"`{c}`" for c in fixed], packed]
         self.fixed = self.spark.table(self._fixed).selectExpr(*self._shown)
 

@@ -145,7 +145,11 @@ class _Run:
             first = F.array(F.coalesce("init_score", F.lit(0.0))) if scalar else F.col("init_score")
         else:
             first = F.array(*[F.lit(float(s)) for s in self.starts])
-        binned = bin_table(df.withColumn("scores", first), self.specs, [*names, *raw, "scores"], packed=True)
+        scored = df.withColumn("scores", first)
+        if any(s.sparse for s in self.specs):
+            binned = scored.select(*names, *raw, "scores", "bins")
+        else:
+            binned = bin_table(scored, self.specs, [*names, *raw, "scores"], packed=True)
         changing = ["scores"]
         if self._keeps_leaves:
             binned, changing = binned.withColumn("leaves", F.array().cast("array<smallint>")), ["scores", "leaves"]
@@ -316,7 +320,7 @@ class _Run:
         return F.get(F.expr(f"array({', '.join(f'{x.value!r}D' for x in t.leaves)})"), leaf)
 
     def tree_value(self, t: Tree) -> Column:
-        return self.leaf_value(t, binned_leaf(t, [s.name for s in self.specs]))
+        return self.leaf_value(t, binned_leaf(t, self.specs))
 
     def _summed(self, trees: list[Tree], leaves: list[Column]) -> Column:
         parts = [F.col("scores")[k] for k in range(self.classes)]
@@ -325,8 +329,7 @@ class _Run:
         return F.array(*parts)
 
     def _walked(self, trees: list[Tree]) -> list[Column]:
-        names = [s.name for s in self.specs]
-        return [binned_leaf(t, names) for t in trees]
+        return [binned_leaf(t, self.specs) for t in trees]
 
     def advance(self, trees: list[Tree], kept: RoundRows, grown: list) -> None:
         """Add a round's trees to every scored table: the leaves of the training rows are known."""

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from paddock.operators.binning import FeatureBins
 from paddock.operators.model import Leaf, Node, Tree
 from paddock.operators.prefix import first_rows
-from paddock.operators.scoring import _binned_left
+from paddock.operators.scoring import _binned_left, bin_reads
+from paddock.operators.sparse import sparse_histogram
 from paddock.operators.state import RoundRows
 
 
@@ -212,7 +213,7 @@ def split_gain(
     if not numeric:
         return _candidates_schema(hist.limit(0), keys)
     h = hist if nodes is None else hist.join(F.broadcast(nodes), keys)
-    h = _Steps(h).where(f"feature IN ({', '.join(map(str, numeric))})")
+    h = _Steps(h) if len(numeric) == len(specs) else _Steps(h).where(f"feature IN ({', '.join(map(str, numeric))})")
     gone = [i for i in numeric if specs[i].missing_bin >= 0]
     lost = " OR ".join(f"(feature = {i} AND bin = {specs[i].missing_bin})" for i in gone) or "FALSE"
     carried = [*keys, "feature", "bin", *([] if nodes is None else ["lo", "hi", "parent_value", "depth", "allowed"])]
@@ -327,7 +328,7 @@ def best_split(cuts: DataFrame, keys: list[str], p: TreeParams) -> DataFrame:
 
 def apply_split(rows: DataFrame, leaf: int, new_leaf: int, node: Node, features: list[str], column: str = "leaf") -> DataFrame:
     """Rows of one leaf routed left (keeping the leaf) or right (to `new_leaf`)."""
-    left = F.expr(_binned_left(node, {f: i for i, f in enumerate(features)}))
+    left = F.expr(_binned_left(node, {f: f"bins[{i}]" for i, f in enumerate(features)}))
     return rows.withColumn(column, F.when((F.col(column) == leaf) & ~left, F.lit(new_leaf)).otherwise(F.col(column)))
 
 
@@ -371,6 +372,7 @@ class _Growing:
         self.all = [self.root]
         self.stored = {self.root.id}  # nodes that rows may be kept at
         self.place: dict[int, int] = {}
+        self.reads = bin_reads(specs)
         self.ordered = bool(p.cegb_penalty_feature_coupled or p.cegb_penalty_feature_lazy)
 
     def chosen(self) -> tuple[list[_Open], list[_Open], list[_Open]]:
@@ -440,9 +442,8 @@ class _Growing:
         return f"CASE {column} {' '.join(f'WHEN {i} THEN {text}' for i, text in told)} END"
 
     def _side(self, node: _Open, at) -> str:
-        index = {f: i for i, f in enumerate(s.name for s in self.specs)}
         left, right = node.children
-        return f"CASE WHEN {_binned_left(node.split, index)} THEN {at(left)} ELSE {at(right)} END"
+        return f"CASE WHEN {_binned_left(node.split, self.reads)} THEN {at(left)} ELSE {at(right)} END"
 
     def route(self, wanted: set[int], column: str | None = None) -> str:
         """SQL giving the explored node a row is in, or null when it is not wanted."""
@@ -638,6 +639,9 @@ def grow_trees(
     )
     spark = rows.sparkSession
     levels = _Histograms(keys, SUBTRACT_ROWS if subtract_rows is None else subtract_rows)
+    zero_bins = None
+    if any(s.sparse for s in specs):
+        zero_bins = spark.createDataFrame([(i, s.default_bin) for i, s in enumerate(specs)], "feature int, zero int")
     stands = (lambda slot: None) if kept is None else kept.node
     while True:
         rows = rows if kept is None else kept.rows
@@ -661,7 +665,10 @@ def grow_trees(
             cut = rows.select(F.explode(F.array(*cells)).alias("c"), "bins").select("c.*", "bins")
         cut = cut.where(F.col("node").isNotNull() & F.col("g").isNotNull())
         common = sorted({i for t in trees for n in asked[t.slot] for i in t.allowed(n)}) if special else None
-        hist = gradient_histogram(cut, keys, common if common is not None and len(common) < len(names) else None)
+        if zero_bins is None:
+            hist = gradient_histogram(cut, keys, common if common is not None and len(common) < len(names) else None)
+        else:
+            hist = sparse_histogram(cut, keys, zero_bins)
         nodes = None
         if not special:
             hist = levels.keep(levels.complete(hist, derived), asked)
@@ -730,10 +737,10 @@ def _force(trees: list[_Growing], asked: dict[int, list[_Open]], rows: DataFrame
             g, h = slots[t.slot]
             if spec.kind == "categorical":
                 b = spec.categories.index(n.script["threshold"]) + 1 if n.script["threshold"] in spec.categories else -1
-                left, cats = F.col("bins")[at] == b, [b]
+                left, cats = F.expr(t.reads[spec.name]) == b, [b]
             else:
                 b = min(sum(1 for x in spec.bounds if x < n.script["threshold"]), len(spec.bounds) - 1)
-                left, cats = (F.col("bins")[at] <= b) & (F.col("bins")[at] != spec.missing_bin), []
+                left, cats = F.expr(f"{t.reads[spec.name]} <= {b} AND {t.reads[spec.name]} <> {spec.missing_bin}"), []
             inside = rows.where((F.expr(t.route({n.id}, stands(t.slot))) == n.id) & F.col(g).isNotNull())
             s = inside.agg(
                 F.sum(F.when(left, F.col(g)).otherwise(0)).alias("lg"), F.sum(F.when(left, F.col(h)).otherwise(0)).alias("lh"),

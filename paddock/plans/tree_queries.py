@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.numeric import fixed_point, sigmoid, to_places
 from paddock.operators import binning as B
-from paddock.operators import columns, leaves, metrics, model, sampling, scoring, training, trees
+from paddock.operators import columns, leaves, metrics, model, sampling, scoring, sparse, training, trees
 from paddock.operators.contrib import predict_contrib, predict_sparse
 from paddock.operators.model import Leaf, Model, Node, Tree
 from paddock.operators.objectives import ObjectiveParams
@@ -784,6 +784,35 @@ _trainer("linear_leaves", label="y_reg", objective="regression", linear_tree=Tru
 _trainer("train_regression_l1", label="y_reg", objective="regression_l1")
 
 
+_TRIPLE_SQL = "SELECT l_orderkey AS row_id, CAST(l_linenumber - 1 AS INTEGER) AS feature, max(floor(l_quantity / 10)) AS value FROM lineitem GROUP BY 1, 2"
+
+
+def triples(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("row_id"), (F.col("l_linenumber") - 1).alias("feature"), F.floor(F.col("l_quantity") / 10).alias("value")
+    )
+
+
+def _sparse_labels(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_custkey") % 3 == 0).cast("double").alias("label"), "o_custkey")
+
+
+@query(
+    "sparse_histogram",
+    f"""WITH t AS ({_TRIPLE_SQL}), o AS (SELECT o_orderkey, o_orderkey % 2 AS node, o_custkey AS g FROM orders),
+          d AS (SELECT node, f AS feature, CAST(coalesce(value, 0) AS INTEGER) AS bin, g FROM o CROSS JOIN range(0, 7) x(f) LEFT JOIN t ON t.row_id = o_orderkey AND t.feature = f)
+        SELECT CAST(node AS BIGINT) AS node, CAST(feature AS INTEGER) AS feature, bin, CAST(sum(g) AS BIGINT) AS g, count(*) AS h, count(*) AS n FROM d GROUP BY ALL""",
+)
+def _sparse_histogram(spark, sf):
+    """Each value has a bin of its own here, so a bin is a value; the zeros are never stored."""
+    specs = [B.FeatureBins(f"f{i}", bounds=[0.5, 1.5, 2.5, 3.5, 4.5, float("inf")], sparse=True) for i in range(7)]
+    rows = sparse.sparse_rows(_sparse_labels(spark, sf), triples(spark, sf), specs)
+    zero = spark.createDataFrame([(i, 0) for i in range(7)], "feature int, zero int")
+    keyed = rows.select((F.col("row_id") % 2).alias("node"), F.col("o_custkey").alias("g"), F.lit(1).cast("long").alias("h"), "bins")
+    return sparse.sparse_histogram(keyed, ["node"], zero)
+
+
 _CUT_SUMS = " UNION ALL ".join(f"SELECT {i} AS f, {c} AS v, sum(g) AS g, sum(h) AS h, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY {c}" for i, c in enumerate(_FEATURES))
 _CELL_VALUES = ", ".join(f"{c} + 0e0 AS {c}" for c in _FEATURES)
 _OF_FEATURE = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_FEATURES))
