@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paddock.llm.tables import join_small, numbered, stored
+from paddock.llm.tables import identified, stored, times_of_rows
 from paddock.operators.prefix import running_totals
 
 _BUCKETS = 4096
@@ -153,9 +153,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
     """The mix as whole documents: a document comes as often as the block with its first word
     is played (0 to `most_repeats` times). Each row counts by itself, whatever its id."""
-    rows = numbered(docs)
-    stream, goals = _streamed(rows, text, source, doc_id, params, F.col("__row"))
+    rows = identified(docs)
+    narrow = rows.select("__row", *[F.col("__doc")[c].alias(c) for c in dict.fromkeys((text, source, doc_id))])
+    stream, goals = _streamed(narrow, text, source, doc_id, params, F.col("__row"))
     starts = stream.where("size > 0").withColumn("block_no", F.floor(F.col("from") / F.col("block")))
     plays = starts.join(_plays(goals, params), ["place", "block_no"]).select(F.col("row").alias("__row"), F.col("plays").cast("int").alias("__plays"))
-    kept = join_small(rows, stored(plays, "plays"), "__row", "inner")
-    return kept.withColumn("__play", F.explode(F.sequence(F.lit(1), F.col("__plays")))).select(*docs.columns)
+    marks = stored(plays.select("__row", F.col("__plays").alias("times")), "plays")
+    kept = times_of_rows(rows, marks, params.most_repeats).where("__times > 0")
+    return kept.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__play")).select("__doc.*")

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from paddock.llm.components import components
 from paddock.llm.hashing import distinct, mix64, set_hashes, shingle_hashes, stream, word_hashes
-from paddock.llm.tables import join_small, numbered, stored, text_bytes
+from paddock.llm.tables import identified, join_small, stored, text_bytes, times_of_rows
 from paddock.operators.prefix import first_rows
 from paddock.session import parallelism
 
@@ -69,6 +69,7 @@ class Params:
     pivots: int = 16
     pivot_growth: int = 8  # times as many each round
     broadcast_ids: int = 2_000_000  # candidate ids are broadcast up to here, shuffled beyond
+    broadcast_packs: int = 16_384  # maps of dropped rows (4 KB for 32,768 rows) are broadcast up to here
 
 
 def _least_kept(size: int, percent: int) -> int:
@@ -365,14 +366,13 @@ def one_row_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Each row is judged by itself, whatever its id. Null and blank texts are copies of nothing
     and stay.
     """
-    rows = numbered(docs)
-    classes = stored(join(rows, text, "__row", params).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class")), "classes")
-    sizes = classes.groupBy("__class").agg(F.count("*").alias("__members")).where("__members > 1").select("__class")
-    shared = classes.join(sizes, "__class")
-    placed = stored(
-        shared.join(rows.select("__row", F.col(doc_id).cast("long").alias("__id")), "__row").select("__class", F.struct(F.col("__id").isNull(), "__id", "__row").alias("__place")),
-        "copies",
-    )
-    first = placed.groupBy("__class").agg(F.min("__place").alias("__first"))
-    gone = placed.join(first, "__class").where("__place.__row != __first.__row").select(F.col("__place.__row").alias("__row"))
-    return join_small(rows, stored(gone, "gone"), "__row", "left_anti", params.broadcast_ids).select(*docs.columns)
+    rows = identified(docs)
+    narrow = rows.select("__row", F.col("__doc")[text].alias("__text"), F.col("__doc")[doc_id].cast("long").alias("__id"))
+    classes = join(narrow.select("__row", "__text"), "__text", "__row", params).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class"))
+    place = F.struct(F.col("__id").isNull().alias("last"), "__id", "__row").alias("__place")
+    placed = stored(classes.join(narrow.select("__row", "__id"), "__row").select("__class", place), "placed")
+    first = placed.groupBy("__class").agg(F.min("__place").alias("__first")).select(F.col("__first.__row").alias("__row"))
+    # Row against row: no class, however large, meets in one task.
+    gone = placed.select(F.col("__place.__row").alias("__row")).join(first, "__row", "left_anti")
+    marks = stored(gone.withColumn("times", F.lit(1)), "gone")
+    return times_of_rows(rows, marks, packs=params.broadcast_packs).where("__times = 0").select("__doc.*")

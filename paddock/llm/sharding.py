@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.tables import join_small, stored
+from paddock.llm.tables import identified, join_small, stored
 from paddock.operators.prefix import positions
 
 
@@ -155,9 +155,10 @@ def shard_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def with_shards(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
     """Every row of `docs`, all columns, with `shard` and `slot` (replacing columns so named).
 
-    Rows may be alike in all columns, so they are numbered and written before they are dealt.
+    Rows may be alike in all columns, so they are told apart by their place in their files.
     """
-    numbered = stored(docs.drop("shard", "slot").withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = numbered.select(F.col(doc_id), F.col(text), F.col("__row").alias("row"))
-    found = stored(_sharded(rows, text, doc_id, params).select(F.col("row").alias("__row"), "shard", "slot"), "slots")
-    return join_small(numbered, found, "__row", "inner").drop("__row")
+    rows = identified(docs)
+    narrow = rows.select(F.col("__doc")[doc_id].alias("doc_id"), F.col("__doc")[text].alias("text"), F.col("__row").alias("row"))
+    found = stored(_sharded(narrow, "text", "doc_id", params).select(F.col("row").alias("__row"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "slots")
+    kept = [F.col("__doc")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return join_small(rows, found, "__row", "inner").select(*kept, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))

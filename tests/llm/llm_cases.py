@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
-CLASHES = ["score", "held_out", "block", "row", "hub", "shard", "slot", "node", "key", "place", "size", "target", "rank", "__text", "word", "a", "b", "count"]
+CLASHES = ["score", "held_out", "block", "row", "hub", "shard", "slot", "node", "key", "place", "size", "target", "rank", "__text", "word", "a", "b", "count", "__row", "__play", "__doc", "__times"]
 
 
 def tokens(text: str | None) -> list[bytes]:
