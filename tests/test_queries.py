@@ -10,12 +10,11 @@ from conftest import SMALL
 import __spark_entry__ as entry
 from paddock.plans import all_queries
 
+# Minutes each: training without a twin of its rows, and the longest run. test_learning, test_parts and
+# test_sparse train with the same options on small tables.
 SLOW = {
-    name for name in all_queries.QUERIES
-    if name.startswith("train_") or name in (
-        "feature_sample", "extra_trees", "quantised_gradients", "monotone", "interaction_constraints", "forced_splits", "cegb",
-        "linear_leaves", "early_stopping", "continue_training",
-    )
+    "train_gbdt", "train_dart", "train_multiclass", "train_goss", "train_categorical", "train_regression_l1", "train_lambdarank", "quantised_gradients",
+    "monotone", "linear_leaves", "early_stopping", "train_or_load",
 }
 
 
