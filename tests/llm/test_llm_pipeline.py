@@ -25,7 +25,7 @@ def test_registered_query(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SMALL)
     assert rows_of(df) == sorted(db.execute(entry.oracle_sql()[name]).fetchall(), key=repr)
