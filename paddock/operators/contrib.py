@@ -97,7 +97,12 @@ def contributions(tree: Tree, x: np.ndarray, at: dict[str, int]) -> np.ndarray:
 
 
 def predict_contrib(df: DataFrame, model: Model, keep: list[str], name: str = "contrib") -> DataFrame:
-    """(keep, contrib): per class, one value per feature and then the expected value."""
+    """(keep, contrib): per class, one value per feature and then the expected value.
+
+    Models with linear leaves are refused: their contributions would not add up to the score.
+    """
+    if any(x.const is not None and x.coeffs for t in model.trees for x in t.leaves):
+        raise ValueError("contributions are defined for constant leaves only")
     at = {f: i for i, f in enumerate(model.features)}
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by trees x leaves
     width = len(at) + 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paddock.operators import metrics, sampling, scoring, training
 from paddock.operators.binning import FeatureBins
+from paddock.operators.contrib import predict_contrib
 from paddock.operators.model import Leaf, Model, Node, Tree
 from paddock.operators.state import ROW, RoundRows, TwoPartRows
 from paddock.operators.trees import TreeParams
@@ -135,3 +136,9 @@ def test_online_refit_goes_on_from_the_saved_model(spark, tmp_path):
         online.start(stream, str(tmp_path / "progress")).awaitTermination()
         values.append([x.value for x in online.model.trees[0].leaves])
     assert values[0] == values[1] != [0.5, 0.2]
+
+
+def test_contributions_refuse_linear_leaves(spark):
+    linear = Model([Tree([Node("a", 0.5, left=-1, right=-2)], [Leaf(0.5, const=0.1, coeffs={"a": 2.0}), Leaf(0.2)])], ["a"], "regression")
+    with pytest.raises(ValueError, match="constant leaves"):
+        predict_contrib(spark.createDataFrame([(1.0,)], "a double"), linear, ["a"])
