@@ -36,6 +36,7 @@ class ObjectiveParams:
     truncation_level: int = 30
     lambdarank_norm: bool = True
     label_gain: tuple[float, ...] | None = None
+    position_bias_regularization: float = 0.0
     objective_seed: int = 5
     custom: Callable[[Column, Column], GradHess] | None = field(default=None, compare=False)
 

@@ -20,6 +20,7 @@ from paddock.operators.objectives import (
     MULTI, RANKING, RENEWED, ObjectiveParams, class_gradients, class_start_scores, hash_unit, lambdarank_gradients, output,
     row_gradients, start_score, xendcg_gradients,
 )
+from paddock.operators.position_bias import PositionFactors
 from paddock.operators.sampling import BIN_SAMPLE, bag_condition, feature_sample, goss_weights, sample_for_bins
 from paddock.operators.scoring import binned_leaf, predict_leaf, predict_raw
 from paddock.operators.state import ROW, RoundRows, TwoPartRows
@@ -86,6 +87,7 @@ class TrainResult:
     history: list[dict[str, float]]
     best_iteration: int
     specs: list[FeatureBins]
+    position_factors: DataFrame | None = None  # (position, factor) of a ranker trained with positions
 
 
 def prepare_bins(df: DataFrame, features: list[str], categorical: list[str], p: TrainParams) -> list[FeatureBins]:
@@ -117,6 +119,7 @@ class _Run:
             if n["a"]:
                 self.op = replace(self.op, scale_pos_weight=n["b"] / n["a"])
         self.starts = self._starts(df)
+        self.factors = PositionFactors.zeros(df) if p.objective == "lambdarank" and "position" in df.columns else None
         self.state = self._binned(df)
         self.valid = {name: self._binned(v) for name, v in (valid or {}).items()}
 
@@ -165,7 +168,8 @@ class _Run:
         if self.objective in RANKING:
             flat = rows.withColumn("score", score[0])
             if self.objective == "lambdarank":
-                got = lambdarank_gradients(flat, self.op)
+                raised = flat if self.factors is None else self.factors.added_to(flat)
+                got = lambdarank_gradients(raised, self.op)
             else:
                 got = xendcg_gradients(flat, self.op, round_no=iteration)
             scale = F.lit(1.0) if weight is None else weight
@@ -243,8 +247,20 @@ class _Run:
         for i, t in enumerate(trees):
             t.iteration, t.class_id = iteration + i // self.classes, i % self.classes
             self._finish(t, kept, grown, i, iteration)
+        if self.factors is not None:
+            self._move_factors(kept, scale)
         return trees, kept, grown
 
+    def _move_factors(self, kept: RoundRows, scale: tuple[float, float]) -> None:
+        """A step of the position factors on the round's kept gradients, those of its (first) sample of rows."""
+        g, h = F.col("qg0") / scale[0], F.col("qh0") / scale[1]
+        rows = self.state.fixed.select(ROW, "position").join(kept.narrow.select(ROW, "qg0", "qh0").hint("shuffle_hash"), ROW)
+        self.factors = self.factors.stepped(rows, self.p.learning_rate, self.op.position_bias_regularization, g, h)
+
+    @property
+    def position_factors(self) -> DataFrame | None:
+        return None if self.factors is None else self.factors.table
+
     def _tops(self, graded: DataFrame) -> dict:
         """Row count and largest |g| and |h| per class; losses with known limits need no pass."""
         if self.objective in ("binary", "multiclass", "multiclassova", "cross_entropy") and self.p.data_sample_strategy != "goss":
@@ -424,7 +440,10 @@ def train(
     valid: dict[str, DataFrame] | None = None, init_model: Model | None = None, specs: list[FeatureBins] | None = None,
     on_round: Callable[[int, Model], None] | None = None,
 ) -> TrainResult:
-    """Train on a table with row_id, label, feature columns and optional weight, group_id, init_score."""
+    """Train on a table with row_id, label, feature columns and optional weight, group_id, init_score, position.
+
+    With `lambdarank`, a position column adds a factor per position, learned as the trees are (`position_bias`).
+    """
     if params.boosting == "rf" and (params.bagging_freq <= 0 or min(params.bagging_fraction, params.feature_fraction) >= 1.0):
         raise ValueError("a forest needs bagging_freq > 0 and bagging_fraction or feature_fraction below 1: its trees would all be alike")
     run = _Run(df, features, params, categorical, specs, init_model, valid)
@@ -458,7 +477,7 @@ def _train_boosted(run: _Run, on_round: Callable[[int, Model], None] | None) ->
         if on_round:
             on_round(i, run.model())
     best = stopper.best_iteration if params.early_stopping_round > 0 and history else len({t.iteration for t in run.trees})
-    return TrainResult(run.model(), history, best, run.specs)
+    return TrainResult(run.model(), history, best, run.specs, run.position_factors)
 
 
 def _let_go(kept: RoundRows | None) -> None:
@@ -510,11 +529,11 @@ def _train_forest(run: _Run) -> TrainResult:
             run.average(new, i)
             history.append(run.evaluate())
             if stopper.update(i, history[-1]):
-                return TrainResult(run.model(), history, stopper.best_iteration, run.specs)
+                return TrainResult(run.model(), history, stopper.best_iteration, run.specs, run.position_factors)
         if not history:
             run.trees += trees
     best = stopper.best_iteration if p.early_stopping_round > 0 and history else p.num_iterations
-    return TrainResult(run.model(), history, best, run.specs)
+    return TrainResult(run.model(), history, best, run.specs, run.position_factors)
 
 
 def _train_dart(run: _Run) -> TrainResult:
@@ -565,7 +584,7 @@ def _train_dart(run: _Run) -> TrainResult:
                 break
     run.trees = [t.scaled(weights[t.iteration]) for t in raw]
     best = stopper.best_iteration if p.early_stopping_round > 0 and history else done
-    return TrainResult(run.model(), history, best, run.specs)
+    return TrainResult(run.model(), history, best, run.specs, run.position_factors)
 
 
 def weighted_scores(rows: DataFrame, trees: list[Tree], weights: list[float], classes: int, leaves: str = "leaves") -> DataFrame:

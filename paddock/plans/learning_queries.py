@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.numeric import sigmoid, to_places
 from paddock.operators import columns, groups, metrics, objectives
+from paddock.operators.position_bias import PositionFactors
 from paddock.plans.catalog import query, sql6, table
 
 _ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -136,12 +137,12 @@ def events(spark, sf):
     )
 
 
-@query(
-    "grad_lambdarank",
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, row_id) AS rk,
+def lambdarank_sql(rows: str) -> str:
+    """SQL of the ranking gradients of `rows` (row_id, group_id, label, score): all their columns, g and h."""
+    return f"""(WITH r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, row_id) AS rk,
                           row_number() OVER (PARTITION BY group_id ORDER BY label DESC, row_id) AS bk,
                           max(score) OVER (PARTITION BY group_id) AS top, min(score) OVER (PARTITION BY group_id) AS bottom,
-                          pow(2e0, label) - 1e0 AS gain FROM {_EVENTS_SQL}),
+                          pow(2e0, label) - 1e0 AS gain FROM {rows}),
          m AS (SELECT group_id, sum(gain / log2(1e0 + bk)) AS best FROM r WHERE bk <= 30 GROUP BY group_id),
          p AS (SELECT a.group_id, a.row_id AS hi, b.row_id AS lo,
                       abs(a.gain - b.gain) * abs(1e0 / log2(1e0 + a.rk) - 1e0 / log2(1e0 + b.rk)) / best
@@ -153,15 +154,49 @@ def events(spark, sf):
                UNION ALL SELECT group_id, lo, delta * rho, delta * rho * (1e0 - rho) FROM p),
          t AS (SELECT group_id, sum(abs(g)) AS total FROM f GROUP BY group_id),
          c AS (SELECT row_id, sum(g) AS g, sum(h) AS h FROM f GROUP BY row_id)
-       SELECT r.row_id, {sql6("coalesce(g, 0e0) * CASE WHEN total > 0 THEN log2(1e0 + total) / total ELSE 1e0 END")} AS g,
-              {sql6("coalesce(h, 0e0) * CASE WHEN total > 0 THEN log2(1e0 + total) / total ELSE 1e0 END")} AS h
-       FROM r LEFT JOIN c ON c.row_id = r.row_id LEFT JOIN t ON t.group_id = r.group_id""",
-)
+       SELECT r.*, coalesce(g, 0e0) * CASE WHEN total > 0 THEN log2(1e0 + total) / total ELSE 1e0 END AS g,
+              coalesce(h, 0e0) * CASE WHEN total > 0 THEN log2(1e0 + total) / total ELSE 1e0 END AS h
+       FROM r LEFT JOIN c ON c.row_id = r.row_id LEFT JOIN t ON t.group_id = r.group_id)"""
+
+
+@query("grad_lambdarank", f"SELECT row_id, {sql6('g')} AS g, {sql6('h')} AS h FROM {lambdarank_sql(_EVENTS_SQL)}")
 def _grad_lambdarank(spark, sf):
     out = objectives.gradients(events(spark, sf), "lambdarank")
     return out.select("row_id", to_places(F.col("g")).alias("g"), to_places(F.col("h")).alias("h"))
 
 
+# Events shown at eleven positions; every twelfth event has none.
+_POSITION_SQL = "CASE WHEN row_id % 12 < 11 THEN row_id % 12 END"
+
+
+def positioned(spark, sf):
+    place = F.col("row_id") % 12
+    return events(spark, sf).withColumn("position", F.when(place < 11, place))
+
+
+def position_step_sql(score: str, factor: str, rate: str, pull: str) -> str:
+    """SQL of one Newton step of the factors: (position, n, factor), unrounded."""
+    rows = (
+        f"(SELECT * REPLACE ({score} + coalesce({factor}, 0e0) AS score) FROM (SELECT *, {_POSITION_SQL} AS position FROM {_EVENTS_SQL}))"
+    )
+    return f"""(SELECT position, count(*) AS n,
+        {factor} - {rate} * (sum(g) + {pull} * count(*) * {factor}) / (sum(h) + {pull} * count(*) + 1e-3) AS factor
+        FROM {lambdarank_sql(rows)} WHERE position IS NOT NULL GROUP BY position)"""
+
+
+@query(
+    "position_bias_step",
+    f"SELECT position, {sql6('factor')} AS factor FROM {position_step_sql('score', '(position / 8e0 - 5e-1)', '25e-2', '125e-3')}",
+)
+def _position_bias_step(spark, sf):
+    """Gradients at scores raised by given factors, then one step of every factor."""
+    rows = positioned(spark, sf)
+    known = rows.where("position IS NOT NULL").select("position").distinct()
+    factors = PositionFactors(known.select("position", (F.col("position") / 8.0 - 0.5).alias("factor")))
+    moved = factors.stepped(objectives.gradients(factors.added_to(rows), "lambdarank"), 0.25, 0.125)
+    return moved.table.select("position", to_places(F.col("factor")).alias("factor"))
+
+
 @query("grad_rank_xendcg")
 def _grad_rank_xendcg(spark, sf):
     out = objectives.gradients(events(spark, sf), "rank_xendcg")

@@ -11,9 +11,10 @@ from paddock.operators import binning as B
 from paddock.operators import columns, leaves, metrics, model, sampling, scoring, sparse, training, trees
 from paddock.operators.contrib import predict_contrib, predict_sparse
 from paddock.operators.model import Leaf, Model, Node, Tree
-from paddock.operators.objectives import ObjectiveParams
+from paddock.operators.objectives import ObjectiveParams, lambdarank_gradients
+from paddock.operators.position_bias import PositionFactors
 from paddock.plans.catalog import query, sql6, table
-from paddock.plans.learning_queries import LINES_SQL, events, lines
+from paddock.plans.learning_queries import LINES_SQL, events, lines, position_step_sql, positioned
 from paddock.session import shared_folder
 from paddock.sources import tables
 from paddock.streaming import streams
@@ -849,6 +850,38 @@ def _train_lambdarank(spark, sf):
     return _nodes_of(spark, training.train(df.drop("score"), ["hour", "kind"], p))
 
 
+def _ranked_with_positions(spark, sf, rounds):
+    """Events by user at eleven positions, and a ranker trained on them."""
+    df = positioned(spark, sf).withColumn("hour", F.col("row_id") % 24).withColumn("kind", F.col("score")).drop("weight", "score")
+    p = _params(objective="lambdarank", num_iterations=rounds, objective_params=ObjectiveParams(position_bias_regularization=0.125))
+    return df, p, training.train(df, ["hour", "kind"], p)
+
+
+@query("position_bias_first_round", f"SELECT position, {sql6('factor')} AS factor FROM {position_step_sql('0e0', '0e0', '1e-1', '125e-3')}")
+def _position_bias_first_round(spark, sf):
+    """What a trained ranker says of its positions after one round, whose scores are all 0."""
+    got = _ranked_with_positions(spark, sf, 1)[2]
+    return got.position_factors.select("position", to_places(F.col("factor")).alias("factor"))
+
+
+@query(
+    "train_position_bias",
+    f"SELECT position, n AS rows, CAST(0 AS BIGINT) AS wrong FROM {position_step_sql('0e0', '0e0', '1e-1', '125e-3')}",
+)
+def _train_position_bias(spark, sf):
+    """Five rounds of 15 leaves; the factors are found again from the saved trees, walked from the raw features."""
+    df, p, got = _ranked_with_positions(spark, sf, 5)
+    again = PositionFactors.zeros(df)
+    for done in range(got.model.iterations):
+        before = model.Model([t for t in got.model.trees if t.iteration < done] or [Tree([], [Leaf()], 0, 0)], got.model.features, "lambdarank")
+        scored = again.added_to(scoring.predict_raw(df, before, "score"))
+        again = again.stepped(lambdarank_gradients(scored, p.objective_params), p.learning_rate, p.objective_params.position_bias_regularization)
+    sizes = df.where("position IS NOT NULL").groupBy("position").agg(F.count("*").alias("rows"))
+    both = sizes.join(got.position_factors, "position", "left").join(again.table.withColumnRenamed("factor", "again"), "position", "left")
+    wrong = (F.coalesce(F.abs(F.col("factor") - F.col("again")), F.lit(1.0)) > 1e-6).cast("bigint")
+    return both.select("position", "rows", wrong.alias("wrong"))
+
+
 @query("early_stopping")
 def _early_stopping(spark, sf):
     df = train_rows(spark, sf)

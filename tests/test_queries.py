@@ -13,7 +13,7 @@ from paddock.plans import all_queries
 # Minutes each: training without a twin of its rows, and the longest run. test_learning, test_parts and
 # test_sparse train with the same options on small tables.
 SLOW = {
-    "train_gbdt", "train_dart", "train_multiclass", "train_goss", "train_categorical", "train_regression_l1", "train_lambdarank", "quantised_gradients",
+    "train_gbdt", "train_dart", "train_multiclass", "train_goss", "train_categorical", "train_regression_l1", "train_lambdarank", "train_position_bias", "quantised_gradients",
     "monotone", "linear_leaves", "early_stopping", "train_or_load",
 }
 
