@@ -10,7 +10,7 @@
 Defined results: a null text, an empty text, or one without any letter is `und` with score 0;
 so is every text when there is nothing to learn from. Rows with a null id are scored, and
 neither rows with a null id nor with a null language are learned from. Repeated rows are
-scored row by row. Ties go to the language that is first by code point. Other columns are
+scored row by row, counted row by row in the document frequencies, and train once. Ties go to the language that is first by code point. Other columns are
 never read. Texts of any length are read whole, in windows.
 """
 
@@ -179,13 +179,11 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     idf = np.log((1 + total) / (1 + frequency)) + 1
 
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["__lang"], min(1.0, params.sample_per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.col("__id"), F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    # Rows are drawn by id and text, and of equal rows one is kept, so a repeated id or row takes no more than its share.
+    cell = lambda seed, parts: F.pmod(F.xxhash64("__id", "__text", F.lit(seed)), F.lit(parts))
+    drawn = known.where(cell(1, 1 << 30) / float(1 << 30) < rate[F.col("__lang")]).distinct()
     sample = stored(
-        known.where(draw < rate[F.col("__lang")]).select(
-            "__id", "__text", "__lang",
-            F.pmod(F.xxhash64(F.col("__id"), F.lit(2)), F.lit(params.shards)).alias("__shard"),
-            (F.pmod(F.xxhash64(F.col("__id"), F.lit(3)), F.lit(5)) == 0).alias("__calibrate"),
-        ),
+        drawn.select("__id", "__text", "__lang", cell(2, params.shards).alias("__shard"), (cell(3, 5) == 0).alias("__calibrate")),
         "language-sample",
     )
     index = {name: k for k, name in enumerate(languages)}

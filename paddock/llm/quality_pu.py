@@ -14,8 +14,8 @@ of both kinds, dealt to a fixed number of shards whose weights are averaged; the
 are parameters. Every whole text is scored where it lies.
 
 Defined results: null and empty texts are scored like any text, as all figures being 0. Rows
-with a null id are scored and not learned from. Repeated rows are scored row by row; of
-repeated labels of an id the largest counts. Without positives or unlabelled text every score
+with a null id are scored and not learned from. Repeated rows are scored row by row, and rows with
+the same id and text are learned from once; of repeated labels of an id the largest counts. Without positives or unlabelled text every score
 is the prior (0.5 if there are no labels). An empty table gives an empty result. Other columns
 are never read.
 """
@@ -156,15 +156,17 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, text: str = "text
     if not ones or not total:
         return None, prior
 
-    draw = lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = (
-        known.where(F.col("label") == 1).where(draw(1) < min(1.0, params.positives / ones)).select("doc_id", F.lit(True).alias("positive"))
-    )
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).where(F.col("doc_id").isNotNull())
-    # the sample of positives is bounded by its parameter, so it may be broadcast
-    positives = narrow.join(F.broadcast(chosen), "doc_id")
-    unlabelled = narrow.where(draw(2) < min(1.0, params.unlabelled / total)).withColumn("positive", F.lit(False))
-    sample = stored(positives.unionByName(unlabelled).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(params.shards))), "quality-sample")
+    draw = lambda seed, *by: F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.where(F.col("label") == 1).where(draw(1, "doc_id") < min(1.0, params.positives / ones)).select("doc_id")
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text")).where(F.col("doc_id").isNotNull())
+    # The sample of positive ids is bounded by its parameter, so it may be broadcast. An id may be on any number of
+    # rows: these are drawn again, by id and text, and of equal rows one is kept.
+    held = narrow.join(F.broadcast(chosen), "doc_id")
+    rows = held.select("doc_id").count()
+    positives = held.where(draw(4, "doc_id", "__text") < min(1.0, params.positives / max(1, rows))).withColumn("positive", F.lit(True))
+    unlabelled = narrow.where(draw(2, "doc_id", "__text") < min(1.0, params.unlabelled / total)).withColumn("positive", F.lit(False))
+    shard = F.pmod(F.xxhash64("doc_id", "__text", F.lit(3)), F.lit(params.shards))
+    sample = stored(positives.unionByName(unlabelled).distinct().withColumn("shard", shard), "quality-sample")
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, text: str = "text
     cuts = np.quantile(np.array(seen["shape"].to_pylist()), np.linspace(0, 1, params.quantiles + 2)[1:-1], axis=0).T
 
     def train(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("positive", "ascending")])
+        group = group.sort_by([("doc_id", "ascending"), ("positive", "ascending"), ("__text", "ascending")])
         positive = group["positive"].to_numpy()
         if positive.all() or not positive.any():
             return pa.table({"weights": pa.array([], pa.binary()), "bias": pa.array([], pa.float64())})

@@ -57,15 +57,21 @@ def noted(folders: list[str]) -> Iterator[None]:
         _NOTED.remove(folders)
 
 
+def filed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """`df` if it is a table read from files, else (its `columns`) written and read again: a row of the
+    result is told from all others by `_metadata.file_path` and `_metadata.row_index`."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return df
+    return stored(df if columns is None else df.select(*columns), "rows")
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """(__row, __doc): every row as one struct, with a number of its own that all reads agree on.
 
     The number comes from the row's file and its place in it, so a table read from files needs no
     copy; anything else is written first. No column of the table can clash with the two.
     """
-    spark = docs.sparkSession
-    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-    rows = docs if plain else stored(docs, "rows")
+    spark, rows = docs.sparkSession, filed(docs)
     place = rows.select(F.struct("*").alias("__doc"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
     paths = sorted(r[0] for r in place.select("__file").distinct().collect())  # a row a file
     files = spark.createDataFrame(list(enumerate(paths)), "__number long, __file string")

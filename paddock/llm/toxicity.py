@@ -17,7 +17,7 @@ kept, the surest first; that is the size of the model. Every whole text is score
 
 Defined results: null and blank texts have no features and get the severity of the thresholds
 alone. Rows with a null id are scored and not learned from. Repeated rows are scored row by
-row; of repeated labels of an id the largest counts. Without both kinds of labels every
+row, and rows with the same id, grade and features train once; of repeated labels of an id the largest counts. Without both kinds of labels every
 severity is 0. An empty table gives an empty result. Other columns are never read.
 """
 
@@ -176,18 +176,25 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], size: int, grade: np.ndarr
     return weights(np.arange(size)), np.concatenate(([theta[0]], theta[0] + np.cumsum(np.exp(theta[1:]))))
 
 
+def training_sample(graded: DataFrame, rates: dict[int, float], params: Params) -> DataFrame:
+    """(doc_id, grade, at, x, shard, key): rows drawn by id and features at the rate of their grade. Of equal
+    rows one is kept, so a repeated id or row takes no more than its share."""
+    rate = F.create_map(*[F.lit(v) for g, r in rates.items() for v in (g, r)])
+    cell = lambda seed, parts: F.pmod(F.xxhash64("doc_id", "at", "x", F.lit(seed)), F.lit(parts))
+    drawn = graded.where(cell(1, 1 << 30) / float(1 << 30) < rate[F.col("grade")]).select("doc_id", "grade", "at", "x").distinct()
+    return drawn.select("*", cell(2, params.shards).alias("shard"), F.xxhash64("at", "x").alias("key"))
+
+
 def fit(graded: DataFrame, telling: np.ndarray, params: Params = Params()) -> Model | None:
     """Learn from (doc_id, grade, at, x)."""
     sizes = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
     if len(sizes) < 2:
         return None
     rates = {g: min(1.0, params.per_grade / n) for g, n in sizes.items()}
-    rate = F.create_map(*[F.lit(v) for g, r in rates.items() for v in (g, r)])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    sample = graded.where(draw < rate[F.col("grade")]).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(params.shards)))
+    sample = training_sample(graded, rates, params)
 
     def train(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+        group = group.sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("key", "ascending")])
         grade = group["grade"].to_numpy().astype(np.int64)
         weight = np.array([1 / rates[g] for g in grade.tolist()])
         rows = [(np.array(at, dtype=np.int64), np.array(x)) for at, x in zip(group["at"].to_pylist(), group["x"].to_pylist())]

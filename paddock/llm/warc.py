@@ -3,8 +3,9 @@
 Pages are dealt to archives of about `archive_bytes`. Each archive is one task: it renders its
 records, trains a Zstandard dictionary on a bounded sample of them, writes the dictionary in a
 leading skippable frame (magic 0x184D2A5D) and then every record as a frame of its own, so
-single records can be read by offset. Files get their name only when complete, so a task that
-runs twice leaves one file. Reading goes through Spark's binary file source and parses the
+single records can be read by offset. Rows are dealt by their file and their place in it, so a task
+that runs again deals the same; files get their name only when complete, and an archive that is
+there already stays, so a task that runs twice leaves one file. Reading goes through Spark's binary file source and parses the
 records as a stream.
 
 Of pages with equal payloads of at least `least_revisit` bytes, that with the largest id is a
@@ -34,7 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm.tables import join_small, new_folder, stored
+from paddock.llm.tables import filed, join_small, new_folder, stored
+from paddock.session import names_in
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -46,6 +48,7 @@ _TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.strin
 @dataclass(frozen=True)
 class Params:
     archive_bytes: int = 16 << 20
+    record_bytes: int = 512  # what a record counts beyond its payload
     least_revisit: int = 0
     dictionary_bytes: int = 64 << 10
     sample_bytes: int = 4 << 20  # of records, for the dictionary
@@ -145,20 +148,25 @@ def read_records(content: bytes) -> Iterator[tuple]:
 
 
 def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", params: Params = Params()) -> DataFrame:
-    """Write `pages` as archives to `folder`; returns (file, records, bytes) per archive."""
+    """Write `pages` as archives to `folder`, which may hold none yet; returns (file, records, bytes) per archive."""
+    spark = pages.sparkSession
+    if any(name.endswith(".warc.zst") for name in names_in(spark, folder)):
+        raise ValueError(f"{folder} already holds archives")
+    held = filed(pages, list(dict.fromkeys([page_id, url, html])))
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload")).withColumn(
-        "digest", F.unhex(F.sha1("payload"))
-    )
+    rows = held.select(
+        F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"),
+        F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place"),
+    ).withColumn("digest", F.unhex(F.sha1("payload")))
     same = (
         rows.where(F.octet_length("payload") >= params.least_revisit).groupBy(F.col("digest").alias("of"))
         .agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1 AND largest IS NOT NULL").drop("n")
     )
-    total = pages.agg(F.sum(F.octet_length(F.col(html)))).first()[0] or 0
+    total = held.agg(F.sum(F.coalesce(F.octet_length(F.col(html)), F.lit(0)) + F.lit(params.record_bytes).cast("long"))).first()[0] or 0
     archives = max(1, -(-total // params.archive_bytes))
     dealt = join_small(rows, stored(same, "digests"), F.col("digest") == F.col("of"), "left", params.broadcast_digests).select(
         "page_id", "url", "payload", "digest", "largest",
-        F.pmod(F.xxhash64("page_id", "digest", F.monotonically_increasing_id()), F.lit(archives)).cast("int").alias("archive"),
+        F.pmod(F.xxhash64("place"), F.lit(archives)).cast("int").alias("archive"),
     )
 
     def save(group: pa.Table) -> pa.Table:
@@ -176,7 +184,12 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
             for piece in archive(records, params):
                 out.write(piece)
                 size += len(piece)
-        files.move(hidden, f"{path}/{name}")
+        made = files.get_file_info(f"{path}/{name}")
+        if made.type == pafs.FileType.NotFound:
+            files.move(hidden, f"{path}/{name}")
+        else:  # by an attempt before this one, of the same records
+            files.delete_file(hidden)
+            size = made.size
         return pa.table({"file": [name], "records": pa.array([len(records)], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
     return dealt.groupBy("archive").applyInArrow(save, "file string, records long, bytes long")
