@@ -64,6 +64,10 @@ def unpivot_payouts(paybacks: DataFrame, keep: list[str] = KEY) -> DataFrame:
 
 
 def check_expected_payouts(expected: DataFrame, payouts: DataFrame) -> DataFrame:
-    """Expected (key, bet_type, combination, amount_yen) rows that no payout matches."""
+    """Expected (key, bet_type, combination, amount_yen) rows that no payout matches.
+
+    Payouts are exploded from races, which Spark's size estimate does not see: left to itself it
+    sends all of them through the driver as a broadcast.
+    """
     on = [*KEY, "bet_type", "combination", "amount_yen"]
-    return expected.join(payouts.select(*on), on, "left_anti")
+    return expected.join(payouts.select(*on).hint("merge"), on, "left_anti")

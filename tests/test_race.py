@@ -184,3 +184,10 @@ def test_expected_payouts(spark):
     paid = spark.createDataFrame([("a", 1, 1, "WIN", [6], 350)], "track string, race_date int, race_no int, bet_type string, combination array<int>, amount_yen int")
     absent = spark.createDataFrame([("a", 1, 1, "WIN", [6], 350), ("a", 1, 1, "QUINELLA", [6, 5], 1290)], paid.schema)
     assert [r["bet_type"] for r in payouts.check_expected_payouts(absent, paid).collect()] == ["QUINELLA"]
+
+
+def test_expected_payouts_are_not_broadcast(spark):
+    """Exploded payouts are far larger than Spark's estimate of them, so none goes through the driver."""
+    paid = spark.createDataFrame([("a", 1, 1, "WIN", [6], 350)], "track string, race_date int, race_no int, bet_type string, combination array<int>, amount_yen int")
+    plan = payouts.check_expected_payouts(paid, paid.limit(1))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
