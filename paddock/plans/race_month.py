@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.operators import bundle, payouts, race
-from paddock.sources.archives import csv_table, read_archives
+from paddock.sources.archives import csv_table, dealt_pieces, piece_lines
 
 FILE = ["archive", "yyyymm", "kind"]
 
@@ -57,7 +57,12 @@ class RaceMonth:
 def from_archives(files: DataFrame) -> RaceMonth:
     """`archive_files` rows to typed tables. Write the lines to Parquet first when the
     tables are used more than once: unzipping cannot skip anything."""
-    lines = read_archives(files)
+    return from_pieces(dealt_pieces(files))
+
+
+def from_pieces(pieces: DataFrame) -> RaceMonth:
+    """`dealt_pieces` rows to typed tables."""
+    lines = piece_lines(pieces)
     return RaceMonth(*[lines.where(F.col("kind") == k) for k in ("racelist", "horselist", "payback")], FILE)
 
 

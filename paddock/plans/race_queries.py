@@ -532,14 +532,16 @@ def _stream_archives(spark, sf):
     """Half of the months arrive, the other half follows; in between the stream stops before it
     has noted its last batch as done, so that batch comes again."""
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    archives = monthly_archives(spark, sf)
     early = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
-    for arrived in (early, ~early):
-        archives.where(arrived).write.mode("append").parquet(f"{path}/inbox")
-        files = spark.readStream.schema(archives.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/inbox")
+    # The archives are made once; each half is then read from its own folder.
+    monthly_archives(spark, sf).withColumn("early", early).write.partitionBy("early").parquet(f"{path}/made")
+    archives = spark.read.schema("path string, length long, content binary, early boolean").parquet(f"{path}/made")
+    for arrived in (F.col("early"), ~F.col("early")):
+        archives.where(arrived).drop("early").write.mode("append").parquet(f"{path}/inbox")
+        files = spark.readStream.schema(archives.drop("early").schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/inbox")
         streams.store_archives(files, f"{path}/typed", f"{path}/progress").awaitTermination()
         done = sorted(int(n) for n in names_in(spark, f"{path}/progress/commits") if n.isdigit())
         discard(spark, f"{path}/progress/commits/{done[-1]}")
-    files = spark.readStream.schema(archives.schema).parquet(f"{path}/inbox")
+    files = spark.readStream.schema(archives.drop("early").schema).parquet(f"{path}/inbox")
     streams.store_archives(files, f"{path}/typed", f"{path}/progress").awaitTermination()
     return spark.read.parquet(f"{path}/typed/horses").drop("batch", "archive", "line_no")

@@ -137,15 +137,19 @@ def unzip_members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(_unzip, schema)
 
 
-def read_archives(archives: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Archives to lines: (archive, yyyymm, kind, line_no, line, header_line, header).
+def dealt_pieces(archives: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The readable text pieces of the archives, dealt out evenly before they are split, so
+    one large archive does not keep its lines on one executor."""
+    n = partitions or parallelism(archives.sparkSession)
+    return unzip_members(archives).where(F.col("error").isNull()).repartition(n)
+
+
+def piece_lines(pieces: DataFrame) -> DataFrame:
+    """Pieces to lines: (archive, yyyymm, kind, line_no, line, header_line, header).
 
-    The pieces are dealt out evenly before they are split, so one large archive does not
-    keep its lines on one executor. Every piece carries its member's header, worked out
-    once per piece, so parsing the lines needs no join with their header row.
+    Every piece carries its member's header, worked out once per piece, so parsing the lines
+    needs no join with their header row.
     """
-    n = partitions or parallelism(archives.sparkSession)
-    pieces = unzip_members(archives).where(F.col("error").isNull()).repartition(n)
     # A piece ends with its last line break, which must not open a further line.
     body = F.regexp_replace("text", r"(\r\n|\n|\r)\z", "")
     lines = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.split(body, LINE_END, -1))
@@ -156,6 +160,11 @@ def read_archives(archives: DataFrame, partitions: int | None = None) -> DataFra
     ).select(*file, (F.col("first_line") + F.col("pos")).alias("line_no"), "line", "header_line", "header")
 
 
+def read_archives(archives: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Archives to lines: (archive, yyyymm, kind, line_no, line, header_line, header)."""
+    return piece_lines(dealt_pieces(archives, partitions))
+
+
 def archive_errors(archives: DataFrame) -> DataFrame:
     """(archive, kind, error) for missing members and unreadable archives."""
     return unzip_members(archives).where(F.col("error").isNotNull()).select("archive", "kind", "error")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,8 +12,9 @@ from paddock.operators.binning import FeatureBins, bin_table
 from paddock.operators.model import Model, load_model, save_model
 from paddock.operators.scoring import predict, predict_raw
 from paddock.operators.training import TrainParams, refit
-from paddock.plans.race_month import RaceMonth, from_archives, write_typed
+from paddock.plans.race_month import RaceMonth, from_archives, from_pieces, write_typed
 from paddock.session import names_in
+from paddock.sources.archives import dealt_pieces
 from paddock.sources.tables import STORED
 
 
@@ -48,11 +50,16 @@ def store_archives(files: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     """A stream of archives (path, length, content) to typed tables by batch and month.
 
     The batch number is a partition that a batch overwrites, so one that comes again after a
-    restart takes its own place and no month is stored twice.
+    restart takes its own place and no month is stored twice. A batch is unzipped once for its three
+    tables: its text pieces are kept, on disk where memory is short, until they are written.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_typed(from_archives(batch.select("path", "length", "content")), out, batch_id)
+        pieces = dealt_pieces(batch.select("path", "length", "content")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_typed(from_pieces(pieces), out, batch_id)
+        finally:
+            pieces.unpersist()
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -124,3 +124,26 @@ def test_early_stop_of_a_forest(steps):
 def test_forest_without_bags_is_refused(steps):
     with pytest.raises(ValueError, match="forest"):
         train(steps, ["x"], TrainParams(objective="binary", boosting="rf", num_iterations=2))
+
+
+def test_a_batch_is_unzipped_once(spark, tmp_path, monkeypatch):
+    """The three tables of a batch are written from one unzipping of its archives."""
+    from paddock.sources import archives
+    from paddock.streaming import streams
+
+    seen = spark.sparkContext.accumulator(0)
+    unzip = archives._unzip
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield from unzip(iter([frame]))
+
+    monkeypatch.setattr(archives, "_unzip", counted)
+    body = zipped({"199808_racelist.csv": "a,b\n1,2\n", "199808_horselist.csv": "h\n1\n", "199808_payback.csv": "p\n2\n"})
+    schema = "path string, length long, content binary"
+    spark.createDataFrame([(f"{i}.zip", len(body), bytearray(body)) for i in range(3)], schema).write.parquet(str(tmp_path / "in"))
+    files = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    streams.store_archives(files, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert seen.value == 3
+    assert spark.read.parquet(str(tmp_path / "out/horses")).count() == 3
