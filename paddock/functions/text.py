@@ -96,8 +96,10 @@ def numeric_token(x: Column) -> Column:
         exponent_sign,
         exponent.cast("string"),
     ).try_cast("double")
+    # Most tokens are nothing but a plain number; they skip the rewriting.
     return (
-        F.when(x.isNull() | (token == "") | word.isin("na", "nan", "null"), F.lit(float("nan")))
+        F.when(x.rlike(r"^[+-]?[0-9]+(?:\.[0-9]*)?\z"), x.try_cast("double"))
+        .when(x.isNull() | (token == "") | word.isin("na", "nan", "null"), F.lit(float("nan")))
         .when(word.isin("inf", "infinity"), sign * F.lit(1e308))
         .when(is_number & ~token.rlike("[eE]"), plain)
         .when(is_number, clipped)

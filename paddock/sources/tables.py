@@ -68,12 +68,14 @@ def read_training_table(
     out_of = {label_at, *[i for i in at.values() if i is not None], *[_resolve(i, titles, label_at) for i in ignore]}
     features = [c for i, c in enumerate(columns) if i not in out_of]
     names = features if header else [f"Column_{columns.index(c)}" for c in features]
-    typed = raw.select(
+    read = F.struct(
         *[F.col(f"`{c}`").alias(f"__raw_{i}") for i, c in enumerate(columns)],
         numeric_token(F.col(f"`{columns[label_at]}`")).alias("label"),
         *[numeric_token(F.col(f"`{columns[i]}`")).alias(role) for role, i in at.items() if i is not None],
         *[numeric_token(F.col(f"`{c}`")).alias(n) for c, n in zip(features, names)],
     )
+    # A generator of one row, below which no condition is pushed: each token is read once.
+    typed = raw.select(F.inline(F.array(read)))
     wanted = ["label", *[r for r, i in at.items() if i is not None], *names]
     bad = F.lit(False)
     for c in wanted:
