@@ -33,9 +33,14 @@ HORSE_COLUMNS = {
 
 
 def raw_fields(table: DataFrame, names: dict[str, str]) -> DataFrame:
-    """Key and named fields of a `csv_table` as strings, each looked up once."""
+    """Key and named fields of a `csv_table` as strings, each looked up once.
+
+    Rows leave through a generator of one row, below which Spark pushes no condition: a condition on
+    typed columns, as a join makes one for each key, would else split the line again for itself.
+    """
     wanted = {**dict(zip(KEY, KEY_COLUMNS)), **names}
-    return named_columns(table, wanted, ["archive", "line_no"])
+    found = named_columns(table, wanted, ["archive", "line_no"])
+    return found.select(F.inline(F.array(F.struct("*"))))
 
 
 def race_key() -> list[Column]:

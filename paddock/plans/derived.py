@@ -19,14 +19,17 @@ def _with_header(data: DataFrame, orders: DataFrame, header: list[str]) -> DataF
     files = orders.select(F.col("o_orderpriority").alias("archive")).distinct()
     text = "﻿" + ",".join(header)
     lines = files.select("archive", F.posexplode(F.array(F.lit("　 "), F.lit(text))).alias("pos", "line"))
-    headed = lines.select("archive", (F.col("pos") - 2).cast("long").alias("line_no"), "line").unionByName(data)
+    # Rendered once a row: no condition on a line is pushed below a generator.
+    rendered = data.select("archive", "line_no", F.explode(F.array("line")).alias("line"))
+    headed = lines.select("archive", (F.col("pos") - 2).cast("long").alias("line_no"), "line").unionByName(rendered)
     positions = F.create_map(*[F.lit(x) for i, name in enumerate(header) for x in (name, i)])
     return headed.select("*", F.lit(-1).cast("long").alias("header_line"), positions.alias("header"))
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """The given tables come in few input splits; real text would arrive in many."""
-    return df.repartition(parallelism(df.sparkSession))
+    """Small tables come in few input splits; real text would arrive in many. Large ones are split as it is."""
+    spark = df.sparkSession
+    return df if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else df.repartition(parallelism(spark))
 
 
 def _line(*fields: Column) -> Column:

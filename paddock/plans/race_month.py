@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.operators import bundle, payouts, race
+from paddock.session import written
 from paddock.sources.archives import csv_table, dealt_pieces, piece_lines
 
 FILE = ["archive", "yyyymm", "kind"]
@@ -32,6 +33,12 @@ class RaceMonth:
     def paybacks(self) -> DataFrame:
         return payouts.map_paybacks(csv_table(self._lines[2], self._file))
 
+    def kept(self) -> RaceMonth:
+        """This month with its horses written and read again, for work that needs them more than once."""
+        month = RaceMonth(*self._lines, self._file)
+        month.horses = written(self.horses)
+        return month
+
     @property
     def entries(self) -> DataFrame:
         return race.map_entries(self.horses)

@@ -306,7 +306,7 @@ def _first_per_key(spark, sf):
         FROM h e JOIN h o ON e.track = o.track AND e.race_date = o.race_date AND e.race_no = o.race_no AND e.horse_no = o.horse_no""",
 )
 def _entries_with_outcomes(spark, sf):
-    m = derived_month(spark, sf)
+    m = derived_month(spark, sf).kept()
     return race.entries_with_outcomes(m.entries, m.outcomes)
 
 

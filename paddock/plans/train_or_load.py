@@ -34,6 +34,7 @@ def race_features(month: RaceMonth) -> tuple[DataFrame, list[str]]:
     """Labelled entries with pre-race features only: no outcome column can get in."""
     from paddock.operators.race import entries_with_outcomes, first_per_key
 
+    month = month.kept()
     labelled = entries_with_outcomes(month.entries, month.outcomes)
     race = first_per_key(month.races).select(*KEY, "distance_m", "post_time", "declared_count")
     joined = labelled.join(race, KEY)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as Parquet on shared storage, read again: work on it is done once and later reads take
+    only the columns they name. The files stay until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/written_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing will read again, on whatever file system it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
