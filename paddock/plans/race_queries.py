@@ -396,9 +396,11 @@ def _check_expected_payouts(spark, sf):
 
 
 def _zip_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row's texts as one small archive, so archive queries grow with the table."""
+    """Each row's texts as one small archive, so archive queries grow with the table. Archives are
+    handed on as soon as they reach the piece size."""
     for frame in frames:
-        blobs = []
+        paths = frame["doc_id"].astype(str)
+        start, blobs, held = 0, [], 0
         for text, lang in zip(frame["text"], frame["lang"]):
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -407,7 +409,11 @@ def _zip_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 z.writestr("199808_horselist.csv", lang + "\r\n" + text + "\n")
                 z.writestr("notes.txt", lang)
             blobs.append(out.getvalue())
-        yield pd.DataFrame({"path": frame["doc_id"].astype(str), "content": blobs})
+            held += len(blobs[-1])
+            if held >= arc.PIECE_BYTES:
+                yield pd.DataFrame({"path": paths.iloc[start : start + len(blobs)], "content": blobs})
+                start, blobs, held = start + len(blobs), [], 0
+        yield pd.DataFrame({"path": paths.iloc[start:], "content": blobs})
 
 
 def _document_archives(spark, sf):

@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -239,16 +240,22 @@ def _entry_counts(content: bytes) -> Iterator[tuple[str, int, bool, int]]:
             yield info.filename, newlines, last not in (b"", b"\n"), size
 
 
-def _count_members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+# (archive, entry, newlines, open_end, bytes) of `_count_members`.
+_COUNTED = pa.schema([("archive", pa.string()), ("entry", pa.string()), ("newlines", pa.int64()), ("open_end", pa.bool_()), ("bytes", pa.int64())])
+
+
+def _count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Archives leave their Arrow batch one at a time, so no batch is held twice."""
+    for batch in batches:
         out = []
-        for archive, content in zip(frame["path"], frame["content"]):
+        for archive, content in zip(batch.column(0), batch.column(1)):
             try:
-                found = list(_entry_counts(content))
+                found = list(_entry_counts(content.as_py()))
             except BROKEN:
                 found = []
-            out += [(archive, *counts) for counts in found or [("", 0, False, 0)]]
-        yield pd.DataFrame(out, columns=["archive", "entry", "newlines", "open_end", "bytes"])
+            out += [(archive.as_py(), *counts) for counts in found or [("", 0, False, 0)]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _COUNTED.types)], schema=_COUNTED)
 
 
 def archive_row_counts(archives: DataFrame) -> DataFrame:
@@ -258,7 +265,7 @@ def archive_row_counts(archives: DataFrame) -> DataFrame:
     at least zero; an absent or damaged member is -1, as are all of an unreadable archive.
     """
     schema = "archive string, entry string, newlines long, open_end boolean, bytes long"
-    members = archives.select("path", "content").mapInPandas(_count_members, schema)
+    members = archives.select("path", "content").mapInArrow(_count_members, schema)
     kind = F.regexp_extract(base_name(F.col("entry")), MEMBER_NAME, 2)
     rows = F.greatest(F.col("newlines") + F.col("open_end").cast("long") - 1, F.lit(0))
     return (
