@@ -44,11 +44,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from paddock.llm.components import components
 from paddock.llm.hashing import distinct, mix64, set_hashes, shingle_hashes, stream, word_hashes
-from paddock.llm.tables import identified, join_small, stored, text_bytes, times_of_rows
+from paddock.llm.tables import discard, identified, join_small, noted, stored, text_bytes, times_of_rows
 from paddock.operators.prefix import first_rows
 from paddock.session import parallelism
 
@@ -196,23 +197,24 @@ def _boundary(nodes: DataFrame, lists: DataFrame, params: Params) -> int:
     return min(sizes, key=lambda x: sum(subsets.get(n, 0) for n in sizes if n <= x) + sum(scans.get(n, 0) for n in sizes if n > x))
 
 
+def shared(entries: DataFrame) -> DataFrame:
+    """The entries whose key another entry has, with the number of its `members`: entries travel once."""
+    return entries.withColumn("members", F.count("*").over(W.partitionBy("key"))).where("members > 1")
+
+
 def candidate_lists(nodes: DataFrame, params: Params) -> DataFrame:
     """(key, node, n, p, members): nodes that share a listed shingle or an enumerated subset.
 
     `p` is the number of shingles that a heavy entry's node lists, 0 for a subset's entry.
     """
-
-    def shared(entries: DataFrame) -> DataFrame:
-        lengths = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        return entries.join(lengths, "key")
-
-    listed = nodes.select("node", "n", F.size("listed").alias("p"), F.explode("listed").alias("key"))
-    heavy = stored(shared(listed), "lists")
+    # Most shingles are listed once, so entries carry no more than they need until those are gone.
+    heavy = stored(shared(nodes.select("node", "n", F.explode("listed").alias("key"))), "lists")
     limit = _boundary(nodes, heavy, params)
     reach = _least_kept(limit + 1, params.percent)  # smaller sets cannot link with a heavy one
-    light = nodes.where(F.col("n") <= limit).select("node", "n", F.lit(0).alias("p"), F.explode("subsets").alias("key"))
-    both = heavy.where((F.col("n") > limit) | (F.col("n") >= reach)).select("key", "node", "n", "p", "members")
-    return both.unionAll(shared(light).select("key", "node", "n", "p", "members"))
+    light = shared(nodes.where(F.col("n") <= limit).select("node", "n", F.explode("subsets").alias("key")))
+    listed = F.expr(f"n - (n * {params.percent} + 99) div 100 + 1")
+    both = heavy.where((F.col("n") > limit) | (F.col("n") >= reach))
+    return both.select("key", "node", "n", listed.alias("p"), "members").unionAll(light.select("key", "node", "n", F.lit(0).alias("p"), "members"))
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame:
@@ -232,38 +234,61 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _pairs(lists: DataFrame, pivots: DataFrame, params: Params) -> DataFrame:
-    """Pairs (a, b) of a pivot and another member that sizes, sketches and common lists allow.
+def _allowed(n: str, n_b: str, sketch: str, sketch_b: str, percent: int) -> Column:
+    """Whether sizes and sketches (column names with a place for `k0` to `k3`) allow a link."""
+    n, n_b = F.col(n), F.col(n_b)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(sketch.format(k)).bitwiseXOR(F.col(sketch_b.format(k)))) for k in _SKETCH])
+    return (100 * F.least(n, n_b) >= percent * F.greatest(n, n_b)) & (differ <= n + n_b - 2 * _overlap(n, n_b, percent))
 
-    `unseen` is the number of long lists of a node, in which a common place may go unseen.
-    """
-    percent = params.percent
+
+def _met_in_short(lists: DataFrame, params: Params) -> DataFrame:
+    """Sides of all allowed pairs in short lists. Both sides are one shuffle of the lists."""
+    allowed = _allowed("x.n", "y.n", "x.{}", "y.{}", params.percent)
+    met = lists.alias("x").join(lists.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & allowed)
+    return met.select(*[F.col(f"{t}.{c}").alias(f"{c}_{e}") for t, e in (("x", "a"), ("y", "b")) for c in _SIDE])
+
+
+def _met_with_pivots(lists: DataFrame, pivots: DataFrame, params: Params) -> DataFrame:
+    """Sides of the allowed pairs of a pivot and another member, of other components."""
     carried = ["node", "n", "p", "comp", "unseen", *_SKETCH]
     chosen = pivots.select("key", *[F.col(c).alias(f"{c}_b") for c in carried])
     marks = pivots.select("key", "node", F.lit(True).alias("pivot"))
-    needed = _overlap(F.col("n"), F.col("n_b"), percent)
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(k).bitwiseXOR(F.col(f"{k}_b"))) for k in _SKETCH])
     met = (
         lists.join(marks, ["key", "node"], "left").join(chosen, "key")
         .where(
             (F.col("comp") != F.col("comp_b")) & (F.col("pivot").isNull() | (F.col("node") < F.col("node_b")))
-            & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
-            & (differ <= F.col("n") + F.col("n_b") - 2 * needed)
+            & _allowed("n", "n_b", "{}", "{}_b", params.percent)
         )
     )
     first = F.col("node") < F.col("node_b")
     side = lambda c, a: (F.when(first, F.col(c)).otherwise(F.col(f"{c}_b")) if a else F.when(first, F.col(f"{c}_b")).otherwise(F.col(c)))
-    sides = met.select(*[side(c, True).alias(f"{c}_a") for c in _SIDE], *[side(c, False).alias(f"{c}_b") for c in _SIDE])
+    return met.select(*[side(c, True).alias(f"{c}_a") for c in _SIDE], *[side(c, False).alias(f"{c}_b") for c in _SIDE])
+
+
+def _pairs(sides: DataFrame, params: Params) -> DataFrame:
+    """Pairs (a, b) that also the number of common lists allows.
+
+    `unseen` is the number of long lists of a node, in which a common place may go unseen.
+    """
     common = sides.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
         *[F.max(c).alias(c) for c in ("n_a", "n_b", "p_a", "p_b", "unseen_a", "unseen_b", "comp_a", "comp_b")],
         F.sum((F.col("p_a") > 0).cast("long")).alias("seen"), F.max((F.col("p_a") == 0) | (F.col("p_b") == 0)).alias("subset"),
     )
     at_most = F.col("seen") + F.least("unseen_a", "unseen_b")
-    needed = _overlap(F.col("n_a"), F.col("n_b"), percent)
+    needed = _overlap(F.col("n_a"), F.col("n_b"), params.percent)
     enough = at_most >= F.least(F.col("p_a") - F.col("n_a") + needed, F.col("p_b") - F.col("n_b") + needed)
     return common.where(F.col("subset") | enough).select("a", "b", "n_a", "n_b", "comp_a", "comp_b")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, params: Params) -> DataFrame:
+    """(comp_a, comp_b) of the pairs that link. `sets` comes dealt by node, once for both sides."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
+    )
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.where(100 * common >= params.percent * (F.col("n_a") + F.col("n_b") - common)).select("comp_a", "comp_b")
+
+
 def _merged(roots: DataFrame | None, linked: DataFrame) -> DataFrame:
     """(node, root) after new links, of which only those between different roots count."""
     joined = components(linked.select("comp_a", "comp_b"), "comp_a", "comp_b")
@@ -276,37 +301,32 @@ def _merged(roots: DataFrame | None, linked: DataFrame) -> DataFrame:
 
 def class_roots(docs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame | None:
     """(node, root) of the nodes that link with another; None if no two share a list."""
-    lists = candidate_lists(nodes, params)
     long = F.col("members") > params.short_list
-    known = stored(lists, "lists")
-    unseen = known.groupBy("node").agg(F.sum(long.cast("long")).alias("unseen"))
-    sketched = known.join(nodes.select("node", *_SKETCH).join(unseen, "node"), "node")
-    now = stored(sketched.withColumn("comp", F.col("node")), "open-lists")
+    unseen = F.sum(long.cast("long")).over(W.partitionBy("node"))
+    known = candidate_lists(nodes, params).withColumn("unseen", unseen).join(nodes.select("node", *_SKETCH), "node")
+    lists = stored(known.withColumn("comp", F.col("node")), "open-lists")
+    if lists.isEmpty():
+        return None
+    now = lists.where(long)
     tested = roots = None
     count = params.pivots
-    while not now.isEmpty():
+    while roots is None or not now.isEmpty():
         order = [F.xxhash64("node"), F.col("node")]
         if roots is None:
-            pivots = first_rows(now.where(~long), ["key"], order, params.short_list).unionByName(first_rows(now.where(long), ["key"], order, count))
+            pivots = stored(first_rows(now, ["key"], order, count), "pivots")
+            met = _met_in_short(lists.where(~long), params).unionByName(_met_with_pivots(now, pivots, params))
         else:
             sizes = now.groupBy("key", "comp").agg(F.count("*").alias("in_list"))
             main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("in_list", "comp")).alias("main"))
-            pivots = first_rows(now.join(main, "key").where("comp != main").drop("main"), ["key"], order, count)
-        pivots = stored(pivots, "pivots")
-        pairs = _pairs(now, pivots, params)
+            pivots = stored(first_rows(now.join(main, "key").where("comp != main").drop("main"), ["key"], order, count), "pivots")
+            met = _met_with_pivots(now, pivots, params)
+        pairs = _pairs(met, params)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = stored(nodes.select("node", "rep").join(ends, "node"), "candidates")
-        sets = stored(_whole_sets(docs, wanted, params), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
-        )
-        shared = F.size(F.array_intersect("s_a", "s_b"))
-        linked = stored(
-            both.where(100 * shared >= params.percent * (F.col("n_a") + F.col("n_b") - shared)).select("comp_a", "comp_b"), "links"
-        )
+        linked = stored(_linked(pairs, _whole_sets(docs, wanted, params), params), "links")
         tested = pairs.select("a", "b") if tested is None else tested.unionAll(pairs.select("a", "b"))
         roots = stored(_merged(roots, linked), "roots")
         count *= params.pivot_growth
@@ -320,13 +340,19 @@ def class_roots(docs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", params: Params = Params()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs`."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    signed = stored(signatures(narrow, frequent_shingles(narrow, params), params), "signatures")
+    folders: list[str] = []
+    with noted(folders):
+        signed = stored(signatures(narrow, frequent_shingles(narrow, params), params), "signatures")
     nodes = stored(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node", "check").agg(
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(k).alias(k) for k in _SKETCH], F.first("listed").alias("listed"), F.first("subsets").alias("subsets")
         ),
         "nodes",
     )
+    # From here on one row of each set carries its shingles; the rows need only say which set is theirs.
+    signed = stored(signed.select("doc_id", "n_shingles", "node", "check"), "rows")
+    for folder in folders:
+        discard(docs.sparkSession, folder)
     roots = class_roots(narrow, nodes, params)
     named = nodes.select("node", "check", "rep")
     if roots is not None:

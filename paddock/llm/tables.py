@@ -54,7 +54,7 @@ def noted(folders: list[str]) -> Iterator[None]:
     try:
         yield
     finally:
-        _NOTED.remove(folders)
+        _NOTED[:] = [f for f in _NOTED if f is not folders]  # an equal list may be another's
 
 
 def filed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

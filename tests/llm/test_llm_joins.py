@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ from llm_cases import documents, messy_rows, rows_of, tokens
 
 from paddock.llm import decontamination, hashing, ngram_join
 from paddock.llm.components import components
+from paddock.llm.tables import noted
 
 
 def shingle_sets(rows, width):
@@ -75,6 +77,37 @@ def test_join_empty_and_first_of_each(spark):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_entries_travel_once(spark):
+    """Entries of lists are dealt by key in one shuffle, whatever their number; single ones go."""
+    rows = [(n, n % 7, k) for n in range(50) for k in {n % 5, 100 + n}]
+    entries = spark.createDataFrame(rows, "node long, n long, key long")
+    got = ngram_join.shared(entries)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.select("node", "n", "key", "members").collect())) == sorted((n, m, k, 10) for n, m, k in rows if k < 100)
+
+
+def test_sets_travel_once_and_signatures_go(spark):
+    """Whole sets are read and dealt once for both sides of the pairs and not written; rows with
+    all their shingles are deleted once each set has one."""
+    rows = messy_rows(spark)
+    folders = []
+    with noted(folders):
+        got = rows_of(ngram_join.join(documents(spark, rows)))
+    assert got == brute_components(rows, 4, 85)
+    assert len([f for f in folders if "/nodes-" in f]) == 1 and not [f for f in folders if "/sets-" in f]
+    assert [os.path.exists(f.removeprefix("file:")) for f in folders if "/signatures-" in f] == [False]
+    columns = ", ".join(f"{c} long" for c in ("a", "b", "n_a", "n_b", "comp_a", "comp_b"))
+    pairs = spark.createDataFrame([(1, 2, 4, 4, 1, 2), (1, 3, 4, 4, 1, 3), (2, 3, 4, 4, 2, 3)], columns)
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4]), (3, [1, 2, 3, 9])], "node long, shingles array<long>").dropDuplicates(["node"])
+    for broadcast in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            linked = ngram_join._linked(pairs, sets, ngram_join.Params())
+            assert [tuple(r) for r in linked.collect()] == [(1, 2)]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_subsets_and_sketches():
     draw = np.random.default_rng(2)
     universe = hashing.stream(7, 40)
