@@ -234,30 +234,24 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, params: Params) -> DataFrame
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _allowed(n: str, n_b: str, sketch: str, sketch_b: str, percent: int) -> Column:
-    """Whether sizes and sketches (column names with a place for `k0` to `k3`) allow a link."""
-    n, n_b = F.col(n), F.col(n_b)
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(sketch.format(k)).bitwiseXOR(F.col(sketch_b.format(k)))) for k in _SKETCH])
-    return (100 * F.least(n, n_b) >= percent * F.greatest(n, n_b)) & (differ <= n + n_b - 2 * _overlap(n, n_b, percent))
-
-
-def _met_in_short(lists: DataFrame, params: Params) -> DataFrame:
-    """Sides of all allowed pairs in short lists. Both sides are one shuffle of the lists."""
-    allowed = _allowed("x.n", "y.n", "x.{}", "y.{}", params.percent)
-    met = lists.alias("x").join(lists.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & allowed)
-    return met.select(*[F.col(f"{t}.{c}").alias(f"{c}_{e}") for t, e in (("x", "a"), ("y", "b")) for c in _SIDE])
-
-
-def _met_with_pivots(lists: DataFrame, pivots: DataFrame, params: Params) -> DataFrame:
-    """Sides of the allowed pairs of a pivot and another member, of other components."""
-    carried = ["node", "n", "p", "comp", "unseen", *_SKETCH]
-    chosen = pivots.select("key", *[F.col(c).alias(f"{c}_b") for c in carried])
+def _met(lists: DataFrame, pivots: DataFrame, short: DataFrame | None, params: Params) -> DataFrame:
+    """Sides of the pairs of a pivot and another member that sizes and sketches allow, of other
+    components. In `short` lists every member is a pivot, so none is marked or picked."""
+    percent = params.percent
     marks = pivots.select("key", "node", F.lit(True).alias("pivot"))
+    members = lists.join(marks, ["key", "node"], "left")
+    if short is not None:
+        members = short.withColumn("pivot", F.lit(True)).unionByName(members)
+        pivots = short.unionByName(pivots)
+    chosen = pivots.select("key", *[F.col(c).alias(f"{c}_b") for c in [*_SIDE, *_SKETCH]])
+    needed = _overlap(F.col("n"), F.col("n_b"), percent)
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(k).bitwiseXOR(F.col(f"{k}_b"))) for k in _SKETCH])
     met = (
-        lists.join(marks, ["key", "node"], "left").join(chosen, "key")
+        members.join(chosen, "key")
         .where(
             (F.col("comp") != F.col("comp_b")) & (F.col("pivot").isNull() | (F.col("node") < F.col("node_b")))
-            & _allowed("n", "n_b", "{}", "{}_b", params.percent)
+            & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b"))
+            & (differ <= F.col("n") + F.col("n_b") - 2 * needed)
         )
     )
     first = F.col("node") < F.col("node_b")
@@ -313,14 +307,13 @@ def class_roots(docs: DataFrame, nodes: DataFrame, params: Params) -> DataFrame
     while roots is None or not now.isEmpty():
         order = [F.xxhash64("node"), F.col("node")]
         if roots is None:
-            pivots = stored(first_rows(now, ["key"], order, count), "pivots")
-            met = _met_in_short(lists.where(~long), params).unionByName(_met_with_pivots(now, pivots, params))
+            pivots = first_rows(now, ["key"], order, count)
         else:
             sizes = now.groupBy("key", "comp").agg(F.count("*").alias("in_list"))
             main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("in_list", "comp")).alias("main"))
-            pivots = stored(first_rows(now.join(main, "key").where("comp != main").drop("main"), ["key"], order, count), "pivots")
-            met = _met_with_pivots(now, pivots, params)
-        pairs = _pairs(met, params)
+            pivots = first_rows(now.join(main, "key").where("comp != main").drop("main"), ["key"], order, count)
+        pivots = stored(pivots, "pivots")
+        pairs = _pairs(_met(now, pivots, lists.where(~long) if roots is None else None, params), params)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
