@@ -38,6 +38,12 @@ def csv_value(fields: Column, header: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(fields, position + 1), F.lit(""))
 
 
+def csv_values(fields: Column, header: Column, names: list[str]) -> Column:
+    """`csv_value` of several columns, as one array."""
+    positions = F.array(*[F.try_element_at(header, F.lit(name)) for name in names])
+    return F.transform(positions, lambda at: F.coalesce(F.try_element_at(fields, at + 1), F.lit("")))
+
+
 def header_positions(fields: Column) -> Column:
     """Column name to zero-based position; a repeated name keeps its last position."""
     names = F.transform(fields, lambda x: F.regexp_replace(x, "^﻿", ""))

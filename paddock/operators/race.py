@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paddock.functions.csv import csv_values
 from paddock.functions.text import digits_int, loose_double, text_or_null
 from paddock.operators.joins import HOT_ROWS, skewed_join
 from paddock.operators.prefix import first_rows
-from paddock.sources.archives import named_columns
 
 KEY = ["track", "race_date", "race_no"]
 
@@ -36,11 +36,12 @@ def raw_fields(table: DataFrame, names: dict[str, str]) -> DataFrame:
     """Key and named fields of a `csv_table` as strings, each looked up once.
 
     Rows leave through a generator of one row, below which Spark pushes no condition: a condition on
-    typed columns, as a join makes one for each key, would else split the line again for itself.
+    typed columns, as a join makes one for each key, would else split the line again for itself. The
+    fields leave as one array: a lookup for each in one piece of generated code is more than the JVM compiles.
     """
     wanted = {**dict(zip(KEY, KEY_COLUMNS)), **names}
-    found = named_columns(table, wanted, ["archive", "line_no"])
-    return found.select(F.inline(F.array(F.struct("*"))))
+    found = table.select("archive", "line_no", F.explode(F.array(csv_values(F.col("fields"), F.col("header"), list(wanted.values())))).alias("found"))
+    return found.select("archive", "line_no", *[F.get("found", F.lit(i)).alias(out) for i, out in enumerate(wanted)])
 
 
 def race_key() -> list[Column]:

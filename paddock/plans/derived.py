@@ -12,6 +12,14 @@ from paddock.plans.race_month import RaceMonth
 from paddock.session import parallelism
 
 
+# Header of each kind of file.
+HEADERS = {
+    "racelist": [*KEY_COLUMNS, *RACE_COLUMNS.values()],
+    "horselist": [*KEY_COLUMNS, *HORSE_COLUMNS.values()],
+    "payback": [*KEY_COLUMNS, *[name for _, amount, numbers in BETS for name in (amount, *numbers)]],
+}
+
+
 def _with_header(data: DataFrame, orders: DataFrame, header: list[str]) -> DataFrame:
     """Lines of a rendered file as `read_archives` gives them: a blank line and a header
     line come first, and every line carries its file's header. The files are the orders'
@@ -56,7 +64,7 @@ def race_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     data = o.select(F.col("o_orderpriority").alias("archive"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
-    return _with_header(data, table(spark, sf_dir, "orders"), [*KEY_COLUMNS, *RACE_COLUMNS.values()])
+    return _with_header(data, table(spark, sf_dir, "orders"), HEADERS["racelist"])
 
 
 def horse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +91,7 @@ def horse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("line_no"),
         line.alias("line"),
     )
-    return _with_header(data, o, [*KEY_COLUMNS, *HORSE_COLUMNS.values()])
+    return _with_header(data, o, HEADERS["horselist"])
 
 
 def bet_amount(slot: int) -> Column:
@@ -96,16 +104,15 @@ def bet_number(slot: int, j: int) -> Column:
 
 def payback_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _spread(table(spark, sf_dir, "orders"))
-    names, values = [], []
-    for slot, (_, amount, numbers) in enumerate(BETS, start=1):
-        names += [amount, *numbers]
+    values = []
+    for slot, (_, _, numbers) in enumerate(BETS, start=1):
         values.append(F.concat(bet_amount(slot).cast("string"), F.lit("円")))
         for j in range(1, len(numbers) + 1):
             n = bet_number(slot, j)
             values.append(F.when(n == 0, F.lit("")).otherwise(n.cast("string")))
     line = _line(F.col("o_orderstatus"), _day("o_orderdate"), F.col("o_orderkey"), *values)
     data = o.select(F.col("o_orderpriority").alias("archive"), F.col("o_orderkey").alias("line_no"), line.alias("line"))
-    return _with_header(data, table(spark, sf_dir, "orders"), [*KEY_COLUMNS, *names])
+    return _with_header(data, table(spark, sf_dir, "orders"), HEADERS["payback"])
 
 
 def derived_month(spark: SparkSession, sf_dir: str) -> RaceMonth:

@@ -8,6 +8,8 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from paddock.functions.csv import csv_fields, csv_value
@@ -15,7 +17,7 @@ from paddock.functions.text import digits_int, digits_int_strict, loose_double,
 from paddock.operators import bundle, payouts, race
 from paddock.operators.prefix import first_rows
 from paddock.plans.catalog import query, table
-from paddock.plans.derived import derived_month, horse_csv, payback_csv, race_csv
+from paddock.plans.derived import HEADERS, derived_month, horse_csv, payback_csv, race_csv
 from paddock.session import discard, names_in, shared_folder
 from paddock.sources import archives as arc
 from paddock.streaming import streams
@@ -506,14 +508,16 @@ def _entry_rejects(spark, sf):
 # --- archives as a stream ---
 
 
-def _monthly_zip(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+def _monthly_zip(key: tuple, lines: pa.Table) -> pa.Table:
     """One month's lines as an archive of three members, a header line first."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for kind, lines in frame.sort_values(["kind", "line_no"]).groupby("kind"):
-            z.writestr(f"{key[0]}/{key[0]}_{kind}.csv", "\n".join([lines["title"].iloc[0], *lines["line"]]))
+        for kind in sorted(pc.unique(lines["kind"]).to_pylist()):
+            mine = lines.filter(pc.equal(lines["kind"], kind))
+            mine = mine.take(pc.sort_indices(mine, [("line_no", "ascending")]))
+            z.writestr(f"{key[0]}/{key[0]}_{kind}.csv", "\n".join([",".join(HEADERS[kind]), *mine["line"].to_pylist()]))
     body = out.getvalue()
-    return pd.DataFrame({"path": [f"{key[0]}_race.zip"], "length": [len(body)], "content": [body]})
+    return pa.table({"path": [f"{key[0]}_race.zip"], "length": [len(body)], "content": pa.array([body], pa.binary())})
 
 
 def monthly_archives(spark, sf):
@@ -521,12 +525,10 @@ def monthly_archives(spark, sf):
     parts = []
     for kind, lines in (("racelist", race_csv(spark, sf)), ("horselist", horse_csv(spark, sf)), ("payback", payback_csv(spark, sf))):
         day = F.regexp_extract("line", r"(\d{4})/(\d{2})/\d{2}", 0)
-        order = F.array_sort(F.map_entries("header"), lambda a, b: a["value"] - b["value"])
-        title = F.array_join(F.transform(order, lambda e: e["key"]), ",")
-        data = lines.where("line_no >= 0").select(F.replace(F.substring(day, 1, 7), F.lit("/"), F.lit("")).alias("month"), F.lit(kind).alias("kind"), "line_no", "line", title.alias("title"))
+        data = lines.where("line_no >= 0").select(F.replace(F.substring(day, 1, 7), F.lit("/"), F.lit("")).alias("month"), F.lit(kind).alias("kind"), "line_no", "line")
         parts.append(data)
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return whole.groupBy("month").applyInPandas(_monthly_zip, "path string, length long, content binary")
+    return whole.groupBy("month").applyInArrow(_monthly_zip, "path string, length long, content binary")
 
 
 @query(

@@ -74,6 +74,11 @@ def _text_pieces(stream: io.BufferedIOBase) -> Iterator[str]:
     yield rest.decode("utf-8", errors="replace")
 
 
+def _line_ends(text: str) -> int:
+    """How often LINE_END is found."""
+    return text.count("\n") + text.count("\r") - text.count("\r\n")
+
+
 def _first_filled(text: str, first_line: int) -> tuple[int | None, str | None]:
     """Line number and text of the first non-blank line, the header of a member."""
     for i, line in enumerate(re.split(LINE_END, text)):
@@ -116,7 +121,7 @@ def _member_rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                             if header[1] is None:
                                 header = _first_filled(text, first_line)
                             yield (archive, month, kind, first_line, text, *header, None)
-                            first_line += len(re.findall(LINE_END, text))
+                            first_line += _line_ends(text)
             except BROKEN as problem:
                 yield (archive, None, None, 0, None, None, None, str(problem))
                 continue
@@ -156,8 +161,10 @@ def piece_lines(pieces: DataFrame) -> DataFrame:
     lines = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(F.split(body, LINE_END, -1))
     file = ["archive", "yyyymm", "kind"]
     header = header_positions(csv_fields(F.col("header_text"))).alias("header")
-    return pieces.select(
-        *file, "first_line", "header_line", header, F.posexplode(lines).alias("pos", "line")
+    # Beside the generator the header would be worked out anew for every line.
+    headed = pieces.select(*file, "first_line", "header_line", "text", header)
+    return headed.select(
+        *file, "first_line", "header_line", "header", F.posexplode(lines).alias("pos", "line")
     ).select(*file, (F.col("first_line") + F.col("pos")).alias("line_no"), "line", "header_line", "header")
 
 

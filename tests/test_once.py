@@ -110,3 +110,57 @@ def test_archives_are_handed_on_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", None]), pa.array([out.getvalue(), b"no zip", None])], ["path", "content"])
     counted = [tuple(r.values()) for b in arc._count_members(iter([batch])) for r in b.to_pylist()]
     assert counted == [("a", "199808_payback.csv", 2, True, 5), ("b", "", 0, False, 0), (None, "", 0, False, 0)]
+
+
+def test_headers_are_read_once_a_piece(spark):
+    """The header is worked out below the generator that makes a piece's lines, and every line still carries it."""
+    from paddock.sources.archives import piece_lines
+
+    piece = ("a.zip", "199808", "racelist", 5, "x,y\r\n1,2\r3,4\n", 0, 'n,"m,1",n')
+    pieces = spark.createDataFrame([piece], "archive string, yyyymm string, kind string, first_line long, text string, header_line long, header_text string")
+    lines = piece_lines(pieces)
+    plan = [line for line in _plan(lines).splitlines() if "map_from_entries" in line or "Generate posexplode" in line]
+    assert len(plan) == 2 and "Generate posexplode" in plan[0], plan
+    got = [(r["line_no"], r["line"], r["header_line"], r["header"]) for r in lines.orderBy("line_no").collect()]
+    header = {"m,1": 1, "n": 2}
+    assert got == [(5, "x,y", 0, header), (6, "1,2", 0, header), (7, "3,4", 0, header)]
+
+
+def test_fields_of_a_row_are_looked_up_by_one_expression(spark):
+    from paddock.operators.race import KEY_COLUMNS, raw_fields
+
+    names = [*KEY_COLUMNS, "a", "b"]
+    positions = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    given = spark.createDataFrame([("f", 1, ["X", "d", "1", "p", "q"]), ("f", 2, ["Y", "d"]), ("f", 3, ["Z", "d", "2", None, "r", "more"])], "archive string, line_no long, fields array<string>")
+    rows = raw_fields(given.withColumn("header", positions), {"b": "b", "a": "a", "none": "unknown"})
+    assert rows.columns == ["archive", "line_no", "track", "race_date", "race_no", "b", "a", "none"]
+    got = [tuple(r)[2:] for r in rows.orderBy("line_no").collect()]
+    assert got == [("X", "d", "1", "q", "p", ""), ("Y", "d", "", "", "", ""), ("Z", "d", "2", "r", "", "")]
+    assert _plan(rows).count("element_at(fields") == 1
+
+
+def test_line_ends_are_counted_as_they_are_split():
+    import re
+
+    from paddock.sources.archives import LINE_END, _line_ends
+
+    for text in ("", "a", "a\n", "\r\n\r\n", "a\rb\nc\r\nd\n\r", "\r\r\n\n"):
+        assert _line_ends(text) == len(re.findall(LINE_END, text))
+
+
+def test_monthly_archives_hold_their_lines_in_order():
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    from paddock.plans.derived import HEADERS
+    from paddock.plans.race_queries import _monthly_zip
+
+    lines = pa.table({"month": ["199808"] * 4, "kind": ["racelist", "horselist", "racelist", "horselist"], "line_no": [7, 3, 2, 3], "line": ["b", "d", "a", "e"]})
+    made = _monthly_zip(("199808",), lines).to_pylist()[0]
+    assert made["path"] == "199808_race.zip" and made["length"] == len(made["content"])
+    with zipfile.ZipFile(io.BytesIO(made["content"])) as z:
+        assert z.namelist() == ["199808/199808_horselist.csv", "199808/199808_racelist.csv"]
+        assert [z.read(n).decode().split("\n")[1:] for n in z.namelist()] == [["d", "e"], ["a", "b"]]
+        assert z.read("199808/199808_racelist.csv").decode().split("\n")[0] == ",".join(HEADERS["racelist"])
