@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,6 +121,36 @@ def class_gradients(
     return (g, h) if weight is None else (g * weight, h * weight)
 
 
+# Objectives whose gradients `array_gradients` gives too.
+IN_ARRAYS = ("regression", "binary", "cross_entropy", "multiclass", "multiclassova")
+
+
+def array_gradients(objective: str, y: np.ndarray, scores: np.ndarray, p: ObjectiveParams, weight: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(g, h) of each class by the formulas of `row_gradients` and `class_gradients`; scores are rows by classes."""
+
+    def binary(y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        q = 1.0 / (1.0 + np.exp(-p.sigmoid * s))
+        w = np.where(y > 0, p.scale_pos_weight, 1.0)
+        return w * p.sigmoid * (q - (y > 0)), w * p.sigmoid * p.sigmoid * q * (1.0 - q)
+
+    s = scores[:, 0]
+    if objective == "regression":
+        fitted = np.sign(y) * np.sqrt(np.abs(y)) if p.reg_sqrt else y
+        got = [(s - fitted, np.ones(len(y)))]
+    elif objective == "binary":
+        got = [binary(y, s)]
+    elif objective == "cross_entropy":
+        q = 1.0 / (1.0 + np.exp(-s))
+        got = [(q - y, q * (1.0 - q))]
+    elif objective == "multiclass":
+        grown = np.exp(scores - scores.max(axis=1, keepdims=True))
+        q = grown / grown.sum(axis=1, keepdims=True)
+        got = [(q[:, k] - (np.trunc(y) == k), 2.0 * q[:, k] * (1.0 - q[:, k])) for k in range(p.num_class)]
+    else:
+        got = [binary((np.trunc(y) == k).astype(float), scores[:, k]) for k in range(p.num_class)]
+    return got if weight is None else [(g * weight, h * weight) for g, h in got]
+
+
 def gradients(
     df: DataFrame, objective: str, p: ObjectiveParams = ObjectiveParams(), label: str = "label", score: str = "score",
     weight: str | None = None,

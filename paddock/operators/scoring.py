@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +123,7 @@ class _Walker:
                     missing=np.array([{"none": 0, "zero": 1, "nan": 2}[n.missing_type] for n in t.nodes], int),
                     default=np.array([n.default_left for n in t.nodes], bool),
                     cats=[np.array(n.cats, float) if n.kind == "categorical" else None for n in t.nodes],
-                    values=np.array([x.value for x in t.leaves]),
+                    sets=[i for i, n in enumerate(t.nodes) if n.kind == "categorical"], values=np.array([x.value for x in t.leaves]),
                 )
             )
 
@@ -137,11 +137,10 @@ class _Walker:
             v = np.where(np.isnan(v) & (kind != 2), 0.0, v)
             lost = ((kind == 1) & (np.abs(v) <= ZERO_LIMIT)) | ((kind == 2) & np.isnan(v))
             left = np.where(lost, p["default"][node], v <= p["threshold"][node])
-            for i in np.unique(node):
-                if p["cats"][i] is not None:
-                    mine = node == i
-                    raw = x[open_rows[mine], p["feature"][i]]
-                    left[mine] = np.isin(np.trunc(raw), p["cats"][i]) & (raw > -1)
+            for i in p["sets"]:
+                mine = node == i
+                raw = x[open_rows[mine], p["feature"][i]]
+                left[mine] = np.isin(np.trunc(raw), p["cats"][i]) & (raw > -1)
             place[open_rows] = np.where(left, p["left"][node], p["right"][node])
         return -1 - place
 
@@ -188,11 +187,15 @@ def _walked(df: DataFrame, model: Model, kind: str, walk: Callable[[_Walker, np.
     """An array column of what `walk` gives for the features of each row, in Arrow batches."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by trees x leaves
 
-    @F.pandas_udf(f"array<{kind}>")
-    def batch_by_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    item = {"int": pa.int32(), "double": pa.float64()}[kind]
+
+    @F.arrow_udf(f"array<{kind}>")
+    def batch_by_batch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         walker = _Walker(shared.value)
         for features in batches:
-            yield pd.Series(list(walk(walker, features.to_numpy(dtype=float, na_value=np.nan))))
+            got = walk(walker, np.column_stack([f.to_numpy(zero_copy_only=False).astype(float) for f in features.flatten()]))
+            ends = np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(got.reshape(-1), item))
 
     return batch_by_batch(F.struct(*[F.col(f).cast("double").alias(f) for f in model.features]))
 

@@ -460,10 +460,14 @@ class _Growing:
 
         return self._descend(column, at)
 
-    def asked(self, wanted: set[int]) -> Asked:
-        """The way from the root to the wanted nodes, as numpy walks it."""
+    def asked(self, wanted: set[int], held: set[int] | None = None) -> Asked:
+        """The ways to the wanted nodes from those that rows in blocks are kept at, as numpy walks them."""
         nodes = tuple(sorted(wanted))
-        place = {n: i for i, n in enumerate(nodes)}
+        ways = self.ways({n: i for i, n in enumerate(nodes)}, held)
+        return Asked(self.slot, ways.get(self.root.id), nodes, ways)
+
+    def ways(self, place: dict[int, int], held: set[int] | None = None) -> dict[int, Step | int]:
+        """From each node that rows are kept at (else the root), the way to the places below it."""
 
         def at(node: _Open) -> Step | int | None:
             if node.id in place:
@@ -473,7 +477,16 @@ class _Growing:
                 return None
             return self._step(node, left, right)
 
-        return Asked(self.slot, at(self.root), nodes)
+        ways = {n.id: at(n) for n in self.all if n.id in (held or {self.root.id})}
+        return {n: way for n, way in ways.items() if way is not None}
+
+    def covers(self, held: set[int], wanted: set[int]) -> bool:
+        """Whether the wanted nodes all lie at or below those that rows are kept at."""
+
+        def below(node: _Open) -> set[int]:
+            return {node.id}.union(*[below(c) for c in node.children or ()])
+
+        return wanted <= set().union(*[below(n) for n in self.all if n.id in held])
 
     def _step(self, node: _Open, left: Step | int | None, right: Step | int | None) -> Step:
         s = node.split
@@ -692,8 +705,9 @@ def grow_trees(
         summed = {t.slot: {n.id for n in asked[t.slot] if (t.slot, n.id) not in derived} for t in trees if asked[t.slot]}
         common = sorted({i for t in trees for n in asked[t.slot] for i in t.allowed(n)}) if special else list(range(len(names)))
         if blocks is not None and sum(map(len, summed.values())) * sum(specs[i].num_bins for i in common) <= TASK_SUMS:
-            ways = [t.asked(summed[t.slot]) for t in trees if t.slot in summed]
-            hist = histograms(blocks, len(slots), specs, kept.home.wide, ways, common)
+            part = kept.packed.part(trees, summed)
+            ways = [t.asked(summed[t.slot], part.held[t.slot]) for t in trees if t.slot in summed]
+            hist = histograms(part.blocks, len(slots), specs, kept.home.wide, ways, common)
         else:
             met = rows if kept is None else kept.rows
             hist = _row_histogram(met, trees, slots, summed, stands, keys, common if len(common) < len(names) else None, zero_bins)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from paddock.functions.numeric import fixed_point, sigmoid, to_places
@@ -694,6 +696,54 @@ def _trainer(name, label="label", features=_FEATURES, categorical=(), **over):
     return run
 
 
+_LEAF_SUMS = "t int, leaf int, n long, g double, h double, before double, after double, start double"
+
+
+def _leaf_sums(values, forest):
+    """Arrow batches of (label, start, at, inside) to sums by tree and leaf: rows, gradients and hessians at the
+    scores before the round, and the loss before and after it.
+
+    A forest's trees are averaged and all start anew; else the first tree carries the start. Rows without a label
+    count, but add to no sum that reads it.
+    """
+
+    def run(batches):
+        held = [{} for _ in values]
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            label, start = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", "start"))
+            at = batch.column("at").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+            bagged = batch.column("inside").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if "inside" in batch.schema.names else None
+            total = np.zeros(rows)
+            for t, of_leaf in enumerate(values):
+                leaf = at[:, t]
+                before, total = total, total + np.array(of_leaf)[leaf]
+                s, e = (start, start + (total - before - start)) if forest else (start if t == 0 else before, total)
+                mine = slice(None) if bagged is None else np.flatnonzero(bagged[:, t].astype(bool))
+                leaf, s, e, y = leaf[mine], s[mine], e[mine], label[mine]
+                p = 1 / (1 + np.exp(-s))
+                cells = (p - y, p / (1 + np.exp(s)), np.log(1 + np.exp(s)) - y * s, np.log(1 + np.exp(e)) - y * e)
+                found = [np.bincount(leaf, minlength=len(of_leaf))]
+                for x in cells:  # null adds nothing, and a sum of nulls alone is null
+                    known = ~np.isnan(x)
+                    found.append(np.bincount(leaf[known], weights=x[known], minlength=len(of_leaf)))
+                    found.append(np.bincount(leaf[known], minlength=len(of_leaf)))
+                held[t]["start"] = start[0]
+                held[t]["sums"] = [a + b for a, b in zip(held[t]["sums"], found)] if "sums" in held[t] else found
+        for t, of_tree in enumerate(held):
+            if of_tree:
+                n, *pairs = of_tree["sums"]
+                some = np.flatnonzero(n)
+                known = [pa.array(x[some], mask=k[some] == 0) for x, k in zip(pairs[::2], pairs[1::2])]
+                first = pa.array(np.full(len(some), of_tree["start"]), from_pandas=True)
+                columns = [np.full(len(some), t, np.int32), some.astype(np.int32), n[some].astype(np.int64), *known, first]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["t", "leaf", "n", "g", "h", "before", "after", "start"])
+
+    return run
+
+
 def audited(df, trained, params, offset=0):
     """(iteration, rows, leaves, wrong_counts, wrong_values, falls): a binary model checked against its rows.
 
@@ -705,21 +755,11 @@ def audited(df, trained, params, offset=0):
     got = trained.model
     start = df.agg(F.expr("ln(avg(label) / (1 - avg(label)))").alias("start"))  # one row
     walked = scoring.predict_leaf(df, got, "at").select("row_id", "label", "at").join(F.broadcast(start))
-    values = f"array({', '.join('array(' + ', '.join(f'{x.value!r}D' for x in t.leaves) + ')' for t in got.trees)})"
-    summed = walked.selectExpr(
-        "*", f"aggregate(transform(at, (leaf, t) -> get(get({values}, t), leaf)), array(0D), (sums, x) -> concat(sums, array(element_at(sums, -1) + x))) AS sums"
-    )
     bags = [sampling.bag_condition(F.col("row_id"), i, params.bagging_fraction, params.bagging_freq, params.bagging_seed) for i in range(len(got.trees))]
-    inside = F.get(F.array(*[F.lit(True) if b is None else b for b in bags]), F.col("t"))
-    # A forest's trees are averaged and all start anew; else the first tree carries the start.
-    before = "start" if forest else "if(t = 0, start, get(sums, t))"
-    after = "start + (get(sums, t + 1) - get(sums, t) - start)" if forest else "get(sums, t + 1)"
-    long = summed.select("*", F.posexplode("at").alias("t", "leaf")).where(inside).selectExpr("t", "leaf", "label", "start", f"{before} AS s", f"{after} AS e")
-    loss = lambda c: f"sum(ln(1 + exp({c})) - label * {c})"
-    leaves = long.groupBy("t", "leaf").agg(
-        F.count("*").alias("n"), F.expr("sum(1 / (1 + exp(-s)) - label)").alias("g"), F.expr("sum(1 / (1 + exp(-s)) / (1 + exp(s)))").alias("h"),
-        F.expr(loss("s")).alias("before"), F.expr(loss("e")).alias("after"), F.max("start").alias("start"),
-    )
+    inside = None if all(b is None for b in bags) else F.array(*[F.lit(True) if b is None else b for b in bags])
+    parts = walked.select("label", "start", "at", *([] if inside is None else [inside.alias("inside")]))
+    sums = parts.mapInArrow(_leaf_sums([[x.value for x in t.leaves] for t in got.trees], forest), _LEAF_SUMS)
+    leaves = sums.groupBy("t", "leaf").agg(*[F.sum(c).alias(c) for c in ("n", "g", "h", "before", "after")], F.max("start").alias("start"))
     held = model.to_tables(df.sparkSession, got)[1].select(F.col("tree_id").alias("t"), F.col("leaf_id").alias("leaf"), "value", "count")
     both = held.join(leaves, ["t", "leaf"], "left").where(F.col("t") >= offset)
     shift = "start" if forest else "if(t = 0, start, 0D)"
