@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from paddock.functions.numeric import sigmoid, sign, softmax, softplus
 from paddock.operators.joins import HOT_ROWS, skewed_join
-from paddock.operators.metrics import discount, label_gain, max_dcg
-from paddock.operators.prefix import positions, weighted_percentile
+from paddock.operators.metrics import label_gain
+from paddock.operators.prefix import sorted_slices, weighted_percentile
+from paddock.operators.ranking import Settings, pair_gradients
 
 GradHess = tuple[Column, Column]
 
@@ -173,75 +174,24 @@ def _weighted_rows(df: DataFrame, weight: str | None) -> DataFrame:
 
 def lambdarank_gradients(
     df: DataFrame, p: ObjectiveParams = ObjectiveParams(), label: str = "label", score: str = "score",
-    group: str = "group_id", row_id: str = "row_id", hot_rows: int | None = HOT_ROWS,
+    group: str = "group_id", row_id: str = "row_id",
 ) -> DataFrame:
     """Pairwise ranking gradients, without making pairs of rows.
 
-    Only pairs with one row among the first `truncation_level` of its group count. Each
-    row meets its group's short array of first rows inside an expression; what the first
-    rows gain from all others is summed per array place by one aggregate, which combines
-    before the shuffle. Work is rows x truncation level for groups of any size.
+    Only pairs with one row among the first `truncation_level` of its group count. Rows are put in order of group,
+    score and id; each meets its group's first rows in arrays, and what the first rows gain from all
+    others is summed there (`ranking`). Work is rows x truncation level for groups of any size.
     """
-    t = p.truncation_level
+    key, kind = F.col(group), df.schema[group].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "string"):  # equal keys must be equal in Python too
+        key = F.hex(key) if kind == "binary" else (key + 0.0 if kind in ("float", "double") else key).cast("string")
     base = df.select(
-        group, row_id, F.col(label).cast("double").alias("y"), F.col(score).alias("s"),
+        key.alias("key"), row_id, F.col(label).cast("double").alias("y"), F.col(score).cast("double").alias("s"),
         label_gain(F.col(label), list(p.label_gain) if p.label_gain else None).alias("gain"),
     )
-    ranked = positions(base, [group], [F.col("s").desc(), F.col(row_id)], "rank")
-    ideal = max_dcg(df.select(group, label).withColumnRenamed(label, "label"), t, group, list(p.label_gain) if p.label_gain else None)
-    ranked = ranked.withColumn("disc", discount(F.col("rank")))
-    item = F.struct("rank", "y", "s", "gain", "disc")
-    firsts = (
-        ranked.where(F.col("rank") <= t)
-        .groupBy(group)
-        .agg(F.sort_array(F.collect_list(item)).alias("firsts"), F.max("s").alias("top"))
-        .join(ideal, group)
-        .join(ranked.groupBy(group).agg(F.min("s").alias("bottom")), group)
-    )
-    rows = skewed_join(ranked, firsts, [group], "inner", hot_rows)
-
-    def pair(f: Column) -> Column:
-        """What first row `f` and this row do to each other: (force, curve), signed for this row."""
-        wins = F.col("y") > f["y"]
-        high_minus_low = F.when(wins, F.col("s") - f["s"]).otherwise(f["s"] - F.col("s"))
-        rho = 1.0 / (1.0 + F.exp(p.sigmoid * high_minus_low))
-        delta = (
-            F.abs(F.col("gain") - f["gain"])
-            * F.abs(F.col("disc") - f["disc"])
-            / F.col("max_dcg")
-        )
-        if p.lambdarank_norm:
-            spread = F.abs(F.col("s") - f["s"])
-            delta = F.when(F.col("top") != F.col("bottom"), delta / (0.01 + spread)).otherwise(delta)
-        force = p.sigmoid * delta * rho
-        curve = p.sigmoid * p.sigmoid * delta * rho * (1.0 - rho)
-        counts = (F.col("y") != f["y"]) & (f["rank"] < F.col("rank")) & (F.col("max_dcg") > 0)
-        zero = F.lit(0.0)
-        return F.struct(
-            F.when(counts, F.when(wins, -force).otherwise(force)).otherwise(zero).alias("g"),
-            F.when(counts, curve).otherwise(zero).alias("h"),
-        )
-
-    met = rows.withColumn("met", F.transform("firsts", pair))
-    total = lambda c: F.aggregate("met", F.lit(0.0), lambda a, x: a + x[c])
-    own = met.select(group, row_id, "rank", "s", total("g").alias("own_g"), total("h").alias("own_h"), "met")
-    # The first rows get the opposite force, summed over all later rows of the group.
-    cell = lambda i, c: F.coalesce(F.sum(F.get("met", F.lit(i))[c]), F.lit(0.0))
-    back = own.groupBy(group).agg(
-        F.array(*[-cell(i, "g") for i in range(t)]).alias("back_g"),
-        F.array(*[cell(i, "h") for i in range(t)]).alias("back_h"),
-        # Both rows of a pair carry its force; the sum of magnitudes scales the group.
-        F.sum(F.aggregate("met", F.lit(0.0), lambda a, x: a + F.abs(x["g"]))).alias("pair_sum"),
-    )
-    joined = skewed_join(own.drop("met", "s"), back, [group], "inner", hot_rows)
-    place = (F.col("rank") - 1).cast("int")
-    g = F.col("own_g") + F.coalesce(F.get("back_g", place), F.lit(0.0))
-    h = F.col("own_h") + F.coalesce(F.get("back_h", place), F.lit(0.0))
-    if p.lambdarank_norm:
-        both = 2.0 * F.col("pair_sum")
-        scale = F.when(both > 0, F.log2(1.0 + both) / both).otherwise(F.lit(1.0))
-        g, h = g * scale, h * scale
-    return df.join(joined.select(row_id, g.alias("g"), h.alias("h")), row_id)
+    sliced = sorted_slices(base, ["key"], [F.col("s").desc(), F.col(row_id)])
+    settings = Settings(p.truncation_level, p.sigmoid, p.lambdarank_norm)
+    return df.join(pair_gradients(sliced, row_id, settings), row_id)
 
 
 def xendcg_gradients(

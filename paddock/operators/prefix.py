@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paddock.session import cut_lineage, parallelism
 
-_SLICE = "__slice"
+SLICE = "__slice"
 
 
 def running_totals(
@@ -35,28 +35,35 @@ def running_totals(
     n = partitions or parallelism(spark)
     staged = df.select("*", *[c.alias(f"__in_{name}") for name, c in totals.items()])
     ranged = staged.repartitionByRange(n, *[F.col(g) for g in group], *order)
-    frozen = cut_lineage(ranged.withColumn(_SLICE, F.spark_partition_id()))
+    frozen = cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
     # At most `n` slices per group, so the window below sees at most `n` rows per group.
-    sums = frozen.groupBy(*group, _SLICE).agg(*[F.sum(f"__in_{t}").alias(f"__sum_{t}") for t in totals])
-    before = W.partitionBy(*group).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
+    sums = frozen.groupBy(*group, SLICE).agg(*[F.sum(f"__in_{t}").alias(f"__sum_{t}") for t in totals])
+    before = W.partitionBy(*group).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
         *[F.col(g).alias(f"__g_{g}") for g in group],
-        F.col(_SLICE).alias("__offset_slice"),
+        F.col(SLICE).alias("__offset_slice"),
         *[F.coalesce(F.sum(f"__sum_{t}").over(before), F.lit(0)).alias(f"__off_{t}") for t in totals],
     )
     same = reduce(
         lambda a, b: a & b,
         [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group],
-        F.col(_SLICE) == F.col("__offset_slice"),
+        F.col(SLICE) == F.col("__offset_slice"),
     )
     joined = frozen.join(offsets, same, "inner")
-    within = W.partitionBy(_SLICE, *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy(SLICE, *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return joined.select(
         *df.columns,
         *[(F.col(f"__off_{t}") + F.sum(f"__in_{t}").over(within)).alias(t) for t in totals],
     )
 
 
+def sorted_slices(df: DataFrame, group: list[str], order: list[Column], partitions: int | None = None) -> DataFrame:
+    """The rows range-partitioned on group and order and sorted so within their partition, whose number is added; frozen."""
+    keys = [*[F.col(g) for g in group], *order]
+    ranged = df.repartitionByRange(partitions or parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
+
+
 def positions(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """One-based position of each row in its group, for groups of any size."""
     return running_totals(df, group, order, {name: F.lit(1).cast("bigint")})
