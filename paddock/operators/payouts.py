@@ -48,17 +48,29 @@ def paid_bets(slots: Column) -> Column:
     )
 
 
-def map_paybacks(table: DataFrame) -> DataFrame:
-    """Parsed payback rows to (key, slots, archive, line_no)."""
-    names = [n for _, amount, numbers in BETS for n in (amount, *numbers)]
-    raw = raw_fields(table, {n: n for n in names})
+# The fields of `payback_numbers`, in order.
+NUMBERS = [n for _, amount, numbers in BETS for n in (amount, *numbers)]
+
+
+def payback_numbers(table: DataFrame) -> DataFrame:
+    """Parsed payback rows to (key, numbers, archive, line_no): all amounts and bet numbers as one array of ints."""
+    raw = raw_fields(table, {n: n for n in NUMBERS})
     # One expression over all fields, read once; one of each would be some hundred kilobytes of code.
-    numbers = F.transform(F.array(*[F.col(f"`{n}`") for n in names]), digits_int)
-    read = raw.select(*race_key(), F.explode(F.array(numbers)).alias("numbers"), "archive", "line_no")
-    value = lambda name: F.col("numbers")[names.index(name)]
+    numbers = F.transform(F.array(*[F.col(f"`{n}`") for n in NUMBERS]), digits_int)
+    return raw.select(*race_key(), F.explode(F.array(numbers)).alias("numbers"), "archive", "line_no")
+
+
+def with_slots(read: DataFrame) -> DataFrame:
+    """`payback_numbers` rows to (key, slots, archive, line_no). Slots are many times as wide as numbers, so rows are best dealt before."""
+    value = lambda name: F.col("numbers")[NUMBERS.index(name)]
     return read.select(*KEY, bet_slots(value).alias("slots"), "archive", "line_no")
 
 
+def map_paybacks(table: DataFrame) -> DataFrame:
+    """Parsed payback rows to (key, slots, archive, line_no)."""
+    return with_slots(payback_numbers(table))
+
+
 def unpivot_payouts(paybacks: DataFrame, keep: list[str] = KEY) -> DataFrame:
     """One row per paid bet: (keep, pos, bet_type, combination, amount_yen); narrow, no shuffle."""
     return paybacks.select(*keep, F.posexplode(paid_bets(F.col("slots"))).alias("pos", "bet")).select(

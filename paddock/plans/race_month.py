@@ -50,7 +50,8 @@ class RaceMonth:
     @property
     def payouts(self) -> DataFrame:
         """Payouts of the first payback row of each key, as the one-race mapping takes it."""
-        return payouts.unpivot_payouts(race.first_per_key(self.paybacks))
+        read = payouts.payback_numbers(csv_table(self._lines[2], self._file))
+        return payouts.unpivot_payouts(payouts.with_slots(race.first_per_key(read)))
 
     def bundles(self) -> DataFrame:
         return bundle.race_bundle(self.races, self.horses, self.paybacks)
